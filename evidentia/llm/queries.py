@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat, mixing, quality_rules
+from evidentia.llm import chat, jaccard_join, mixing, quality_rules
 
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_CHAT = """
@@ -89,3 +89,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 ORACLES: dict[str, str] = {"op2_chat_format": _ORACLE_CHAT, "op6_quality_rules": _ORACLE_RULES}
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+QUERIES["op10_jaccard_join"] = op10_jaccard_join
