@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat, jaccard_join, mixing, quality_rules
+from evidentia.llm import chat, decontaminate, jaccard_join, mixing, quality_rules
 
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_CHAT = """
@@ -97,3 +97,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_jaccard_join"] = op10_jaccard_join
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op5_decontaminate"] = op5_decontaminate
