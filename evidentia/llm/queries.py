@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat, decontaminate, jaccard_join, mixing, quality_rules
+from evidentia.llm import chat, decontaminate, jaccard_join, mixing, quality_rules, token_ids
 
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_CHAT = """
@@ -104,3 +105,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_decontaminate"] = op5_decontaminate
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_ids.output_folder(spark, "token-ids")
+    token_ids.write_ids(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_ids.read_documents(spark, folder)
+
+
+QUERIES["op4_token_ids"] = op4_token_ids
