@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat, decontaminate, jaccard_join, mixing, quality_rules, token_ids
+from evidentia.llm import chat, decontaminate, jaccard_join, language_model, mixing, quality_rules, token_ids
 
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_CHAT = """
@@ -114,3 +114,17 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_token_ids"] = op4_token_ids
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    held = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 1, F.lit(False))
+    model, vocabulary = language_model.train(docs.where(~held).select("text"))
+    scored = language_model.score(docs, model, vocabulary)
+    return scored.select(
+        F.col("id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
+QUERIES["op1_lm_score"] = op1_lm_score
