@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat, decontaminate, jaccard_join, language_model, mixing, quality_rules, token_ids
+from evidentia.llm import chat, decontaminate, jaccard_join, language_model, mixing, pu_quality, quality_rules, token_ids, toxicity
 
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_CHAT = """
@@ -128,3 +128,27 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_lm_score"] = op1_lm_score
+
+
+def _held_out(c: str = "id") -> Column:
+    """Rows whose labels may not be learnt; a null id has no remainder and is not held out."""
+    return F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(False))
+
+
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    model = pu_quality.train(docs, labels.where(~_held_out() & (F.col("label") == 1)).select("id"))
+    scored = pu_quality.score(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), _held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels.where(~_held_out())))
+    return scored.select(F.col("id").alias("doc_id"), _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op7_pu_quality"] = op7_pu_quality
+QUERIES["op9_toxicity"] = op9_toxicity
