@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat, decontaminate, jaccard_join, language_model, mixing, pu_quality, quality_rules, token_ids, toxicity
+from evidentia.llm import chat, decontaminate, html_extract, jaccard_join, language_model, mixing, pu_quality, quality_rules, token_ids, toxicity
 
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_CHAT = """
@@ -152,3 +152,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op7_pu_quality"] = op7_pu_quality
 QUERIES["op9_toxicity"] = op9_toxicity
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+QUERIES["op8_html_extract"] = op8_html_extract
