@@ -17,8 +17,8 @@ Items are grouped by length so that no walk leaves its item (a step moves by one
 One pass over the texts, no shuffle; the corpus is never gathered. A benchmark larger than
 `most_items_bytes` is handled in slices of that size, each its own broadcast and pass.
 
-Recall: for Hamming distance h of d steps a table agrees with (1 - h/d)^sampled. With 8 tables of 3 and walks that
-differ in a third of their steps (about n / 10 edits near the window), one window is found with 95 %, and a passage has
+Recall: for Hamming distance h of d steps a table agrees with (1 - h/d)^sampled. With 12 tables of 4 and walks that
+differ in a third of their steps (about n / 10 edits near the window), one window is found with 93 %, and a passage has
 several windows.
 
 Cases: null and empty texts and items match nothing; items of fewer than `least_words` words are too short to be
@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from evidentia.llm import text as T
 
 STRIDE = 4
-TABLES = 8
-SAMPLED = 3
+TABLES = 12
+SAMPLED = 4
 LEAST_WORDS = 8
 EDIT_RATE = 0.25
 MOST_ITEMS_BYTES = 32 << 20
-#: Steps of the walk for items of at least so many words.
-CLASSES = (8, 16, 32)
+#: Steps of a walk. An item takes the longest that leaves it STRIDE window starts, so that one of them is sampled in an unedited copy.
+CLASSES = (4, 8, 16, 32)
 _MAP_BITS = 22
 
 
@@ -77,6 +77,10 @@ def walk_keys(hashes: np.ndarray, starts: np.ndarray, classes: list[int], plans:
     return out
 
 
+def _class(n: int) -> int:
+    return max(d for d in CLASSES if d + STRIDE - 1 <= n)
+
+
 class ItemIndex:
     """The walked windows of the benchmark items: sorted keys, and the item and offset of each."""
 
@@ -91,9 +95,9 @@ class ItemIndex:
                     self.words.append(h)
         plans = _plans(seed)
         keys, item, offset = [], [], []
-        self.classes = sorted({max(d for d in CLASSES if d <= len(h)) for h in self.words})
+        self.classes = sorted({_class(len(h)) for h in self.words})
         for n, h in enumerate(self.words):
-            d = max(c for c in CLASSES if c <= len(h))
+            d = _class(len(h))
             starts = np.arange(len(h) - d + 1)
             k = walk_keys(h, starts, [d], plans)[d]
             keys.append(k.ravel())
@@ -168,6 +172,11 @@ def _leaks_of(w: T.Words, index: ItemIndex, rate: float) -> list[tuple[int, int,
             at = begin[part, None] + span
             inside = (at >= w.bounds[doc[part]][:, None]) & (at < w.bounds[doc[part] + 1][:, None])
             regions = np.where(inside, w.hashes[np.clip(at, 0, n - 1)], np.uint64(0))
+            # every word of the item beyond `most` stands in the region: a bound that spares most of the programming
+            near = np.isin(regions, words).sum(axis=1) >= len(words) - most
+            part, regions = part[near], regions[near]
+            if not len(part):
+                continue
             distance, end = edit_distances(words, regions)
             for r, dist, e in zip(part, distance, end, strict=True):
                 if dist <= most:
