@@ -62,6 +62,12 @@ class Words:
     offsets: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    sums: np.ndarray
+    inverse: np.ndarray
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of other stretches of the chunk's bytes."""
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
     def owners(self) -> np.ndarray:
         """For each word, the number of its text in this chunk."""
@@ -106,7 +112,7 @@ def words(texts: pa.Array, lower: bool = True, most: int = CHUNK_BYTES) -> Itera
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum((low if lower else plain)[b] * power[: len(b)], out=total[1:])
         hashes = mix((total[e] - total[s]) * inverse[s])
-        yield Words(i, j, hashes, np.searchsorted(s, offs), b, offs, s, e)
+        yield Words(i, j, hashes, np.searchsorted(s, offs), b, offs, s, e, total, inverse)
 
 
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -23,7 +23,6 @@ an empty table writes an empty folder and reads back no rows; only the id and te
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidentia.llm import text as T
 from evidentia.session import checkpoint_dir, cut
 
 BLOCK = 1 << 16
 END_ID = 2
 #: Words remembered by a worker; a full memory is emptied.
-MOST_WORDS = 400_000
-_BESIDE_SPACE = re.compile(r"\s | \s")
+MOST_WORDS = 1_000_000
 _encoders: dict = {}
 
 CHUNK_SCHEMA = (
@@ -51,12 +50,24 @@ CHUNK_SCHEMA = (
 )
 
 
+def _kinds() -> np.ndarray:
+    """Of each byte: 0 letter, 1 digit, 2 mark, 3 to be left to the tokenizer."""
+    out = np.full(256, 2, np.int8)
+    out[48:58] = 1
+    out[65:91] = out[97:123] = 0
+    out[0xC3] = 0
+    out[128:0xC3] = out[0xC4:] = out[39] = 3
+    return out
+
+
 class Encoder:
-    """Whole-text encoding with a tokenizers file.
+    """Whole-text encoding with a tokenizers file of the byte-level kind.
 
-    In these byte-level vocabularies a single space between two other characters always begins a new piece of text, so a
-    text's ids are those of its space-led parts in order. Parts repeat, so each is encoded once and remembered. A text with a
-    space beside other white space, where this does not hold, is encoded in one go.
+    These tokenizers first cut a text into pieces, each encoded by itself: runs of letters, of digits and of marks, each with the
+    one space before it. So a text's ids are those of its pieces in order. Pieces repeat: each is encoded once per worker, and a
+    text's ids are gathered from a table. Pieces are found where this is plain to see from the bytes (ASCII and the
+    letters U+00C0 to U+00FF); a word with other characters or an apostrophe is one piece for the table, and a text with other or
+    adjoining white space is encoded in one go.
     """
 
     def __init__(self, path: str):
@@ -65,22 +76,100 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.parts: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.parts) > MOST_WORDS:
-            self.parts.clear()
-        split = [None if not t or t[0] == " " or t[-1] == " " or _BESIDE_SPACE.search(t) else t.split(" ") for t in texts]
-        heads = self._ids([t if s is None else s[0] for t, s in zip(texts, split, strict=True)])
-        new = list(set(chain.from_iterable(s[1:] for s in split if s)).difference(self.parts))
-        if new:
-            self.parts.update(zip(new, self._ids([" " + p for p in new]), strict=True))
-        known = self.parts.__getitem__
-        return [h if s is None else h + b"".join(map(known, s[1:])) for h, s in zip(heads, split, strict=True)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[int, int] = {}
+        self.pool, self.first, self.count = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.used = 0
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, total = len(self.index), int(counts.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + len(ids) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.first[n : n + len(ids)] = self.used + np.cumsum(counts) - counts
+        self.count[n : n + len(ids)] = counts
+        self.index.update(zip(keys, range(n, n + len(ids)), strict=True))
+        self.used += total
+
+    def _odd(self, w: T.Words) -> np.ndarray:
+        """Texts with white space other than single spaces and line feeds between words."""
+        d = w.data
+        n = w.last - w.first
+        if not len(d):
+            return np.zeros(n, bool)
+        blank = (d == 32) | (d == 10)
+        bad = ((d >= 9) & (d <= 13) & (d != 10)) | ((d >= 28) & (d <= 31))
+        bad[1:] |= blank[1:] & blank[:-1]
+        # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000
+        at = np.flatnonzero((d[:-1] == 0xC2) | ((d[:-1] >= 0xE1) & (d[:-1] <= 0xE3)))
+        two = d[at].astype(int) * 256 + d[at + 1]
+        three = d[np.minimum(at + 2, len(d) - 1)]
+        wide = np.isin(two, (0xC285, 0xC2A0, 0xE19A, 0xE281, 0xE380)) | ((two == 0xE280) & ((three <= 0x8A) | np.isin(three, (0xA8, 0xA9, 0xAF))))
+        bad[at[wide]] = True
+        full = w.offsets[1:] > w.offsets[:-1]
+        bad[w.offsets[:-1][full]] |= blank[w.offsets[:-1][full]]
+        bad[w.offsets[1:][full] - 1] |= blank[w.offsets[1:][full] - 1]
+        return np.bincount(np.searchsorted(w.offsets, np.flatnonzero(bad), side="right") - 1, minlength=n)[:n] > 0
+
+    @staticmethod
+    def _pieces(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces, without the blanks before words."""
+        d = w.data
+        kind = _kinds()[d]
+        latin = np.flatnonzero(d[:-1] == 0xC3)
+        kind[latin[(d[latin + 1] != 0x97) & (d[latin + 1] != 0xB7)] + 1] = 0
+        odd = np.concatenate([[0], np.cumsum(kind == 3)])
+        plain = odd[w.ends] == odd[w.starts]
+        turns = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        word = np.searchsorted(w.starts, turns, side="right") - 1
+        turns = turns[(word >= 0) & (turns > w.starts[word]) & (turns < w.ends[word]) & plain[word]] if len(w.starts) else turns[:0]
+        starts = np.sort(np.concatenate([w.starts, turns]))
+        word = np.searchsorted(w.starts, starts, side="right") - 1
+        ends = np.minimum(np.concatenate([starts[1:], [len(d)]]), w.ends[word])
+        return starts, ends
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text in order."""
+        for w in T.words(texts, lower=False, most=4 << 20):
+            if len(self.index) > MOST_WORDS:
+                self._forget()
+            odd = self._odd(w)
+            starts, ends = self._pieces(w) if len(w.starts) else (w.starts, w.ends)
+            bounds = np.searchsorted(starts, w.offsets)
+            owner = np.repeat(np.arange(w.last - w.first), np.diff(bounds))
+            # the blank before a word is part of its first piece
+            last = w.data[np.maximum(starts - 1, 0)] if len(starts) else np.zeros(0, np.uint8)
+            led = ((last == 32) | (last == 10)) & (starts > w.offsets[owner])
+            before = np.where(led, last, 0).astype(np.uint64)
+            keys = w.spans(starts, ends) ^ T.mix(before)
+            keys[odd[owner]] = 0
+            distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
+            rows = np.fromiter((self.index.get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
+            new = np.flatnonzero((rows < 0) & (distinct != 0))
+            if len(new):
+                raw = w.data.tobytes()
+                spans = zip((starts[where[new]] - led[where[new]]).tolist(), ends[where[new]].tolist(), strict=True)
+                self._learn(distinct[new].tolist(), [raw[a:z].decode() for a, z in spans])
+                rows[new] = np.arange(len(self.index) - len(new), len(self.index))
+            counts = np.where(rows >= 0, self.count[rows], 0)[back]
+            begins = self.first[np.maximum(rows, 0)][back]
+            upto = np.cumsum(counts)
+            ids = self.pool[np.repeat(begins - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)]
+            edges = np.concatenate([[0], upto])[bounds]
+            for k in range(w.last - w.first):
+                if odd[k]:
+                    yield self._ids([w.data[w.offsets[k] : w.offsets[k + 1]].tobytes().decode()])[0]
+                else:
+                    yield ids[edges[k] : edges[k + 1]]
 
 
 def encoder(path: str) -> Encoder:
@@ -130,15 +219,14 @@ def _write_task(path: str, end_id: int, block: int, planes: str):
             return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
                 ids = part.column(0).to_pylist()
-                texts = [t or "" for t in part.column(1).to_pylist()]
                 if first_key is None and ids:
                     first_key = ids[0]
-                for doc, tokens in zip(ids, enc.encode(texts), strict=True):
-                    left = len(tokens) // 4 + 1
-                    held += tokens
+                for doc, tokens in zip(ids, enc.encode(part.column(1)), strict=True):
+                    left = len(tokens) + 1
+                    held += tokens.tobytes()
                     held += end
                     while left:
                         room = block - sum(p[1] for p in pieces)
@@ -166,7 +254,7 @@ def write_ids(documents: DataFrame, folder: str, tokenizer: str, end_id: int = E
               id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text and write the chunks in ascending document id."""
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(_write_task(tokenizer, end_id, block, planes), CHUNK_SCHEMA).write.option("compression", "none").parquet(folder)
 
 
