@@ -55,8 +55,8 @@ def apportion(rows: DataFrame, group: list[str], seats: str, weight: str, tie: l
     is made and ranked, a number of rows in proportion to the number of items.
     """
     g = Window.partitionBy(*group)
-    share = F.coalesce(F.col(weight) * F.col(seats) / F.sum(weight).over(g), F.lit(0.0))
-    band = F.ceil(F.coalesce(F.col(weight) / F.sum(weight).over(g), F.lit(0.0)) * F.count("*").over(g) / 2) + F.lit(2)
+    share = F.coalesce(F.try_divide(F.col(weight) * F.col(seats), F.sum(weight).over(g)), F.lit(0.0))
+    band = F.ceil(F.coalesce(F.try_divide(F.col(weight), F.sum(weight).over(g)), F.lit(0.0)) * F.count("*").over(g) / 2) + F.lit(2)
     banded = rows.withColumn("__share", share).withColumn("__band", band)
     banded = banded.withColumn("__sure", F.greatest(F.lit(0).cast("long"), (F.floor("__share") - F.col("__band")).cast("long")))
     banded = banded.withColumn("__free", (F.col(seats) - F.sum("__sure").over(g)).cast("long"))
@@ -88,7 +88,7 @@ def plan(docs: DataFrame, seed: int = 7, block: int = 64, shard_words: int = 1 <
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_shard)).cast("long"))
     # blocks are equal within a source: quota x (source_size / blocks) words are what a quota takes
     sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long"))
-    sources = sources.withColumn("__w", F.coalesce(F.col("target") * F.col("blocks") / F.col("source_size"), F.lit(0.0)))
+    sources = sources.withColumn("__w", F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0)))
     sources = sources.withColumn("__seats", F.round(F.sum("__w").over(everything)).cast("long"))
     sources = cut(apportion(sources, [], "__seats", "__w", ["source"]).drop("__seats", "__w").withColumnRenamed("quota", "source_quota"))
 
@@ -122,7 +122,7 @@ def block_taken(k: str) -> str:
 
 def taken_words() -> Column:
     """Words of the document in taken blocks, repeats counted."""
-    first, last = "greatest(CAST(floor(offset * (m / shard_size)) AS BIGINT) - 1, 0L)", "least(CAST(floor((offset + size) * (m / shard_size)) AS BIGINT) + 1, m - 1)"
+    first, last = "greatest(CAST(floor(offset * (m / greatest(shard_size, 1))) AS BIGINT) - 1, 0L)", "least(CAST(floor((offset + size) * (m / greatest(shard_size, 1))) AS BIGINT) + 1, m - 1)"
     overlap = f"greatest(0L, least(offset + size, CASE WHEN k = m - 1 THEN shard_size ELSE CAST({_cuts('(k + 1)')} AS BIGINT) END) - greatest(offset, CAST({_cuts('k')} AS BIGINT)))"
     partial = f"aggregate(sequence({first}, {last}), 0L, (acc, k) -> acc + CASE WHEN {block_taken('k')} THEN {overlap} ELSE 0L END)"
     return F.expr(f"CASE WHEN size = 0 THEN 0L ELSE (quota DIV m) * size + {partial} END")

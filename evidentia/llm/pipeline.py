@@ -52,7 +52,7 @@ def mix_sources_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = rows.withColumn("__whole", F.expr("CAST(taken DIV size AS INT)")).withColumn("__part", F.col("taken") % F.col("size"))
     # when the quota takes whole passes, the rest of the words are those of the partial pass
     word = f"offset + i >= CAST({mixing._cuts('k')} AS BIGINT) AND (k = m - 1 OR offset + i < CAST({mixing._cuts('(k + 1)')} AS BIGINT))"
-    at = "CAST(floor((offset + i) * (m / shard_size)) AS BIGINT)"
+    at = "CAST(floor((offset + i) * (m / greatest(shard_size, 1))) AS BIGINT)"
     taken = f"exists(array({at} - 1, {at}, {at} + 1), k -> k >= 0 AND k < m AND {word} AND {mixing.block_taken('k')})"
     picked = F.expr(f"array_join(filter(filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), (w, i) -> {taken}), ' ')")
     copies = F.expr("concat(array_repeat(true, __whole), CASE WHEN __part > 0 THEN array(false) ELSE array() END)")

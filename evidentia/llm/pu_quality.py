@@ -119,7 +119,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: fl
     scale[scale < 1e-6] = 1.0
     p, u = np.clip((positive - mean) / scale, -8, 8), np.clip((unlabelled - mean) / scale, -8, 8)
     p, u = (np.concatenate([x, np.ones((len(x), 1))], axis=1) for x in (p, u))
-    ridge = np.full(p.shape[1], decay)
+    ridge = np.full(p.shape[1], decay + 3.0 / len(p))  # few positives, little trust
     ridge[-1] = 0
 
     # the prior is read off texts that the first fit has not seen: two halves judge each other
