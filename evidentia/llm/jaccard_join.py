@@ -8,9 +8,9 @@ Jaccard bound asks for. Equal sets are one node, so copies cost one row each and
   has this subset: a star per subset, no pairs and no check.
 * Large sets scan inverted lists. Shingles are ordered by how common they are (a fixed-size count
   sketch over all documents; any order is right, a good one is fast). The first |A| - ceil(t |A|) + l shingles of a set are its list
-  entries: linked sets share l of them. Lists are scanned in three rounds. Twice every set is compared with the head of
-  its best list, which joins near copies into components in linear time; then, only in lists that
-  still hold different components, sets of different components that share l entries are compared.
+  entries: linked sets share l of them. Lists are scanned in two rounds. Once every set is compared with the most central sets of
+  its lists, which joins near copies into components in linear time; then, only in lists that
+  still hold different components, sets of different components that share l early entries are compared.
   Every pair is verified on its whole sets. Pairs inside a component are never made: they cannot change it.
 * The boundary x is where the summed cost of subsets passes the cost of scanning, from the counted sizes and the sketch.
 
@@ -27,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import text as T
@@ -39,6 +39,11 @@ BLOCK_BITS = 16
 MOST_SMALL = 14
 #: Bits of the filter that tells which documents' sets a round needs: at most 8 MB, whatever the input.
 FILTER_BITS = (16, 26)
+#: Pair tables of at most so many rows (counted) are broadcast to the scan; larger ones are joined by shuffle.
+MOST_BROADCAST_ROWS = 500_000
+#: Rounds that compare sets with the heads of their lists, and heads compared for each set and round.
+ROUNDS = 3
+HEADS = 3
 
 
 def overlap(n: int, m: int, num: int, den: int) -> int:
@@ -93,7 +98,7 @@ def _count_rows(sketch: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
     for k, block in enumerate(sketch.reshape(-1, 1 << BLOCK_BITS)):
         if block.any():
             keys.append(k)
-            data.append((block.astype("<u2") if block.max() < 65536 else block.astype("<u4")).tobytes())
+            data.append(block.astype("u1" if block.max() < 256 else "<u4").tobytes())
     return pa.record_batch([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["key", "data"])
 
 
@@ -102,7 +107,7 @@ def _sum_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            kind = "<i8" if k < 0 else "<u2" if len(d) == 2 << BLOCK_BITS else "<u4"
+            kind = "<i8" if k < 0 else "u1" if len(d) == 1 << BLOCK_BITS else "<u4"
             part = np.frombuffer(d, kind).astype(np.int64)
             sums[k] = sums[k] + part if k in sums else part
     if sums:
@@ -139,44 +144,52 @@ def boundary(sketch: np.ndarray, sizes: np.ndarray, num: int, den: int) -> int:
 # ---- pass 2: nodes and their list entries
 
 
+def _node_of(s: np.ndarray) -> int | None:
+    """The number of a set: equal sets are one node."""
+    return int(T.mix(np.array([np.bitwise_xor.reduce(T.mix(s)) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None
+
+
+def _node_task(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(s), _node_of(s)) for w in T.words(batch.column(1)) for _, s in T.shingle_sets(w, size)]
+            yield pa.record_batch([batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([k for _, k in found], pa.int64())], names=["id", "n", "node"])
+
+    return run
+
+
 def _entry_task(order, size: int, x: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = order.value
         seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0)
-            nodes, counts, keys, kinds = [], [], [], []
-            for w in T.words(batch.column(1)):
+            for w in T.words(batch.column(0)):
+                keys, kinds, owners, counts, places = [], [], [], [], []
                 for _, s in T.shingle_sets(w, size):
-                    n = len(s)
-                    node = int(T.mix(np.array([np.bitwise_xor.reduce(T.mix(s)) ^ np.uint64(n)], np.uint64)).view(np.int64)[0]) if n else None
-                    k: list[np.ndarray] = []
-                    c: list[np.ndarray] = []
-                    if n and node not in seen:
-                        if len(seen) < 1_000_000:  # entries of a node once per task; the rest goes in the next step
-                            seen.add(node)
-                        if n <= x:
-                            for want in subset_sizes(n, x, num, den):
-                                subs = s[np.array(list(combinations(range(n), want)))]
-                                k.append(T.mix(T.mix(subs).sum(axis=1, dtype=np.uint64) + np.uint64(want)))
-                                c.append(np.full(len(subs), want, np.int8))
-                        if partners(n, num, den)[-1] > x:
-                            p = prefix(n, num, den)
-                            rank = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                            at = np.lexsort((s, rank))[:p]
-                            k.append(s[at])
-                            c.append(np.zeros(p, np.int8))
-                    nodes.append(node)
-                    counts.append(n)
-                    keys.append(np.concatenate(k).view(np.int64) if k else np.zeros(0, np.int64))
-                    kinds.append(np.concatenate(c) if c else np.zeros(0, np.int8))
-            bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = lambda xs, t: pa.array(np.concatenate(xs) if xs else np.zeros(0, t))
-            yield pa.record_batch(
-                [ids, pa.array(counts, pa.int32()), pa.array(nodes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(bounds), flat(keys, np.int64)), pa.ListArray.from_arrays(pa.array(bounds), flat(kinds, np.int8))],
-                names=["id", "n", "node", "keys", "kinds"],
-            )
+                    n, node = len(s), _node_of(s)
+                    if not n or node in seen:
+                        continue
+                    if len(seen) < 1_000_000:  # entries of a node once per task; repeats from other tasks go where lists meet
+                        seen.add(node)
+                    before = len(keys)
+                    if n <= x:
+                        for want in subset_sizes(n, x, num, den):
+                            subs = s[np.array(list(combinations(range(n), want)))]
+                            keys.append(T.mix(T.mix(subs).sum(axis=1, dtype=np.uint64) + np.uint64(want)))
+                            kinds.append(np.full(len(subs), want, np.int8))
+                            places.append(np.zeros(len(subs), np.int32))
+                    if partners(n, num, den)[-1] > x:
+                        p = prefix(n, num, den)
+                        rank = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                        keys.append(s[np.lexsort((s, rank))[:p]])
+                        kinds.append(np.zeros(p, np.int8))
+                        places.append(np.arange(p, dtype=np.int32))
+                    made = sum(len(k) for k in keys[before:])
+                    owners.append(np.full(made, node, np.int64))
+                    counts.append(np.full(made, n, np.int32))
+                if keys:
+                    columns = (np.concatenate(keys).view(np.int64), np.concatenate(kinds), np.concatenate(counts), np.concatenate(owners), np.concatenate(places))
+                    yield pa.record_batch([pa.array(c) for c in columns], names=["key", "c", "n", "node", "pos"])
 
     return run
 
@@ -184,9 +197,8 @@ def _entry_task(order, size: int, x: int, num: int, den: int):
 # ---- verification on whole sets
 
 
-def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A one-hash filter of the ids, of bounded size: beyond it only lets more rows through to the exact join."""
-    n = ids.count()
+def _filter_of(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A one-hash filter of n ids, of bounded size: beyond it only lets more rows through to the exact join."""
     bits = min(FILTER_BITS[1], max(FILTER_BITS[0], int(np.ceil(np.log2(16 * max(1, n))))))
     at = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     one = F.expr("shiftleft(1L, CAST(b & 63 AS INT))")
@@ -196,9 +208,21 @@ def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The upper five bytes of each hash: what tells the shingles of two sets apart (a false match: 1 in 2^40)."""
+    return np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    rows = np.zeros((len(data) // 5, 8), np.uint8)
+    rows[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return rows.view("<u8").ravel()
+
+
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, node -> node, s: the whole shingle sets of the documents with these ids."""
-    mask, bits = _filter_of(ids)
+    """ids(id, node, ...) -> its columns and s: the whole shingle sets of these documents."""
+    n = ids.count()
+    mask, bits = _filter_of(ids.select("id").distinct(), n)
     sent = docs.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,31 +230,69 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             b = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = (sent.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
             part = batch.filter(pa.array(keep.astype(bool)))
-            if not part.num_rows:
-                continue
-            sets = [s for w in T.words(part.column(1)) for _, s in T.shingle_sets(w, size)]
-            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "s"])
+            if part.num_rows:
+                sets = [(_node_of(s), _packed(s)) for w in T.words(part.column(1)) for _, s in T.shingle_sets(w, size)]
+                yield pa.record_batch([part.column(0), pa.array([k for k, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.binary())], names=["id", "node", "s"])
 
     rows = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("b")).where("id IS NOT NULL")
-    return rows.mapInArrow(run, "id long, s array<long>").join(ids, "id").select("node", "s")
+    found = rows.mapInArrow(run, "id long, node long, s binary")  # the node tells documents with one id apart
+    return found.join(F.broadcast(ids) if n <= MOST_BROADCAST_ROWS else ids, ["id", "node"])
+
+
+def _verify_task(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = _unpacked(sa), _unpacked(sb)
+                both = np.sort(np.concatenate([a, b]))
+                keep.append(int((both[1:] == both[:-1]).sum()) * (num + den) >= num * (len(a) + len(b)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """pairs(a, b) -> those that link. The documents whose sets are needed are found by a bounded filter, then by id."""
+    """pairs(a, b) -> those that link.
+
+    The documents whose sets are needed are found by a bounded filter, then by id; the pairs ride along with the sets of b, so
+    each side's sets are shuffled once.
+    """
     pairs = cut(pairs)
-    need = lambda c: cut(pairs.select(F.col(c).alias("node")).distinct().join(nodes, "node").select("id", "node"))
-    left = _sets(docs, need("a"), size).select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    right = _sets(docs, need("b"), size).select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return cut(both.where(common * (num + den) >= F.lit(num) * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    left = _sets(docs, cut(pairs.select(F.col("a").alias("node")).distinct().join(nodes, "node")), size).select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    right = _sets(docs, cut(pairs.join(nodes, F.col("b") == F.col("node")).select("id", "node", "a")), size).select("a", F.col("node").alias("b"), F.col("s").alias("sb"))
+    return cut(right.join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_verify_task(num, den), "a long, b long"))
+
+
+def _open(entries: DataFrame, found: DataFrame | None) -> DataFrame:
+    """key, n, node, pos, comp of the entries whose list holds more than one component."""
+    if found is None:
+        return entries.withColumn("comp", F.col("node"))
+    labelled = entries.join(found, "node", "left").select("key", "n", "node", "pos", F.coalesce("component", "node").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return cut(labelled.join(mixed, "key"))
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, b) with repeats: for each b the a it shares most lists with."""
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("k"))
-    return counted.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
+def _head_pairs(lists: DataFrame, fits: str, turn: int) -> DataFrame:
+    """For each set the heads (a) it shares most lists with, at most HEADS of them: a number of pairs in proportion to the sets.
+
+    In the first round the head of a list is its most central set: the one whose lists are longest in sum. In a family of near
+    copies that is the text they come from, which most of them link with. Later rounds take heads in another fixed order each.
+    """
+    if turn:
+        weighed = lists.withColumn("weight", F.xxhash64(F.lit(turn), "node"))
+    else:
+        sizes = lists.groupBy("key").agg(F.count("*").alias("size"))
+        weighed = lists.join(lists.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight")), "node")
+    heads = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "comp")).alias("h"))
+    heads = heads.select("key", F.col("h.node").alias("a"), F.col("h.n").alias("m"), F.col("h.comp").alias("hc"))
+    met = lists.join(heads, "key").where(f"comp <> hc AND {fits}").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("k"))
+    best = Window.partitionBy("b").orderBy(F.desc("k"), "a")
+    return met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= HEADS).select("a", "b")
+
+
+def _debug(met):
+    pass
 
 
 def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,47 +303,36 @@ def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int
     sketch, small = count_shingles(docs.select("text"), size)
     x = boundary(sketch, small, num, den)
     order = spark.sparkContext.broadcast(sketch)
-    signed = cut(docs.mapInArrow(_entry_task(order, size, x, num, den), "id long, n int, node long, keys array<long>, kinds array<tinyint>"))
-    rows = signed.select("id", "n", "node")
+    rows = cut(docs.mapInArrow(_node_task(size), "id long, n int, node long"))
     nodes = cut(rows.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")))
-
-    entries = signed.where("size(keys) > 0").select("node", "n", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("kinds").alias("c"))).alias("e"))
-    entries = entries.select(F.col("e.key").alias("key"), F.col("e.c").alias("c"), "n", "node").repartition(F.col("key"))
+    entries = docs.select("text").mapInArrow(_entry_task(order, size, x, num, den), "key long, c tinyint, n int, node long, pos int").repartition(F.col("key"))
     heads = entries.groupBy("key").agg(F.min(F.struct("n", "node")).alias("head"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     heads = heads.select("key", F.col("head.n").alias("hn"), F.col("head.node").alias("head"))
     lists = cut(entries.join(heads.hint("shuffle_hash"), "key").dropDuplicates(["key", "node"]))
-
-    fits = f"{num} * greatest(n, hn) <= {den} * least(n, hn)"
-    subset_links = lists.where(f"c > 0 AND node <> head AND {num} * (n + hn) <= {num + den} * c").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    scans = lists.where("c = 0").select("key", "n", "node", "head", "hn")
-    first = _verify(docs, nodes, _best(scans.where(f"node <> head AND {fits}").select(F.col("head").alias("a"), F.col("node").alias("b"))), size, num, den)
-    links = cut(subset_links.unionByName(first))
-    found = components(links)
-
-    # second round: heads are the largest sets of the lists that still hold different components
-    open_lists = _open(scans.select("key", "n", "node"), found)
-    tops = open_lists.groupBy("key").agg(F.max(F.struct("n", "node", "comp")).alias("top"))
-    paired = open_lists.join(tops, "key").select("n", "node", "comp", F.col("top.n").alias("hn"), F.col("top.node").alias("head"), F.col("top.comp").alias("hc"))
-    second = _verify(docs, nodes, _best(paired.where(f"comp <> hc AND {fits}").select(F.col("head").alias("a"), F.col("node").alias("b"))), size, num, den)
-    links = cut(links.unionByName(second))
-    found = components(links)
-
-    # last round: every two sets of different components that share enough entries
-    open_lists = _open(open_lists.select("key", "n", "node"), found)
-    other = open_lists.select("key", F.col("n").alias("m"), F.col("node").alias("b"), F.col("comp").alias("cb"))
-    met = open_lists.withColumnRenamed("node", "a").join(other, "key").where(f"a < b AND comp <> cb AND {num} * greatest(n, m) <= {den} * least(n, m)")
-    enough = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("n", "m")).alias("n")).where("k >= 1 + floor(n / 40)").select("a", "b")
-    third = _verify(docs, nodes, enough, size, num, den)
-    found = components(links.unionByName(third))
+    stars = lists.where(f"c > 0 AND node <> head AND {num} * (n + hn) <= {num + den} * c").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    links, scans = cut(stars), lists.where("c = 0").select("key", "n", "node", "pos")
+    fits = f"{num} * greatest(n, m) <= {den} * least(n, m)"
+
+    found = None
+    for turn in range(ROUNDS):  # join families through their most central sets
+        scans = _open(scans, found)
+        links = cut(links.unionByName(_verify(docs, nodes, _head_pairs(scans, fits, turn), size, num, den)))
+        found = components(links)
+        scans = scans.drop("comp")
+
+    # whatever can still join components: a linked pair has shared(n) common entries among the first n - c(n, m) + shared(n) of both
+    scans = _open(scans, found)
+    other = scans.select("key", F.col("n").alias("m"), F.col("node").alias("b"), F.col("pos").alias("at"), F.col("comp").alias("cb"))
+    least = f"CAST(ceil({num} * (n + m) / {num + den}) AS INT)"
+    sure = "(1 + CAST(floor(least(n, m) / 40) AS INT))"
+    near = f"pos < n - {least} + {sure} AND at < m - {least} + {sure}"
+    met = scans.withColumnRenamed("node", "a").join(other, "key").where(f"a < b AND comp <> cb AND {fits} AND {near}")
+    _debug(met)
+    enough = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.expr(sure)).alias("least")).where("k >= least").select("a", "b")
+    found = components(links.unionByName(_verify(docs, nodes, enough, size, num, den)))
 
     labelled = rows.join(found, "node", "left").withColumn("set", F.coalesce("component", "node"))
     least = labelled.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
     out = labelled.join(least, "set", "left")
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
 
-
-def _open(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """key, n, node, comp of the entries whose list holds more than one component."""
-    labelled = entries.join(found, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return cut(labelled.join(mixed, "key"))
