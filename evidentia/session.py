@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the reliable checkpoint folder and go on from there: lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver find plans that nothing refers to any more, so that Spark deletes their shuffle files before the job ends.
+
+    Spark's cleaner learns of such plans only when the driver collects garbage, which a small plan in a large heap may not cause for
+    half an hour; a job of many rounds would hold the shuffles of all its rounds on disk until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
