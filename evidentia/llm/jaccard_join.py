@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import text as T
 from evidentia.llm.components import components
-from evidentia.session import cut
+from evidentia.session import cut, release
 
 SKETCH_BITS = 22
 BLOCK_BITS = 16
@@ -158,13 +158,19 @@ def _node_task(size: int):
     return run
 
 
+#: An entry's subset size c, set size n and place among the set's entries, read back from its meta (c: 4 bits, n: 30, pos: 29).
+META = {"c": "CAST(shiftright(meta, 59) AS INT)", "n": "CAST(shiftright(meta, 29) & 1073741823 AS INT)", "pos": "CAST(meta & 536870911 AS INT)"}
+
+
 def _entry_task(order, size: int, x: int, num: int, den: int):
+    """key, node, meta: three long columns, as these rows are the operator's largest shuffle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = order.value
         seen: set[int] = set()
         for batch in batches:
             for w in T.words(batch.column(0)):
-                keys, kinds, owners, counts, places = [], [], [], [], []
+                keys, owners, metas = [], [], []
                 for _, s in T.shingle_sets(w, size):
                     n, node = len(s), _node_of(s)
                     if not n or node in seen:
@@ -176,20 +182,17 @@ def _entry_task(order, size: int, x: int, num: int, den: int):
                         for want in subset_sizes(n, x, num, den):
                             subs = s[np.array(list(combinations(range(n), want)))]
                             keys.append(T.mix(T.mix(subs).sum(axis=1, dtype=np.uint64) + np.uint64(want)))
-                            kinds.append(np.full(len(subs), want, np.int8))
-                            places.append(np.zeros(len(subs), np.int32))
+                            metas.append(np.full(len(subs), want << 59 | n << 29, np.int64))
                     if partners(n, num, den)[-1] > x:
                         p = prefix(n, num, den)
                         rank = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                         keys.append(s[np.lexsort((s, rank))[:p]])
-                        kinds.append(np.zeros(p, np.int8))
-                        places.append(np.arange(p, dtype=np.int32))
+                        metas.append(np.arange(p, dtype=np.int64) + (n << 29))
                     made = sum(len(k) for k in keys[before:])
                     owners.append(np.full(made, node, np.int64))
-                    counts.append(np.full(made, n, np.int32))
                 if keys:
-                    columns = (np.concatenate(keys).view(np.int64), np.concatenate(kinds), np.concatenate(counts), np.concatenate(owners), np.concatenate(places))
-                    yield pa.record_batch([pa.array(c) for c in columns], names=["key", "c", "n", "node", "pos"])
+                    columns = (np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(metas))
+                    yield pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "meta"])
 
     return run
 
@@ -291,10 +294,6 @@ def _head_pairs(lists: DataFrame, fits: str, turn: int) -> DataFrame:
     return met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= HEADS).select("a", "b")
 
 
-def _debug(met):
-    pass
-
-
 def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component: the least id reachable over links, its own included."""
     spark: SparkSession = documents.sparkSession
@@ -305,12 +304,16 @@ def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int
     order = spark.sparkContext.broadcast(sketch)
     rows = cut(docs.mapInArrow(_node_task(size), "id long, n int, node long"))
     nodes = cut(rows.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")))
-    entries = docs.select("text").mapInArrow(_entry_task(order, size, x, num, den), "key long, c tinyint, n int, node long, pos int").repartition(F.col("key"))
-    heads = entries.groupBy("key").agg(F.min(F.struct("n", "node")).alias("head"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    entries = docs.select("text").mapInArrow(_entry_task(order, size, x, num, den), "key long, node long, meta long").repartition(F.col("key"))
+    # both sides of the join read all columns of the entries, so that one shuffle serves both
+    heads = entries.groupBy("key").agg(F.min(F.struct(F.expr(META["n"]).alias("n"), "node", "meta")).alias("head"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     heads = heads.select("key", F.col("head.n").alias("hn"), F.col("head.node").alias("head"))
-    lists = cut(entries.join(heads.hint("shuffle_hash"), "key").dropDuplicates(["key", "node"]))
-    stars = lists.where(f"c > 0 AND node <> head AND {num} * (n + hn) <= {num + den} * c").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links, scans = cut(stars), lists.where("c = 0").select("key", "n", "node", "pos")
+    star = f"node <> head AND {num} * ({META['n']} + hn) <= {num + den} * {META['c']}"
+    held = entries.join(heads.hint("shuffle_hash"), "key").dropDuplicates(["key", "node"]).where(f"{META['c']} = 0 OR ({star})")
+    lists = cut(held.select("key", "node", "meta", F.expr(f"CASE WHEN {META['c']} > 0 THEN head END").alias("head")))
+    release(spark)  # the entries' shuffle is done with
+    links = cut(lists.where("head IS NOT NULL").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    scans = lists.where("head IS NULL").select("key", F.expr(META["n"]).alias("n"), "node", F.expr(META["pos"]).alias("pos"))
     fits = f"{num} * greatest(n, m) <= {den} * least(n, m)"
 
     found = None
@@ -319,6 +322,7 @@ def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int
         links = cut(links.unionByName(_verify(docs, nodes, _head_pairs(scans, fits, turn), size, num, den)))
         found = components(links)
         scans = scans.drop("comp")
+        release(spark)
 
     # whatever can still join components: a linked pair has shared(n) common entries among the first n - c(n, m) + shared(n) of both
     scans = _open(scans, found)
@@ -327,7 +331,6 @@ def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int
     sure = "(1 + CAST(floor(least(n, m) / 40) AS INT))"
     near = f"pos < n - {least} + {sure} AND at < m - {least} + {sure}"
     met = scans.withColumnRenamed("node", "a").join(other, "key").where(f"a < b AND comp <> cb AND {fits} AND {near}")
-    _debug(met)
     enough = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.expr(sure)).alias("least")).where("k >= least").select("a", "b")
     found = components(links.unionByName(_verify(docs, nodes, enough, size, num, den)))
 
