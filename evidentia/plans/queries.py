@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from evidentia.functions import stats
 from evidentia.functions import text as X
 from evidentia.operators import aggregates as A
+from evidentia.operators import compare as C
+from evidentia.operators import detectors as D
 from evidentia.operators import graph as G
 from evidentia.operators import joins as J
 from evidentia.operators import locate as L
@@ -269,7 +271,8 @@ def capture_completeness(spark, sf_dir):
     return A.completeness(e.withColumn("k", k), (F.col("id") % 6).cast("string"), F.col("id")).drop("backend", "db")
 
 
-@query(_tel_sql("""SELECT detector, count(DISTINCT session_id)::BIGINT AS sessions, 60::BIGINT AS window_sessions FROM (SELECT session_id, 'd' || (id % 9) AS detector FROM tel WHERE k = 'err') JOIN (SELECT session_id FROM tel GROUP BY 1 ORDER BY min(t) DESC, session_id DESC LIMIT 60) USING (session_id) GROUP BY 1"""))
+@query(_tel_sql(""", s AS (SELECT session_id FROM tel GROUP BY 1 ORDER BY min(t) DESC, session_id DESC LIMIT 60)
+ SELECT detector, count(DISTINCT session_id)::BIGINT AS sessions, (SELECT count(*) FROM s)::BIGINT AS window_sessions FROM (SELECT session_id, 'd' || (id % 9) AS detector FROM tel WHERE k = 'err') JOIN s USING (session_id) WHERE (SELECT count(*) FROM s) >= 12 GROUP BY 1"""))
 def detector_prevalence(spark, sf_dir):
     e = events_as_telemetry(spark, sf_dir)
     findings = e.where("k = 'err'").select("session_id", F.concat(F.lit("d"), (F.col("id") % 9).cast("string")).alias("detector"))
@@ -412,7 +415,7 @@ def causal_edges(spark, sf_dir):
 @query(None)
 def text_signatures(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d.select("doc_id", X.fnv1a_base36(F.substring("text", 1, 64)).alias("hash"), F.size(X.issue_tokens(F.col("text"))).alias("n_tokens"), X.summary_signature(F.col("text")).alias("signature"), X.redact(F.substring("text", 1, 200)).alias("redacted"))
+    return d.select("doc_id", X.fnv1a_base36(F.col("text")).alias("hash"), F.size(X.issue_tokens(F.col("text"))).alias("n_tokens"), X.summary_signature(F.col("text")).alias("signature"), X.redact(F.col("text")).alias("redacted"))
 
 
 @query("""SELECT page_id, CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS path, array_to_string(list_transform(string_split(CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]{2,}') THEN '<id>' ELSE s END), '/') AS route,
@@ -465,3 +468,88 @@ def declared_total_divergence(spark, sf_dir):
 @query("SELECT l_orderkey, l_partkey, l_suppkey, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_writes(spark, sf_dir):
     return _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.count("*").alias("n")).where("n > 1")
+
+
+# ---- detectors, comparison and evidence
+
+
+def _payload(spark, sf_dir):
+    """The telemetry with a payload, as the detectors read it; a request and its response share an id of their own."""
+    e = events_as_telemetry(spark, sf_dir)
+    columns = {"method": F.lit("GET"), "table": F.lit(None).cast("string"), "op": F.lit(None).cast("string"), "d": F.parse_json(F.to_json(F.struct("msg", "st")))}
+    return e.withColumns(columns).withColumn("id", F.col("id").cast("string"))
+
+
+_NET = """net AS (SELECT session_id, id, min(seq) FILTER (k = 'net.req') IS NOT NULL AS sent, min(t) FILTER (k = 'net.res') IS NOT NULL AS done, max(st) AS st, max(dur) AS dur FROM tel WHERE k IN ('net.req', 'net.res') GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {TELEMETRY_SQL}, {_NET} SELECT session_id, detector, count(*)::BIGINT AS n, max(score)::BIGINT AS top FROM (
+ SELECT session_id, 'http_error' AS detector, 90 AS score FROM net WHERE st >= 400 UNION ALL SELECT session_id, 'pending_request', 58 FROM net WHERE sent AND NOT done
+ UNION ALL SELECT session_id, 'uncaught_error', 88 FROM tel WHERE k = 'err') GROUP BY 1, 2""")
+def detector_findings(spark, sf_dir):
+    found = D.run_detectors(_payload(spark, sf_dir), ["http_error", "pending_request", "uncaught_error"])
+    return found.groupBy("session_id", "detector").agg(F.count("*").alias("n"), F.max("score").cast("long").alias("top"))
+
+
+@query(_tel_sql(f"""SELECT session_id, seq, n FROM (SELECT session_id, seq, k, count(*) OVER (PARTITION BY session_id, k ORDER BY t RANGE BETWEEN {D.REPEAT_MS} PRECEDING AND CURRENT ROW)::BIGINT AS n FROM tel WHERE k = 'clk') WHERE n >= 2"""))
+def repeated_clicks(spark, sf_dir):
+    w = Window.partitionBy("session_id", "k").orderBy("t").rangeBetween(-D.REPEAT_MS, 0)
+    return events_as_telemetry(spark, sf_dir).where("k = 'clk'").withColumn("n", F.count("*").over(w)).where("n >= 2").select("session_id", "seq", "n")
+
+
+@query(None)
+def evidence_candidates(spark, sf_dir):
+    return D.evidence_candidates(_payload(spark, sf_dir), ["http_error", "pending_request", "uncaught_error", "latency_outlier", "slow_request", "response_race"])
+
+
+@query(None)
+def aligned_steps(spark, sf_dir):
+    """Odd sessions against the even ones before them, greedily aligned."""
+    s = C.steps(events_as_telemetry(spark, sf_dir).withColumn("sig", (F.col("id") % 4).cast("string")))
+    pair = F.floor(F.col("session_id") / 2).cast("string").alias("pair")
+    return C.align_steps(s.where("session_id % 2 = 0").select(pair, "idx", "kind", "sig"), s.where("session_id % 2 = 1").select(pair, "idx", "kind", "sig"))
+
+
+@query(_tel_sql("""SELECT session_id, seq, anchor FROM (SELECT session_id, seq, k, last_value(CASE WHEN k IN ('nav', 'clk', 'inp') THEN idx END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY t, (k = 'net.res')::INT, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS anchor
+ FROM (SELECT *, row_number() OVER (PARTITION BY session_id, k IN ('nav', 'clk', 'inp') ORDER BY t, seq) - 1 AS idx FROM tel)) WHERE k = 'net.res'"""))
+def anchored_calls(spark, sf_dir):
+    e = events_as_telemetry(spark, sf_dir)
+    marks = C.steps(e.withColumn("sig", F.lit("")))
+    return C.anchor(e.where("k = 'net.res'").select("session_id", "seq", "t"), marks).select("session_id", "seq", F.col("anchor").cast("long").alias("anchor"))
+
+
+_EVIDENCE = "ev AS (SELECT session_id % 7 AS bundle, session_id * 100000 + seq AS id, t, list_extract(['observed', 'derived', 'inferred'], (seq % 3)::INT + 1) AS provenance, CASE WHEN id % 3 = 0 THEN NULL ELSE request_id END AS rid, k AS lane FROM tel WHERE k IN ('err', 'net.res'))"
+
+
+def _evidence(spark, sf_dir):
+    e = events_as_telemetry(spark, sf_dir).where("k IN ('err', 'net.res')")
+    return e.select((F.col("session_id") % 7).alias("bundle"), (F.col("session_id") * 100000 + F.col("seq")).alias("eid"), "t", F.element_at(F.array(*map(F.lit, ("observed", "derived", "inferred"))), (F.col("seq") % 3 + 1).cast("int")).alias("provenance"), F.when(F.col("id") % 3 != 0, F.col("request_id")).alias("rid"), F.col("k").alias("lane")).withColumnRenamed("eid", "id")
+
+
+_EDGES_SQL = """, c AS (SELECT *, CASE provenance WHEN 'observed' THEN 0.9::DOUBLE WHEN 'derived' THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS sure FROM ev WHERE rid IS NOT NULL)
+, edges AS (SELECT * FROM (SELECT bundle, id AS src, lead(id) OVER w AS dst, 'rid' AS key, least(sure, lead(sure) OVER w) AS confidence FROM c WINDOW w AS (PARTITION BY bundle, rid ORDER BY t, id)) WHERE dst IS NOT NULL)"""
+
+
+@query(f"WITH {TELEMETRY_SQL}, {_EVIDENCE}{_EDGES_SQL} SELECT bundle, src, dst, key, confidence FROM edges")
+def evidence_edges(spark, sf_dir):
+    return C.evidence_edges(_evidence(spark, sf_dir), ["rid"])
+
+
+@query(f"WITH {TELEMETRY_SQL}, {_EVIDENCE}{_EDGES_SQL} SELECT bundle, id FROM ev WHERE NOT EXISTS (SELECT 1 FROM edges g WHERE g.bundle = ev.bundle AND (g.src = ev.id OR g.dst = ev.id))")
+def evidence_islands(spark, sf_dir):
+    e = _evidence(spark, sf_dir)
+    return C.islands(e, C.evidence_edges(e, ["rid"]))
+
+
+@query("""SELECT coalesce(a.k, b.k) AS l_suppkey, coalesce(a.n, 0)::BIGINT AS before, coalesce(b.n, 0)::BIGINT AS after, CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'stopped' ELSE 'unchanged' END AS verdict
+ FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_discount > 0.09 AND l_quantity < 3 GROUP BY 1) a FULL JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_tax > 0.07 AND l_quantity < 3 GROUP BY 1) b ON a.k = b.k""")
+def backtest_findings(spark, sf_dir):
+    l_ = _read(spark, sf_dir, "lineitem").where("l_quantity < 3")
+    return C.backtest(l_.where("l_discount > 0.09"), l_.where("l_tax > 0.07"), ["l_suppkey"])
+
+
+@query("""SELECT o_custkey AS session_id, o_orderkey AS seq, o_orderkey AS t, o_orderpriority AS url, CASE WHEN o_orderkey = f THEN o_orderstatus END AS body, CASE WHEN o_orderkey <> f THEN f END AS same_as
+ FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority, o_orderstatus) AS f FROM orders)""")
+def body_references(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("t"), F.col("o_orderpriority").alias("url"), F.col("o_orderstatus").alias("body"))
+    return C.body_references(o)
