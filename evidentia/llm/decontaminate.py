@@ -9,6 +9,8 @@ random steps of the walk; `tables` such hashes give the target recall.
 * The corpus side walks a window at every `stride`-th word of every text. A passage of n words holds about n / stride
   sampled starts, and each meets the items' windows that begin at the same word: an unedited passage is always
   found, an edited one where one of its windows agrees at the sampled steps in one table.
+* The walks sample, so every corpus word also begins the word seeds of the pigeonhole: an item cut into int(rate * words) + 1
+  pieces keeps one of them unedited in every stretch within the rate, so no leak is missed whatever its length and edits.
 * Every (document, item, place) that collides is checked: the least word edit distance between the whole
   item and any stretch of the text around the place, by dynamic programming over a batch of candidates.
   It counts as a leak at `edit_rate` * item words or fewer.
@@ -17,9 +19,8 @@ Items are grouped by length so that no walk leaves its item (a step moves by one
 One pass over the texts, no shuffle; the corpus is never gathered. A benchmark larger than
 `most_items_bytes` is handled in slices of that size, each its own broadcast and pass.
 
-Recall: for Hamming distance h of d steps a table agrees with (1 - h/d)^sampled. With 12 tables of 4 and walks that
-differ in a third of their steps (about n / 10 edits near the window), one window is found with 93 %, and a passage has
-several windows.
+Recall is 1: the seeds alone reach every stretch within the rate, and the checked region around a seed holds the whole stretch.
+A candidate goes to the edit program only if enough of the item's words stand in its region, which every leak fulfils.
 
 Cases: null and empty texts and items match nothing; items of fewer than `least_words` words are too short to be
 evidence and match nothing; repeated documents each get their rows, repeated items too; ties in distance keep the first
@@ -77,6 +78,13 @@ def walk_keys(hashes: np.ndarray, starts: np.ndarray, classes: list[int], plans:
     return out
 
 
+def seeds(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the most + 1 pieces, as even as can be, that `most` edits cannot all touch: offsets and lengths (of 1 word at least)."""
+    edges = np.arange(most + 2) * len(words) // (most + 1)
+    keep = np.diff(edges) > 0
+    return edges[:-1][keep], np.diff(edges)[keep]
+
+
 def _class(n: int) -> int:
     return max(d for d in CLASSES if d + STRIDE - 1 <= n)
 
@@ -84,7 +92,7 @@ def _class(n: int) -> int:
 class ItemIndex:
     """The walked windows of the benchmark items: sorted keys, and the item and offset of each."""
 
-    def __init__(self, ids: list, texts: list[str | None], seed: int = 5):
+    def __init__(self, ids: list, texts: list[str | None], rate: float = EDIT_RATE, seed: int = 5):
         self.seed = seed
         self.ids, self.words = [], []
         for w in T.words(pa.array(texts, pa.string())):
@@ -110,6 +118,33 @@ class ItemIndex:
         self.offset = np.concatenate(offset)[order] if offset else np.zeros(0, np.int64)
         self.map = np.zeros(1 << _MAP_BITS, bool)
         self.map[(self.keys >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
+        self._add_seeds(rate)
+
+    def _add_seeds(self, rate: float) -> None:
+        """For each piece length: sorted hashes of the items' pieces, the item and offset of each, and their map."""
+        pieces: dict[int, list[tuple[int, int, np.uint64]]] = {}
+        for n, h in enumerate(self.words):
+            for at, length in zip(*seeds(h, int(rate * len(h))), strict=True):
+                pieces.setdefault(int(length), []).append((n, int(at), T.ngram_hashes(h[at : at + length], int(length))[0]))
+        self.seeds = {}
+        for length, rows in pieces.items():
+            item, offset, keys = (np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int64, np.int64, np.uint64), strict=True))
+            order = np.argsort(keys, kind="stable")
+            near = np.zeros(1 << _MAP_BITS, bool)
+            near[(keys >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
+            self.seeds[length] = (keys[order], item[order], offset[order], near)
+
+    def seeded(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, item, offset) wherever a piece of an item stands in the chunk."""
+        found = [np.zeros((3, 0), np.int64)]
+        for length, (keys, item, offset, map_) in self.seeds.items():
+            grams = T.ngram_hashes(hashes, length)
+            near = np.flatnonzero(map_[(grams >> np.uint64(64 - _MAP_BITS)).astype(np.int64)])
+            lo, hi = np.searchsorted(keys, grams[near], "left"), np.searchsorted(keys, grams[near], "right")
+            n = hi - lo
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.stack([np.repeat(near, n), item[at], offset[at]]))
+        return tuple(np.concatenate(found, axis=1))
 
     def candidates(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, item, offset) of the sampled windows that collide with an item's window."""
@@ -151,7 +186,7 @@ def _leaks_of(w: T.Words, index: ItemIndex, rate: float) -> list[tuple[int, int,
     counts = (np.diff(w.bounds) + STRIDE - 1) // STRIDE
     first = np.repeat(w.bounds[:-1], counts)
     starts = first + STRIDE * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-    start, item, offset = index.candidates(hashes, starts)
+    start, item, offset = (np.concatenate(c) for c in zip(index.candidates(hashes, starts), index.seeded(w.hashes), strict=True))
     if not len(start):
         return []
     doc = np.searchsorted(w.bounds, start, side="right") - 1
@@ -198,7 +233,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, edit_rate: float = ED
     for k in range(slices):
         own = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         rows = own.orderBy("item_id", "text").collect()
-        found = docs.mapInArrow(_leak_task(documents.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows])), edit_rate), "doc_id long, item_id long, edit_distance int, item_words int, end_word int")
+        found = docs.mapInArrow(_leak_task(documents.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], edit_rate)), edit_rate), "doc_id long, item_id long, edit_distance int, item_words int, end_word int")
         out = found if out is None else out.unionByName(found)
     return out
 

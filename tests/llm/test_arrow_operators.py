@@ -158,6 +158,21 @@ def test_decontamination_matches_edit_distance(spark):
     assert decontaminate.find_leaks(frame(spark, texts), bench, most_items_bytes=300).count() == len(got)
 
 
+@pytest.mark.parametrize("n", range(8, 60))
+def test_decontamination_finds_every_copy_at_the_full_rate(n):
+    r, most = random.Random(n), int(0.25 * n)
+    item = [f"i{k}" for k in range(n)]
+    index = decontaminate.ItemIndex([0], [" ".join(item)])
+    texts = []
+    for k in range(60):
+        copy = list(item)
+        for at in sorted(r.sample(range(n), most), reverse=True):
+            copy[at : at + 1] = [["x"], [], [copy[at], "y"]][r.randrange(3) if k % 2 else 0]
+        texts.append(" ".join([f"f{j}" for j in range(r.randrange(9))] + copy + [f"g{j}" for j in range(r.randrange(70))]))
+    found = [x for w in T.words(pa.array(texts, pa.string())) for x in decontaminate._leaks_of(w, index, 0.25)]
+    assert len(found) == len(texts) and all(d <= most for _, _, d, _ in found)
+
+
 def test_language_model_base_is_exact_and_score_prefers_seen_order(spark):
     r = random.Random(2)
     texts = [" ".join(r.choice(["a b c", "d e", "f", "g h i j"]) for _ in range(r.randint(0, 60))) for _ in range(60)] + [None, "", "never seen words", "A B C"]
