@@ -5,12 +5,12 @@ token). Tasks send sorted (hash, count) runs, cut by hash range, through one shu
 arrives, so counts are exact over all training texts and nothing is gathered.
 
 Model. A count c is quantised to q = 1 + floor(log_b c) and the keys (gram, 1..q) are put in a Bloom filter. Each hash range owns
-its own stretch of the filter, so a range's bits are finished where its counts are; the filter, whose size follows the number of
-n-grams up to `most_filter_bytes`, is broadcast. n-grams of order 2 and more seen only once are left out of the filter (a
-property of the model, as in pruned back-off models; they are counted all the same).
+its own stretch of the filter, so a range's bits are finished where its counts are. The filter grows with the n-grams, so a key has
+as many bits at any size; it is broadcast in slices of whole ranges, of `most_filter_bytes` at most. n-grams of order 2 and more seen only once are left out of the filter (a property of the model, as in pruned back-off models; they are counted all the same).
 
 Scoring. A count is read back by probing (gram, 1), (gram, 2), ... until a probe fails; a run of j hits stands for the middle of
-[b^(j-1), b^j). Probabilities interpolate the orders with Witten-Bell-like weights; order 1 is add-half smoothed.
+[b^(j-1), b^j). A task scores a group of texts of bounded size at a time and passes over it once for each slice, holding one slice in
+memory; every key is answered by the slice of its range, so the cut into slices changes no score. Probabilities interpolate the orders with Witten-Bell-like weights; order 1 is add-half smoothed.
 
 The base score needs exact counts of every word. The `head_words` most frequent words, a bounded table, are broadcast and
 cover nearly all tokens; the other (word, text) pairs are rare by definition and meet the exact counts in a shuffle join.
@@ -37,7 +37,10 @@ END = np.uint64(0xE7037ED1A0B428DB)
 #: Hash ranges: a power of two from 64 up, two for each input partition, so that a range's counts fit a task at any size.
 RANGES = (64, 1 << 16)
 HEAD_WORDS = 1 << 18
+#: Of one slice of the filter; the filter itself has no bound.
 MOST_FILTER_BYTES = 64 << 20
+#: Bytes of text that a task passes over together when the filter has several slices.
+GROUP_BYTES = 16 << 20
 PROBES = 2
 BITS_PER_KEY = 10
 LOG_BASE = 2.0
@@ -60,11 +63,16 @@ def gram_hashes(tokens: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.
     out = np.zeros(len(tokens), np.uint64)
     grams = T.ngram_hashes(tokens, order)
     out[order - 1 :] = grams ^ np.uint64(order)
+    return out, gram_inside(tokens, bounds, order)
+
+
+def gram_inside(tokens: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
+    """Whether the n-gram that ends at each token lies inside its text."""
     inside = np.ones(len(tokens), bool)
     for k in range(order - 1):
         at = bounds[:-1] + k
         inside[at[at < len(tokens)]] = False
-    return out, inside
+    return inside
 
 
 def _run(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,41 +217,77 @@ def _bits_task(stretch: int, ranges: int):
 
 
 @dataclass
-class Model:
-    """What scoring broadcasts: the filter, and the totals."""
+class Slice:
+    """The bits of the ranges first, first + 1, ... of the filter; what a pass broadcasts."""
 
     bits: np.ndarray
+    first: int
     stretch: int
     ranges: int
-    order: int
-    tokens: int
-    types: int
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts read back by repeated membership probes."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Hits of repeated membership probes; 0 for keys of other ranges."""
         keys = reduced(keys)
-        levels = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
+        levels = np.zeros(len(keys), np.uint8)
+        r = _range_of(keys, self.ranges) - self.first
+        alive = np.flatnonzero((r >= 0) & (r < len(self.bits) * 8 // self.stretch))
         for level in range(1, 64):
             if not len(alive):
                 break
             hit = np.ones(len(alive), bool)
             for at in _places(keys[alive], level, self.stretch, self.ranges):
+                at -= self.first * self.stretch
                 hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             alive = alive[hit]
             levels[alive] = level
-        return middle(levels)
+        return levels
+
+
+@dataclass
+class Model:
+    """The totals, the shape of the filter, and the summed counts that its slices are made of."""
+
+    sums: DataFrame
+    stretch: int
+    ranges: int
+    order: int
+    tokens: int
+    types: int
+    slice_ranges: int
+
+    def slices(self) -> Iterator[Slice]:
+        for first in range(0, self.ranges, self.slice_ranges):
+            own = self.sums if self.slice_ranges >= self.ranges else self.sums.where(F.pmod("part", F.lit(self.ranges)).between(first, first + self.slice_ranges - 1))
+            bits = np.zeros(min(self.slice_ranges, self.ranges - first) * self.stretch // 8, np.uint8)
+            for row in own.mapInArrow(_bits_task(self.stretch, self.ranges), "r long, bits binary").collect():  # a slice for each order at most
+                at = (row["r"] - first) * self.stretch // 8
+                bits[at : at + self.stretch // 8] |= np.frombuffer(row["bits"], np.uint8)
+            yield Slice(bits, first, self.stretch, self.ranges)
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """Counts as the filter gives them."""
+        return middle(sum((s.levels(keys).astype(np.int64) for s in self.slices()), np.zeros(len(keys), np.int64)))
+
+    def scorer(self) -> Scorer:
+        return Scorer(self.order, self.tokens, self.types)
 
-    def log10_probabilities(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+
+@dataclass
+class Scorer:
+    """Probabilities from the levels read back; what a task needs beside the filter."""
+
+    order: int
+    tokens: int
+    types: int
+
+    def log10_probabilities(self, levels: np.ndarray, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 probability of each token after the words before it in its text."""
-        words, back = np.unique(tokens, return_inverse=True)
-        counts = self.count(words)[back]
+        counts = middle(levels[0].astype(np.int64))
         p = (counts + 0.5) / (self.tokens + 0.5 * (self.types + 1))
         history = np.concatenate([[0.0], counts[:-1]])
         for n in range(2, self.order + 1):
-            grams, inside = gram_hashes(tokens, bounds, n)
-            own = np.zeros(len(tokens))
-            own[inside] = self.count(grams[inside])
+            inside = gram_inside(tokens, bounds, n)
+            own = middle(levels[n - 1].astype(np.int64))
             own = np.minimum(own, history)
             # weight of the longer history: h / (h + discount); what it holds back goes to the shorter one
             weight = np.where(inside & (history > 0), history / (history + 10.0 * np.sqrt(history) + 5.0), 0.0)
@@ -263,11 +307,9 @@ def train(training_texts: DataFrame, order: int = 2, most_filter_bytes: int = MO
     tokens = vocabulary.agg(F.sum("c")).first()[0] or 0
     # levels beyond the first add about as many keys again
     want = BITS_PER_KEY * 2 * max(1, sum(known.values()))
-    stretch = int(min(want, 8 * most_filter_bytes) // ranges // 8 + 8) * 8
-    bits = np.zeros(ranges * stretch // 8, np.uint8)
-    for row in sums.mapInArrow(_bits_task(stretch, ranges), "r long, bits binary").collect():  # together at most most_filter_bytes for each order
-        bits[row["r"] * stretch // 8 : (row["r"] + 1) * stretch // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return Model(bits, stretch, ranges, order, int(tokens), known.get(True, 0)), vocabulary
+    stretch = (want // ranges // 8 + 8) * 8
+    per_slice = max(1, min(ranges, 8 * most_filter_bytes // stretch))
+    return Model(sums, stretch, ranges, order, int(tokens), known.get(True, 0), per_slice), vocabulary
 
 
 def _vocabulary_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,23 +318,78 @@ def _vocabulary_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.record_batch([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(counts, "<i8"))], names=["h", "c"])
 
 
-def _score_task(sent_model, sent_head):
+class _Chunk:
+    """A chunk's tokens, the keys of each order, and the levels read back so far."""
+
+    def __init__(self, w: T.Words, order: int):
+        self.tokens, self.bounds = token_stream(w)
+        words, self.back = np.unique(self.tokens, return_inverse=True)
+        grams = [gram_hashes(self.tokens, self.bounds, n) for n in range(2, order + 1)]
+        self.keys = [words, *(h[inside] for h, inside in grams)]
+        self.inside = [inside for _, inside in grams]
+        self.read = [np.zeros(len(k), np.uint8) for k in self.keys]
+
+    def probe(self, held: Slice) -> None:
+        for k, read in zip(self.keys, self.read, strict=True):
+            np.maximum(read, held.levels(k), out=read)
+
+    def levels(self) -> np.ndarray:
+        out = np.zeros((len(self.keys), len(self.tokens)), np.uint8)
+        out[0] = self.read[0][self.back]
+        for row, inside, read in zip(out[1:], self.inside, self.read[1:], strict=True):
+            row[inside] = read
+        return out
+
+
+def _one_slice(sent, only: bool) -> Slice:
+    """The slice from its broadcast; one of several is not kept, so that a task holds one at a time."""
+    held = sent.value
+    if not only and getattr(sent, "_path", None):
+        vars(sent).pop("_value", None)
+    return held
+
+
+def _groups(batches: Iterator[pa.RecordBatch], order: int, most: int) -> Iterator[list[tuple[pa.RecordBatch, list[_Chunk]]]]:
+    """Runs of batches, parted where they outgrow `most` bytes."""
+    group, size = [], 0
+    for batch in batches:
+        group.append((batch, [_Chunk(w, order) for w in T.words(batch.column(1))]))
+        size += batch.nbytes
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _score_task(sent_slices, model, sent_head):
     """Scores by the model, and for the base score the sum over frequent words and the rare words left to join."""
 
+    def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[_Chunk]]]:
+        only = len(sent_slices) == 1
+        for group in _groups(batches, model.order, 1 if only else GROUP_BYTES):
+            for sent in sent_slices:
+                held = _one_slice(sent, only)
+                for _, chunks in group:
+                    for c in chunks:
+                        c.probe(held)
+                del held
+            yield from group
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (head, head_counts) = sent_model.value, sent_head.value
+        head, head_counts = sent_head.value
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch, chunks in _probed(batches):
             n_tokens, n_known, base, score, rare, times = [], [], [], [], [], []
-            for w in T.words(batch.column(1)):
-                tokens, bounds = token_stream(w)
+            for c in chunks:
+                tokens, bounds = c.tokens, c.bounds
                 at = bounds[:-1]
                 n_tokens.append(np.diff(bounds))
-                score.append(np.add.reduceat(model.log10_probabilities(tokens, bounds), at))
+                score.append(np.add.reduceat(model.log10_probabilities(c.levels(), tokens, bounds), at))
                 place = np.minimum(np.searchsorted(head, tokens), max(0, len(head) - 1))
                 frequent = (head[place] == tokens) if len(head) else np.zeros(len(tokens), bool)
-                c = np.where(frequent, head_counts[place] if len(head) else 0, 0)
-                logs = np.where(frequent, np.log10((c + 0.5) / (model.tokens + 0.5 * (model.types + 1))), 0.0)
+                count = np.where(frequent, head_counts[place] if len(head) else 0, 0)
+                logs = np.where(frequent, np.log10((count + 0.5) / (model.tokens + 0.5 * (model.types + 1))), 0.0)
                 base.append(np.add.reduceat(logs, at))
                 n_known.append(np.add.reduceat(frequent.astype(np.int64), at))
                 for k in range(len(at)):
@@ -320,7 +417,7 @@ def score(texts: DataFrame, model: Model, vocabulary: DataFrame, head_words: int
     h = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     head = (h[order], top.column("c").to_numpy()[order])
-    task = _score_task(sc.broadcast(model), sc.broadcast(head))
+    task = _score_task([sc.broadcast(s) for s in model.slices()], model.scorer(), sc.broadcast(head))
     scored = cut(texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "row long, id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"))
     rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("h"), F.col("times").alias("k"))).alias("e")).select("row", F.col("e.h").alias("h"), F.col("e.k").alias("k"))
     unit = F.lit(model.tokens + 0.5 * (model.types + 1))

@@ -204,6 +204,18 @@ def test_bloom_counts_are_quantised_counts(spark):
         assert language_model.middle(language_model.quantise(np.array([true])))[0] == c if true else c == 0
 
 
+def test_filter_of_many_slices_scores_alike(spark):
+    r = random.Random(3)
+    texts = [" ".join(f"w{int(r.paretovariate(0.5)) % 4000}" for _ in range(200)) for _ in range(60)] * 2
+    docs = frame(spark, texts)
+    got = []
+    for most in (language_model.MOST_FILTER_BYTES, 4096):
+        model, vocabulary = language_model.train(docs.select("text"), most_filter_bytes=most)
+        rows = language_model.score(docs.selectExpr("doc_id AS id", "text"), model, vocabulary).collect()
+        got.append(sorted((x["id"], x["score"]) for x in rows))
+    assert got[0] == got[1]
+
+
 def test_classifiers_on_clear_cases(spark):
     r = random.Random(3)
     good = [" ".join(r.choice(["river", "stone", "over", "light", "and", "the"]) for _ in range(60)).capitalize() + "." for _ in range(300)]
