@@ -6,7 +6,7 @@ arrives, so counts are exact over all training texts and nothing is gathered.
 
 Model. A count c is quantised to q = 1 + floor(log_b c) and the keys (gram, 1..q) are put in a Bloom filter. Each hash range owns
 its own stretch of the filter, so a range's bits are finished where its counts are. The filter grows with the n-grams, so a key has
-as many bits at any size; it is broadcast in slices of whole ranges, of `most_filter_bytes` at most. n-grams of order 2 and more seen only once are left out of the filter (a property of the model, as in pruned back-off models; they are counted all the same).
+as many bits at any size; it is broadcast in slices of whole ranges, of `most_filter_bytes` at most. An n-gram seen once is at level 1 (one key).
 
 Scoring. A count is read back by probing (gram, 1), (gram, 2), ... until a probe fails; a run of j hits stands for the middle of
 [b^(j-1), b^j). A task scores a group of texts of bounded size at a time and passes over it once for each slice, holding one slice in
@@ -44,7 +44,6 @@ GROUP_BYTES = 16 << 20
 PROBES = 2
 BITS_PER_KEY = 10
 LOG_BASE = 2.0
-LEAST_COUNT = 2
 _SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -173,10 +172,8 @@ def _sum_task(ranges: int):
         for part in list(sums):
             s = sums.pop(part)
             s.merge()
-            if part >= 2 * ranges:
-                keep = s.counts >= LEAST_COUNT
-                s.keys, s.counts = s.keys[keep], s.counts[keep]
-            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([s.keys.astype("<u8").tobytes()], pa.binary()), pa.array([s.counts.astype("<i8").tobytes()], pa.binary())], names=["part", "keys", "counts"])
+            levels = int(quantise(s.counts).sum())
+            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([s.keys.astype("<u8").tobytes()], pa.binary()), pa.array([s.counts.astype("<i8").tobytes()], pa.binary()), pa.array([levels], pa.int64())], names=["part", "keys", "counts", "levels"])
 
     return run
 
@@ -198,11 +195,12 @@ def _places(keys: np.ndarray, level: int, stretch: int, ranges: int) -> list[np.
 
 
 def _bits_task(stretch: int, ranges: int):
-    """For each range, the bits of its own stretch of the filter."""
+    """For each range, the bits of its own stretch of the filter; all orders of a range are in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
                 r = part % ranges
                 k, q = np.frombuffer(keys, "<u8"), quantise(np.frombuffer(counts, "<i8"))
                 if part < 2 * ranges:
@@ -211,7 +209,10 @@ def _bits_task(stretch: int, ranges: int):
                 for level in range(1, int(q.max(initial=0)) + 1):
                     for at in _places(k[q >= level], level, stretch, ranges):
                         bits[at - r * stretch] = True
-                yield pa.record_batch([pa.array([r], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["r", "bits"])
+                packed = np.packbits(bits, bitorder="little")
+                done[r] = done[r] | packed if r in done else packed
+        for r, packed in done.items():
+            yield pa.record_batch([pa.array([r], pa.int64()), pa.array([packed.tobytes()], pa.binary())], names=["r", "bits"])
 
     return run
 
@@ -259,7 +260,7 @@ class Model:
         for first in range(0, self.ranges, self.slice_ranges):
             own = self.sums if self.slice_ranges >= self.ranges else self.sums.where(F.pmod("part", F.lit(self.ranges)).between(first, first + self.slice_ranges - 1))
             bits = np.zeros(min(self.slice_ranges, self.ranges - first) * self.stretch // 8, np.uint8)
-            for row in own.mapInArrow(_bits_task(self.stretch, self.ranges), "r long, bits binary").collect():  # a slice for each order at most
+            for row in own.mapInArrow(_bits_task(self.stretch, self.ranges), "r long, bits binary").toLocalIterator():
                 at = (row["r"] - first) * self.stretch // 8
                 bits[at : at + self.stretch // 8] |= np.frombuffer(row["bits"], np.uint8)
             yield Slice(bits, first, self.stretch, self.ranges)
@@ -296,17 +297,17 @@ class Scorer:
         return np.log10(np.minimum(p, 1.0))
 
 
-def train(training_texts: DataFrame, order: int = 2, most_filter_bytes: int = MOST_FILTER_BYTES) -> tuple[Model, DataFrame]:
+def train(training_texts: DataFrame, order: int = 3, most_filter_bytes: int = MOST_FILTER_BYTES) -> tuple[Model, DataFrame]:
     """The model, and the exact counts of all training words: (h, c)."""
     ranges = min(RANGES[1], max(RANGES[0], 1 << (2 * training_texts.rdd.getNumPartitions() - 1).bit_length()))
     runs = training_texts.mapInArrow(_count_task(order, ranges), "part long, keys binary, counts binary")
-    sums = cut(runs.repartition(F.col("part")).mapInArrow(_sum_task(ranges), "part long, keys binary, counts binary"))
+    sums = cut(runs.repartition(F.pmod("part", F.lit(ranges))).mapInArrow(_sum_task(ranges), "part long, keys binary, counts binary, levels long"))
     vocabulary = sums.where(F.col("part") < 2 * ranges).mapInArrow(_vocabulary_task, "h long, c long")
-    size = sums.groupBy((F.col("part") < 2 * ranges).alias("words")).agg(F.sum(F.length("keys") / 8).alias("n")).collect()
+    size = sums.groupBy((F.col("part") < 2 * ranges).alias("words")).agg(F.sum(F.length("keys") / 8).alias("n"), F.sum("levels").alias("levels")).collect()
     known = {r["words"]: int(r["n"]) for r in size}
     tokens = vocabulary.agg(F.sum("c")).first()[0] or 0
-    # levels beyond the first add about as many keys again
-    want = BITS_PER_KEY * 2 * max(1, sum(known.values()))
+    # each level of an n-gram is a key
+    want = BITS_PER_KEY * max(1, sum(r["levels"] for r in size))
     stretch = (want // ranges // 8 + 8) * 8
     per_slice = max(1, min(ranges, 8 * most_filter_bytes // stretch))
     return Model(sums, stretch, ranges, order, int(tokens), known.get(True, 0), per_slice), vocabulary

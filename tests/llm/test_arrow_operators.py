@@ -204,6 +204,17 @@ def test_bloom_counts_are_quantised_counts(spark):
         assert language_model.middle(language_model.quantise(np.array([true])))[0] == c if true else c == 0
 
 
+def test_ngrams_seen_once_are_in_the_model(spark):
+    words = [f"w{k}" for k in range(300)]
+    model, vocabulary = language_model.train(frame(spark, [" ".join(words)]).select("text"))
+    random.Random(4).shuffle(mixed := list(words))
+    both = frame(spark, [" ".join(words), " ".join(mixed)]).selectExpr("doc_id AS id", "text")
+    seen, other = (x["score"] for x in sorted(language_model.score(both, model, vocabulary).collect()))
+    assert model.order >= 3 and seen > other + 20
+    grams, inside = language_model.gram_hashes(*language_model.token_stream(next(T.words(pa.array([" ".join(words)])))), 3)
+    assert (model.count(grams[inside]) >= 1).all()
+
+
 def test_filter_of_many_slices_scores_alike(spark):
     r = random.Random(3)
     texts = [" ".join(f"w{int(r.paretovariate(0.5)) % 4000}" for _ in range(200)) for _ in range(60)] * 2
