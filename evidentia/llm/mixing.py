@@ -68,6 +68,23 @@ def apportion(rows: DataFrame, group: list[str], seats: str, weight: str, tie: l
     return ranked.groupBy(*keys).agg((F.max("__sure") + F.sum(won)).cast("long").alias("quota"))
 
 
+def apportion_within(rows: DataFrame, seats: str, weight: str, ceiling: str, tie: list[str]) -> DataFrame:
+    """Sainte-Lague of one group in which no row gets more than its `ceiling`; what a full row gives up is apportioned among the others.
+
+    A row above its ceiling stays above it when others are held at theirs, so holding rows until none is above gives the exact apportionment.
+    """
+    held, open_ = None, cut(rows)
+    while True:
+        given = cut(apportion(open_, [], seats, weight, tie))
+        full = given.where(F.col("quota") > F.col(ceiling))
+        lost = full.agg(F.sum(ceiling)).first()[0]
+        if lost is None:
+            return given if held is None else given.unionByName(held)
+        full = full.withColumn("quota", F.col(ceiling))
+        held = full if held is None else held.unionByName(full)
+        open_ = given.where(F.col("quota") <= F.col(ceiling)).drop("quota").withColumn(seats, (F.col(seats) - F.lit(lost)).cast("long"))
+
+
 def plan(docs: DataFrame, seed: int = 7, block: int = 64, shard_words: int = 1 << 20, share: float = 1.5,
          weights: tuple[int, ...] = (3, 1, 2), most: float = 2.0) -> DataFrame:
     """For each document: its size, source_size, target and place (offset on its shard's line, m blocks, shard words, quota).
@@ -90,12 +107,15 @@ def plan(docs: DataFrame, seed: int = 7, block: int = 64, shard_words: int = 1 <
     sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long"))
     sources = sources.withColumn("__w", F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0)))
     sources = sources.withColumn("__seats", F.round(F.sum("__w").over(everything)).cast("long"))
-    sources = cut(apportion(sources, [], "__seats", "__w", ["source"]).drop("__seats", "__w").withColumnRenamed("quota", "source_quota"))
+    sources = sources.withColumn("__most", F.floor(F.col("blocks") * F.lit(float(most))).cast("long"))
+    sources = cut(apportion_within(sources, "__seats", "__w", "__most", ["source"]).drop("__seats", "__w", "__most").withColumnRenamed("quota", "source_quota"))
 
     placed = _join_source(sizes, sources).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
     shard_rows = placed.groupBy("source", "shard", "source_quota", "blocks", "source_size").agg(F.sum("size").alias("shard_size"))
-    shard_rows = shard_rows.withColumn("m", F.greatest(F.lit(1), F.round(F.col("blocks") * F.col("shard_size") / F.greatest(F.col("source_size"), F.lit(1)))).cast("long"))
-    shard_rows = apportion(shard_rows.withColumn("__w", F.col("shard_size").cast("double")), ["source"], "source_quota", "__w", ["shard"])
+    # the shards' blocks sum to their source's at least, and by weight m a quota of most * blocks gives each shard most * m: no quota exceeds that
+    shard_rows = apportion(shard_rows.withColumn("__w", F.col("shard_size").cast("double")), ["source"], "blocks", "__w", ["shard"])
+    shard_rows = shard_rows.withColumn("m", F.greatest(F.lit(1), "quota").cast("long")).drop("quota")
+    shard_rows = apportion(shard_rows.withColumn("__w", F.col("m").cast("double")), ["source"], "source_quota", "__w", ["shard"])
     shard_rows = shard_rows.select(F.col("source").alias("__src"), F.col("shard").alias("__shard"), "shard_size", "m", "quota")
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("doc_id"), F.col("size"))
     placed = placed.withColumn("offset", (F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).cast("long"))

@@ -113,6 +113,16 @@ def test_mixing_targets_and_takes(spark, skew):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_shards_stay_within_the_ceiling(spark):
+    rows = [(k, " ".join(["w"] * (k % 300)), f"s{k % 3}" if k % 40 == 0 else "s1", 5, 6) for k in range(1500)] + [(k, "w " * 90, "s0", 5, 6) for k in range(2000, 2200)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), shard_words=700).collect()
+    assert len({(r["source"], r["shard"]) for r in got}) > 100
+    assert all(0 <= r["quota"] <= 2 * r["m"] and r["taken"] <= 2 * r["size"] for r in got)
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(64, 0.02 * own[0]["target"])
+
+
 def test_apportion_is_sainte_lague(spark):
     weights = [("a", 53.0), ("b", 24.0), ("c", 23.0), ("d", 0.0), ("e", 7.5)]
     for seats in (0, 1, 7, 100, 999):
