@@ -1,9 +1,9 @@
-"""Session builder and the two helpers that depend on cluster settings."""
+"""Session builder and the helpers that depend on cluster settings."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +26,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where it is unset and the session is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -44,11 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver find plans that nothing refers to any more, so that Spark deletes their shuffle files before the job ends.
+class Tables:
+    """Written tables of one job under the shared folder: compressed, with sizes that the optimizer knows, and deleted when done with."""
 
-    Spark's cleaner learns of such plans only when the driver collects garbage, which a small plan in a large heap may not cause for
-    half an hour; a job of many rounds would hold the shuffles of all its rounds on disk until then.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        """Write the rows and go on from the files: lost executors cost no recomputation."""
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        """Delete a table that no later step reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
