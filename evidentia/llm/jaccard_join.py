@@ -1,22 +1,25 @@
 """N-gram Jaccard self-join: a size-aware heavy-light join, exact for any table.
 
-Sets are distinct word shingles; two sets A, B link when |A & B| >= c(|A|, |B|), the overlap that the
-Jaccard bound asks for. Equal sets are one node, so copies cost one row each and no pairs.
+Sets are distinct word shingles, seen as 64-bit hashes; two sets A, B link when |A & B| >= c(|A|, |B|), the overlap that the
+Jaccard bound asks for. Equal sets are one node (64-bit number of the set), so copies cost one row each and no pairs.
 
 * Small sets (size <= x) enumerate subsets of the fixed sizes c(n, m) over the sizes m of possible partners. Two
   small sets link exactly if they share a subset of size c(n, m), and then each links to the smallest set that
   has this subset: a star per subset, no pairs and no check.
 * Large sets scan inverted lists. Shingles are ordered by how common they are (a fixed-size count
-  sketch over all documents; any order is right, a good one is fast). The first |A| - ceil(t |A|) + l shingles of a set are its list
-  entries: linked sets share l of them. Lists are scanned in two rounds. Once every set is compared with the most central sets of
-  its lists, which joins near copies into components in linear time; then, only in lists that
-  still hold different components, sets of different components that share l early entries are compared.
+  sketch over all documents; any order is right, a good one is fast). The first |A| - ceil(t |A|) + 1 shingles of a set are its list
+  entries: linked sets share one at least. Lists are scanned twice. First every set is compared with the heads of
+  its lists, the sets in which the list's shingle stands foremost: in a family of near copies that is the text they come from, as
+  it has no rare shingles of its own. That joins families in linear time. Then only lists that still hold different components are
+  joined with themselves, by shingle and size class: an entry at place p of a set of n can only serve a partner of
+  at most 7 (n - p) / 3 - n shingles (at 0.75), and sets of the list's largest component meet only sets of others.
   Every pair is verified on its whole sets. Pairs inside a component are never made: they cannot change it.
 * The boundary x is where the summed cost of subsets passes the cost of scanning, from the counted sizes and the sketch.
+* The list of a very frequent shingle is dealt over several tasks by its sets' numbers.
 
 Cases: null and empty texts have no shingles and link with nothing; fewer words than `size` make one
-shingle; repeated rows (also of one id) are one node and come back as rows; an empty table gives no rows;
-only the id and text columns are read.
+shingle; very long texts are sets as others, of as many shingles; repeated rows (also of one id) are one node and come back as rows; null ids
+link like others and have their component's least id, or null; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -27,23 +30,25 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import text as T
 from evidentia.llm.components import components
-from evidentia.session import cut, release
+from evidentia.session import Tables
 
 SKETCH_BITS = 22
 BLOCK_BITS = 16
-MOST_SMALL = 14
+#: Sizes up to which the cost of subsets is weighed; a set of 30 has over 30,000 subsets, more than any list entry costs.
+MOST_SMALL = 30
 #: Bits of the filter that tells which documents' sets a round needs: at most 8 MB, whatever the input.
 FILTER_BITS = (16, 26)
-#: Pair tables of at most so many rows (counted) are broadcast to the scan; larger ones are joined by shuffle.
-MOST_BROADCAST_ROWS = 500_000
-#: Rounds that compare sets with the heads of their lists, and heads compared for each set and round.
-ROUNDS = 3
+#: Heads compared for each set.
 HEADS = 3
+#: Entries of one shingle, as the sketch counts them, that go to one task.
+HOT_ENTRIES = 1 << 16
+#: Ratio of neighbouring size classes in the last scan.
+CLASS_RATIO = 1.05
 
 
 def overlap(n: int, m: int, num: int, den: int) -> int:
@@ -56,13 +61,9 @@ def partners(n: int, num: int, den: int) -> range:
     return range(-(-num * n // den), den * n // num + 1)
 
 
-def shared(n: int) -> int:
-    """List entries that two linked sets of at least n elements are sure to share."""
-    return 1 + n // 40
-
-
 def prefix(n: int, num: int, den: int) -> int:
-    return min(n, n - -(-num * n // den) + shared(n))
+    """List entries of a set: one more than it can lack of a partner's elements."""
+    return min(n, n - -(-num * n // den) + 1)
 
 
 def subset_sizes(n: int, x: int, num: int, den: int) -> list[int]:
@@ -131,7 +132,8 @@ def boundary(sketch: np.ndarray, sizes: np.ndarray, num: int, den: int) -> int:
     """The size x up to which enumerating subsets costs less than scanning lists."""
     total = float(sketch.sum(dtype=np.float64))
     noise = total / len(sketch)
-    scanned = max(1.0, float((sketch.astype(np.float64) ** 2).sum()) / total - noise) if total else 1.0
+    squares = sum(float((part.astype(np.float64) ** 2).sum()) for part in sketch.reshape(-1, 1 << BLOCK_BITS))
+    scanned = max(1.0, squares / total - noise) if total else 1.0
     best, x, cost = 0.0, 1, 0.0
     for s in range(2, MOST_SMALL + 1):
         subsets = sum(comb(s, c) for c in subset_sizes(s, MOST_SMALL, num, den))
@@ -158,11 +160,13 @@ def _node_task(size: int):
     return run
 
 
-#: An entry's subset size c, set size n and place among the set's entries, read back from its meta (c: 4 bits, n: 30, pos: 29).
-META = {"c": "CAST(shiftright(meta, 59) AS INT)", "n": "CAST(shiftright(meta, 29) & 1073741823 AS INT)", "pos": "CAST(meta & 536870911 AS INT)"}
+#: An entry's subset size c, log2 of the tasks its list is dealt over, set size n and place among the set's entries: 6, 4, 28 and 25 bits of meta.
+META = {"c": "CAST(shiftright(meta, 57) AS INT)", "k": "CAST(shiftright(meta, 53) & 15 AS INT)", "n": "CAST(shiftright(meta, 25) & 268435455 AS INT)", "pos": "CAST(meta & 33554431 AS INT)"}
+#: The shingle of an entry of a dealt list, whose key also holds the task's number.
+SHINGLE = f"key ^ shiftleft(node & (shiftleft(1L, {META['k']}) - 1), 40)"
 
 
-def _entry_task(order, size: int, x: int, num: int, den: int):
+def _entry_task(order, size: int, x: int, num: int, den: int, hot: int):
     """key, node, meta: three long columns, as these rows are the operator's largest shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +186,15 @@ def _entry_task(order, size: int, x: int, num: int, den: int):
                         for want in subset_sizes(n, x, num, den):
                             subs = s[np.array(list(combinations(range(n), want)))]
                             keys.append(T.mix(T.mix(subs).sum(axis=1, dtype=np.uint64) + np.uint64(want)))
-                            metas.append(np.full(len(subs), want << 59 | n << 29, np.int64))
+                            metas.append(np.full(len(subs), want << 57 | n << 25, np.int64))
                     if partners(n, num, den)[-1] > x:
                         p = prefix(n, num, den)
                         rank = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                        keys.append(s[np.lexsort((s, rank))[:p]])
-                        metas.append(np.arange(p, dtype=np.int64) + (n << 29))
+                        at = np.lexsort((s, rank))[:p]
+                        rank = rank[at].astype(np.int64)
+                        k = np.where(rank > hot, np.ceil(np.log2(np.maximum(rank, 1) / hot)), 0).clip(0, 15).astype(np.int64)
+                        keys.append(s[at] ^ ((np.int64(node) & ((1 << k) - 1)) << 40).view(np.uint64))
+                        metas.append(np.arange(p, dtype=np.int64) + (n << 25) + (k << 53))
                     made = sum(len(k) for k in keys[before:])
                     owners.append(np.full(made, node, np.int64))
                 if keys:
@@ -211,21 +218,9 @@ def _filter_of(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """The upper five bytes of each hash: what tells the shingles of two sets apart (a false match: 1 in 2^40)."""
-    return np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    rows = np.zeros((len(data) // 5, 8), np.uint8)
-    rows[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return rows.view("<u8").ravel()
-
-
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """ids(id, node, ...) -> its columns and s: the whole shingle sets of these documents."""
-    n = ids.count()
-    mask, bits = _filter_of(ids.select("id").distinct(), n)
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """wanted(node, id): stored -> node, s: the whole shingle sets, read from the documents that a bounded filter of the ids lets through."""
+    mask, bits = _filter_of(wanted, wanted.count())
     sent = docs.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +229,13 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             keep = (sent.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
             part = batch.filter(pa.array(keep.astype(bool)))
             if part.num_rows:
-                sets = [(_node_of(s), _packed(s)) for w in T.words(part.column(1)) for _, s in T.shingle_sets(w, size)]
+                sets = [(_node_of(s), s.astype("<u8").tobytes()) for w in T.words(part.column(1)) for _, s in T.shingle_sets(w, size)]
                 yield pa.record_batch([part.column(0), pa.array([k for k, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.binary())], names=["id", "node", "s"])
 
-    rows = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("b")).where("id IS NOT NULL")
-    found = rows.mapInArrow(run, "id long, node long, s binary")  # the node tells documents with one id apart
-    return found.join(F.broadcast(ids) if n <= MOST_BROADCAST_ROWS else ids, ["id", "node"])
+    rows = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("b"))
+    found = rows.mapInArrow(run, "id long, node long, s binary").alias("f").where("node IS NOT NULL")
+    w = wanted.select(F.col("node").alias("wn"), F.col("id").alias("wi"))
+    return found.join(w, (F.col("node") == F.col("wn")) & F.col("id").eqNullSafe(F.col("wi"))).groupBy("node").agg(F.any_value("s").alias("s"))
 
 
 def _verify_task(num: int, den: int):
@@ -247,95 +243,98 @@ def _verify_task(num: int, den: int):
         for batch in batches:
             keep = []
             for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = _unpacked(sa), _unpacked(sb)
-                both = np.sort(np.concatenate([a, b]))
+                a, b = np.frombuffer(sa, "<u8"), np.frombuffer(sb, "<u8")
+                both = np.sort(np.concatenate([a, b]), kind="stable")
                 keep.append(int((both[1:] == both[:-1]).sum()) * (num + den) >= num * (len(a) + len(b)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """pairs(a, b) -> those that link.
-
-    The documents whose sets are needed are found by a bounded filter, then by id; the pairs ride along with the sets of b, so
-    each side's sets are shuffled once.
-    """
-    pairs = cut(pairs)
-    left = _sets(docs, cut(pairs.select(F.col("a").alias("node")).distinct().join(nodes, "node")), size).select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    right = _sets(docs, cut(pairs.join(nodes, F.col("b") == F.col("node")).select("id", "node", "a")), size).select("a", F.col("node").alias("b"), F.col("s").alias("sb"))
-    return cut(right.join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_verify_task(num, den), "a long, b long"))
-
-
-def _open(entries: DataFrame, found: DataFrame | None) -> DataFrame:
-    """key, n, node, pos, comp of the entries whose list holds more than one component."""
-    if found is None:
-        return entries.withColumn("comp", F.col("node"))
-    labelled = entries.join(found, "node", "left").select("key", "n", "node", "pos", F.coalesce("component", "node").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return cut(labelled.join(mixed, "key"))
-
-
-def _head_pairs(lists: DataFrame, fits: str, turn: int) -> DataFrame:
-    """For each set the heads (a) it shares most lists with, at most HEADS of them: a number of pairs in proportion to the sets.
-
-    In the first round the head of a list is its most central set: the one whose lists are longest in sum. In a family of near
-    copies that is the text they come from, which most of them link with. Later rounds take heads in another fixed order each.
-    """
-    if turn:
-        weighed = lists.withColumn("weight", F.xxhash64(F.lit(turn), "node"))
-    else:
-        sizes = lists.groupBy("key").agg(F.count("*").alias("size"))
-        weighed = lists.join(lists.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight")), "node")
-    heads = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "comp")).alias("h"))
-    heads = heads.select("key", F.col("h.node").alias("a"), F.col("h.n").alias("m"), F.col("h.comp").alias("hc"))
-    met = lists.join(heads, "key").where(f"comp <> hc AND {fits}").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("k"))
+def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, num: int, den: int, tables: Tables, turn: str) -> DataFrame:
+    """pairs(a, b) -> those that link, stored. The sets of their nodes are written once, by node, and joined to both sides."""
+    pairs = tables.store(f"pairs-{turn}", pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = tables.store(f"wanted-{turn}", ends.join(nodes, "node").select("node", "id"))
+    sets = tables.store(f"sets-{turn}", _sets(docs, wanted, size))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    links = tables.store(f"links-{turn}", both.select("a", "b", "sa", "sb").mapInArrow(_verify_task(num, den), "a long, b long"))
+    for name in ("sets", "wanted", "pairs"):
+        tables.drop(f"{name}-{turn}")
+    return links
+
+
+def _head_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """For each set (b) the heads (a) it shares most lists with, at most HEADS of them: a number of pairs in proportion to the sets."""
+    fits = f"node <> head AND {num} * greatest(n, hn) <= {den} * least(n, hn)"
+    met = lists.where(fits).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k"))
     best = Window.partitionBy("b").orderBy(F.desc("k"), "a")
     return met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= HEADS).select("a", "b")
 
 
+def _open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """key, node, n, pos, comp, main of the entries whose list holds several components; main: the entry is of the list's largest one."""
+    labelled = lists.join(found, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
+    parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("key").agg(F.max_by("comp", "k").alias("large"), F.count("*").alias("parts")).where("parts > 1").select("key", "large")
+    return labelled.join(mixed, "key").select("key", "node", "n", "pos", "comp", (F.col("comp") == F.col("large")).alias("main"))
+
+
+def _last_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share an early enough entry; a has no fewer shingles than b."""
+    classed = "CAST(floor(ln({m}) / {r}) AS INT)".replace("{r}", repr(float(np.log(CLASS_RATIO))))
+    large = lists.select(
+        "key", F.col("node").alias("a"), "n", "pos", "comp", "main",
+        F.expr(f"(n * {num} + {den} - 1) DIV {den}").alias("lo"), F.expr(f"least(n, (n - pos) * {num + den} DIV {num} - n)").alias("hi"),
+    ).where("lo <= hi")
+    large = large.withColumn("class", F.explode(F.expr(f"sequence({classed.format(m='lo')}, {classed.format(m='hi')})")))
+    # a set of the largest component meets the others only
+    large = large.withColumn("side", F.explode(F.expr("CASE WHEN main THEN array(false) ELSE array(false, true) END")))
+    small = lists.where(f"pos <= n - (2 * n * {num} + {num + den - 1}) DIV {num + den}")
+    small = small.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("cb"), F.col("main").alias("side"), F.expr(classed.format(m="n")).alias("class"))
+    least = f"(({num} * (n + m) + {num + den - 1}) DIV {num + den})"
+    near = f"a <> b AND comp <> cb AND m BETWEEN lo AND hi AND pos <= n - {least} AND at <= m - {least} AND (m < n OR b < a)"
+    return large.join(small, ["key", "class", "side"]).where(near).select("a", "b").distinct()
+
+
 def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component: the least id reachable over links, its own included."""
-    spark: SparkSession = documents.sparkSession
+    spark = documents.sparkSession
+    tables = Tables(spark, "jaccard-join")
     num, den = similarity
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sketch, small = count_shingles(docs.select("text"), size)
     x = boundary(sketch, small, num, den)
+    hot = max(HOT_ENTRIES, 8 * int(sketch.mean()))
     order = spark.sparkContext.broadcast(sketch)
-    rows = cut(docs.mapInArrow(_node_task(size), "id long, n int, node long"))
-    nodes = cut(rows.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")))
-    entries = docs.select("text").mapInArrow(_entry_task(order, size, x, num, den), "key long, node long, meta long").repartition(F.col("key"))
-    # both sides of the join read all columns of the entries, so that one shuffle serves both
-    heads = entries.groupBy("key").agg(F.min(F.struct(F.expr(META["n"]).alias("n"), "node", "meta")).alias("head"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    heads = heads.select("key", F.col("head.n").alias("hn"), F.col("head.node").alias("head"))
+    del sketch
+    rows = tables.store("rows", docs.mapInArrow(_node_task(size), "id long, n int, node long"))
+    nodes = tables.store("nodes", rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")))
+
+    entries = docs.select("text").mapInArrow(_entry_task(order, size, x, num, den, hot), "key long, node long, meta long").repartition(F.col("key"))
+    # both sides of the join read all columns of the entries, so that one shuffle serves both. Foremost: by place over size, for subsets by size
+    rank = f"CASE WHEN {META['c']} > 0 THEN CAST({META['n']} AS BIGINT) ELSE shiftleft(CAST({META['pos']} * 1e9D / {META['n']} AS BIGINT), 28) | {META['n']} END"
+    dealt = F.expr(f"{META['k']} > 0")
+    heads = entries.groupBy("key").agg(F.min_by("node", F.expr(rank)).alias("head"), F.min(F.expr(rank)).alias("hr"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bool_or(dealt).alias("dealt"))
+    heads = heads.where("lo <> hi OR dealt").select("key", "head", F.expr("CAST(hr & 268435455 AS INT)").alias("hn"))
     star = f"node <> head AND {num} * ({META['n']} + hn) <= {num + den} * {META['c']}"
     held = entries.join(heads.hint("shuffle_hash"), "key").dropDuplicates(["key", "node"]).where(f"{META['c']} = 0 OR ({star})")
-    lists = cut(held.select("key", "node", "meta", F.expr(f"CASE WHEN {META['c']} > 0 THEN head END").alias("head")))
-    release(spark)  # the entries' shuffle is done with
-    links = cut(lists.where("head IS NOT NULL").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    scans = lists.where("head IS NULL").select("key", F.expr(META["n"]).alias("n"), "node", F.expr(META["pos"]).alias("pos"))
-    fits = f"{num} * greatest(n, m) <= {den} * least(n, m)"
-
-    found = None
-    for turn in range(ROUNDS):  # join families through their most central sets
-        scans = _open(scans, found)
-        links = cut(links.unionByName(_verify(docs, nodes, _head_pairs(scans, fits, turn), size, num, den)))
-        found = components(links)
-        scans = scans.drop("comp")
-        release(spark)
-
-    # whatever can still join components: a linked pair has shared(n) common entries among the first n - c(n, m) + shared(n) of both
-    scans = _open(scans, found)
-    other = scans.select("key", F.col("n").alias("m"), F.col("node").alias("b"), F.col("pos").alias("at"), F.col("comp").alias("cb"))
-    least = f"CAST(ceil({num} * (n + m) / {num + den}) AS INT)"
-    sure = "(1 + CAST(floor(least(n, m) / 40) AS INT))"
-    near = f"pos < n - {least} + {sure} AND at < m - {least} + {sure}"
-    met = scans.withColumnRenamed("node", "a").join(other, "key").where(f"a < b AND comp <> cb AND {fits} AND {near}")
-    enough = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.expr(sure)).alias("least")).where("k >= least").select("a", "b")
-    found = components(links.unionByName(_verify(docs, nodes, enough, size, num, den)))
+    held = held.select(F.expr(f"CASE WHEN {META['c']} = 0 THEN {SHINGLE} END").alias("key"), "node", F.expr(META["n"]).alias("n"), F.expr(META["pos"]).alias("pos"), "head", "hn")
+    met = tables.store("lists", held)
+    links = met.where("key IS NULL").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    lists = met.where("key IS NOT NULL")
+
+    links = tables.store("first", links.unionByName(_verify(docs, nodes, _head_pairs(lists, num, den), size, num, den, tables, "heads")))
+    found = tables.store("families", components(links))
+    # whatever can still join components
+    last = tables.store("open", _open_lists(lists.drop("head", "hn"), found))
+    tables.drop("lists")
+    more = _verify(docs, nodes, _last_pairs(last, num, den), size, num, den, tables, "last")
+    tables.drop("open")
+    star = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    found = tables.store("components", components(star.unionByName(more)))
 
     labelled = rows.join(found, "node", "left").withColumn("set", F.coalesce("component", "node"))
     least = labelled.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
     out = labelled.join(least, "set", "left")
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
-

@@ -101,6 +101,24 @@ def test_jaccard_join_matches_brute_force(spark, seed):
     assert sorted((r["id"], r["n_shingles"], r["component"]) for r in got) == brute_components(ids, texts)
 
 
+def test_jaccard_join_of_one_large_family(spark, monkeypatch):
+    """Copies of one text with up to a third of it edited, whose lists are dealt over several tasks."""
+    monkeypatch.setattr(jaccard_join, "HOT_ENTRIES", 4)
+    r = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(260):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.randrange(9)):
+            w[at] = f"e{k}-{at}" if r.random() < 0.5 else f"e{at}"
+        texts.append(" ".join(w[: 120 - r.randrange(25)]))
+    ids = [None if k == 7 else k for k in range(len(texts))]
+    got = jaccard_join.jaccard_join(frame(spark, texts, ids).repartition(5)).collect()
+    want = brute_components(range(len(texts)), texts)
+    least = {k: (c if c != 7 else min([i for i, _, d in want if d == 7 and i != 7], default=None)) for k, _, c in want}
+    assert sorted(((r["id"], r["n_shingles"], r["component"]) for r in got), key=str) == sorted(((ids[k], n, least[k]) for k, n, _ in want), key=str)
+
+
 def test_jaccard_join_edges(spark):
     assert jaccard_join.jaccard_join(frame(spark, ["a b"]).limit(0)).count() == 0
     got = jaccard_join.jaccard_join(frame(spark, ["x y z", "x y z", None, "q"], [5, 5, 7, 8])).collect()
