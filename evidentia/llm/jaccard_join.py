@@ -47,8 +47,6 @@ FILTER_BITS = (16, 26)
 HEADS = 3
 #: Entries of one shingle, as the sketch counts them, that go to one task.
 HOT_ENTRIES = 1 << 16
-#: Ratio of neighbouring size classes in the last scan.
-CLASS_RATIO = 1.05
 
 
 def overlap(n: int, m: int, num: int, den: int) -> int:
@@ -272,29 +270,33 @@ def _head_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     return met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= HEADS).select("a", "b")
 
 
-def _open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """key, node, n, pos, comp, main of the entries whose list holds several components; main: the entry is of the list's largest one."""
+def _early(num: int, den: int) -> str:
+    """The entry can serve a partner of no fewer shingles."""
+    return f"pos <= n - (2 * n * {num} + {num + den - 1}) DIV {num + den}"
+
+
+def _open_lists(lists: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """key, node, n, pos, comp, main of the entries whose list holds several components and an early entry; main: the entry is of the list's largest one."""
     labelled = lists.join(found, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
-    parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("key").agg(F.max_by("comp", "k").alias("large"), F.count("*").alias("parts")).where("parts > 1").select("key", "large")
-    return labelled.join(mixed, "key").select("key", "node", "n", "pos", "comp", (F.col("comp") == F.col("large")).alias("main"))
+    parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("k"), F.bool_or(F.expr(_early(num, den))).alias("early"))
+    mixed = parts.groupBy("key").agg(F.max_by("comp", "k").alias("large"), F.count("*").alias("parts"), F.bool_or("early").alias("early")).where("parts > 1 AND early")
+    return labelled.join(mixed.select("key", "large"), "key").select("key", "node", "n", "pos", "comp", (F.col("comp") == F.col("large")).alias("main"))
 
 
 def _last_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share an early enough entry; a has no fewer shingles than b."""
-    classed = "CAST(floor(ln({m}) / {r}) AS INT)".replace("{r}", repr(float(np.log(CLASS_RATIO))))
-    large = lists.select(
-        "key", F.col("node").alias("a"), "n", "pos", "comp", "main",
-        F.expr(f"(n * {num} + {den} - 1) DIV {den}").alias("lo"), F.expr(f"least(n, (n - pos) * {num + den} DIV {num} - n)").alias("hi"),
-    ).where("lo <= hi")
-    large = large.withColumn("class", F.explode(F.expr(f"sequence({classed.format(m='lo')}, {classed.format(m='hi')})")))
-    # a set of the largest component meets the others only
-    large = large.withColumn("side", F.explode(F.expr("CASE WHEN main THEN array(false) ELSE array(false, true) END")))
-    small = lists.where(f"pos <= n - (2 * n * {num} + {num + den - 1}) DIV {num + den}")
-    small = small.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("cb"), F.col("main").alias("side"), F.expr(classed.format(m="n")).alias("class"))
+    """Pairs (a, b) of sets of different components that share an early enough entry; a has no fewer shingles than b.
+
+    Lists are joined by shingle and size class (classes as wide as the range of partners, so a set meets two at most), and a set of the
+    list's largest component meets the others only.
+    """
+    classed = f"CAST(floor(ln({{m}}) / {float(np.log(den / num))!r}) AS INT)" if num < den else "CAST({m} AS INT)"
+    lo, hi = f"(n * {num} + {den} - 1) DIV {den}", f"least(n, (n - pos) * {num + den} DIV {num} - n)"
+    large = lists.where(f"{lo} <= {hi}").select("key", F.col("node").alias("a"), "n", "pos", "comp", "main", F.explode(F.expr(f"sequence({classed.format(m=lo)}, {classed.format(m=hi)})")).alias("class"))
+    small = lists.where(_early(num, den)).select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("cb"), F.col("main").alias("side"), F.expr(classed.format(m="n")).alias("class"))
     least = f"(({num} * (n + m) + {num + den - 1}) DIV {num + den})"
-    near = f"a <> b AND comp <> cb AND m BETWEEN lo AND hi AND pos <= n - {least} AND at <= m - {least} AND (m < n OR b < a)"
-    return large.join(small, ["key", "class", "side"]).where(near).select("a", "b").distinct()
+    near = f"a <> b AND comp <> cb AND m BETWEEN {lo} AND {hi} AND pos <= n - {least} AND at <= m - {least} AND (m < n OR b < a)"
+    parts = [left.drop("main").join(right.drop("side"), ["key", "class"]).where(near).select("a", "b") for left, right in ((large.where("NOT main"), small), (large.where("main"), small.where("NOT side")))]
+    return parts[0].unionByName(parts[1]).distinct()
 
 
 def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,7 +329,7 @@ def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int
     links = tables.store("first", links.unionByName(_verify(docs, nodes, _head_pairs(lists, num, den), size, num, den, tables, "heads")))
     found = tables.store("families", components(links))
     # whatever can still join components
-    last = tables.store("open", _open_lists(lists.drop("head", "hn"), found))
+    last = tables.store("open", _open_lists(lists.drop("head", "hn"), found, num, den))
     tables.drop("lists")
     more = _verify(docs, nodes, _last_pairs(last, num, den), size, num, den, tables, "last")
     tables.drop("open")
