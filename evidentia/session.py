@@ -51,6 +51,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _made.append(self.folder)
 
     def store(self, name: str, df: DataFrame) -> DataFrame:
         """Write the rows and go on from the files: lost executors cost no recomputation."""
@@ -59,5 +60,19 @@ class Tables:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.folder}/{name}")
+
+
+#: Folders of this process's jobs that are not deleted yet.
+_made: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables of all jobs so far: when their results are written, nothing reads them any more."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
