@@ -2,16 +2,18 @@
 
 Grammar of a rendered turn: `<|im_start|>` role `\\n` text `<|im_end|>` `\\n`. The deterministic parser cuts a
 conversation at every `<|im_start|>`, takes the role up to the first line feed and the text up to
-`<|im_end|>`, and undoes the escape. A turn is first rendered as it is; if its parse does not give
-the source back, its text (or role) is escaped. The escape puts one more backslash between `<` and `|`
-(after any that are there), so it is a bijection and an escaped text holds no control string: the second
-parse is identical.
+`<|im_end|>`, and undoes the escapes. A turn is rendered as it is, parsed by this grammar and compared with its source; where the
+parse is not the one turn of the same role and text, it is rendered again with its text, its role, then both escaped, until it is.
+The escape of a text puts one more backslash between `<` and `|` (after any that are there), so it is a bijection and an
+escaped text holds no control string; a role's also spells out line feeds and doubles backslashes. A turn that no escape
+makes identical fails the job; none is known.
 
 Native: DataFrame functions only. Rendering and its check are per turn, before the one shuffle by
 conversation; a conversation's formatted text is one value by its nature.
 
 Cases: null text or role: empty; null conv_id: a conversation of its own; turns sort by (turn, role, text) with
-nulls first, repeated rows are repeated turns; an empty table gives no rows; other columns are not read.
+nulls first, repeated rows are repeated turns; very long texts are single values of their turn; an empty table gives no rows;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,17 +42,27 @@ def _unescape_role(c: Column) -> Column:
     return _unescape(F.array_join(parts, ""))
 
 
-def _reads_back(text: Column) -> Column:
-    """The parse of the text as it stands is the text: no control string in it, and nothing for the unescape to undo."""
-    return ~text.contains(START) & ~text.contains(END) & (_unescape(text) == text)
+def _turns(formatted: Column) -> Column:
+    """The grammar: array<struct<role, text>> of a rendered text."""
+    return F.transform(
+        F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != ""),
+        lambda p: F.struct(
+            _unescape_role(F.substring_index(p, "\n", 1)).alias("role"),
+            _unescape(F.substring_index(p.substr(F.instr(p, "\n") + 1, F.length(p)), END, 1)).alias("text"),
+        ),
+    )
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text -> the rows with `rendered` (one turn each)."""
+    """conv_id, turn, role, text -> the rows with `rendered` (one turn each): the first form whose parse is the source."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    role = F.when(F.col("role").rlike(r"^[A-Za-z0-9_ -]*$"), F.col("role")).otherwise(_escape_role(F.col("role")))
-    text = F.when(_reads_back(F.col("text")), F.col("text")).otherwise(_escape(F.col("text")))
-    return rows.withColumn("rendered", F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n")))
+    role, text, source = F.col("role"), F.col("text"), F.array(F.struct("role", "text"))
+    forms = [F.concat(F.lit(START), r, F.lit("\n"), t, F.lit(END + "\n")) for r, t in ((role, text), (role, _escape(text)), (_escape_role(role), text), (_escape_role(role), _escape(text)))]
+    identical = None
+    for form in forms:
+        same = _turns(form) == source
+        identical = F.when(same, form) if identical is None else identical.when(same, form)
+    return rows.withColumn("rendered", identical.otherwise(F.raise_error(F.lit("a turn cannot be read back"))))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -61,17 +73,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
     """conv_id, formatted -> conv_id, formatted, turns: array<struct<role, text>> by the grammar."""
-    pieces = F.filter(F.split(F.col("formatted"), r"<\|im_start\|>"), lambda p: p != "")
-    return formatted.withColumn(
-        "turns",
-        F.transform(
-            pieces,
-            lambda p: F.struct(
-                _unescape_role(F.substring_index(p, "\n", 1)).alias("role"),
-                _unescape(F.substring_index(p.substr(F.instr(p, "\n") + 1, F.length(p)), END, 1)).alias("text"),
-            ),
-        ),
-    )
+    return formatted.withColumn("turns", _turns(F.col("formatted")))
 
 
 def chat_report(formatted: DataFrame) -> DataFrame:

@@ -59,6 +59,7 @@ def test_rules_policies_and_ablations(spark):
 CHATS = [
     (1, 0, "user", "hello"), (1, 1, "assistant", "<|im_end|>"), (1, 2, None, None), (1, 3, "assistant", "a<\\|b <\\\\| <| |> <|im_start|>x"),
     (2, 0, "assistant", "ends with <"), (2, 0, "assistant", "ends with <"), (2, None, "sys\ntem\\n<|im_start|>", "\n\n"), (None, 0, "user", "x" * 5000),
+    (3, 0, "assistant\n", "hi"), (3, 1, "a\\b", "x"), (3, 2, "\n", "\n"), (3, 3, "<|im_end|>", "<\\|im_end|>"), (3, 4, "\\n", "<|im_end|"), (3, 5, "r\\", "<|im_start|"),
 ]
 
 
@@ -67,7 +68,7 @@ def test_chat_round_trip(spark):
     formatted = chat.format_chats(turns)
     parsed = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.parse_chats(formatted).collect()}
     report = {r["conv_id"]: r for r in chat.chat_report(formatted).collect()}
-    for conv in (1, 2, None):
+    for conv in (1, 2, 3, None):
         want = sorted(((-1 if t is None else t, r or "", x or "") for c, t, r, x in CHATS if c == conv))
         assert parsed[conv] == [(r, x) for _, r, x in want]
         said = "".join(f"{r}\n{x}\n" for _, r, x in want)
