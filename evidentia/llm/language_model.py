@@ -5,17 +5,18 @@ token). Tasks send sorted (hash, count) runs, cut by hash range, through one shu
 arrives, so counts are exact over all training texts and nothing is gathered.
 
 Model. A count c is quantised to q = 1 + floor(log_b c) and the keys (gram, 1..q) are put in a Bloom filter. Each hash range owns
-its own stretch of the filter, so a range's bits are finished where its counts are. The filter grows with the n-grams, so a key has
-as many bits at any size; it is broadcast in slices of whole ranges, of `most_filter_bytes` at most. An n-gram seen once is at level 1 (one key).
+its own stretch of the filter, sized by its own keys, so a range's bits are made where its counts are summed and the counts themselves
+are not kept. The filter grows with the n-grams, so a key has as many bits at any size; it is broadcast in slices of whole ranges, of
+`most_filter_bytes` at most. An n-gram seen once is at level 1 (one key).
 
 Scoring. A count is read back by probing (gram, 1), (gram, 2), ... until a probe fails; a run of j hits stands for the middle of
 [b^(j-1), b^j). A task scores a group of texts of bounded size at a time and passes over it once for each slice, holding one slice in
 memory; every key is answered by the slice of its range, so the cut into slices changes no score. Probabilities interpolate the orders with Witten-Bell-like weights; order 1 is add-half smoothed.
 
-The base score needs exact counts of every word. The `head_words` most frequent words, a bounded table, are broadcast and
+The base score needs exact counts of every word. The most frequent words, `head_words` at most, are broadcast and
 cover nearly all tokens; the other (word, text) pairs are rare by definition and meet the exact counts in a shuffle join.
 
-Cases: a null or empty text is its end token; a null id has no remainder, so it trains and is not held out; repeated rows are scored
+Cases: a null or empty text is its end token; very long texts are read whole, a group of their own; other columns are not read, whatever their names; a null id has no remainder, so it trains and is not held out; repeated rows are scored
 one by one, and each counts in training; an empty table gives no rows; with no training text every count is 0 (V = 0, N = 0).
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import text as T
-from evidentia.session import cut
+from evidentia.session import Tables
 
 END = np.uint64(0xE7037ED1A0B428DB)
 #: Hash ranges: a power of two from 64 up, two for each input partition, so that a range's counts fit a task at any size.
@@ -162,18 +163,41 @@ class _Sums:
 
 
 def _sum_task(ranges: int):
+    """Rows sorted by range -> for each range the bits of its stretch of the filter, and its words with their exact counts."""
+
+    def finish(r: int, sums: dict[int, _Sums]) -> pa.RecordBatch:
+        filled, words = [], None
+        for n, s in sums.items():
+            s.merge()
+            filled.append((reduced(s.keys) if n == 1 else s.keys, quantise(s.counts)))
+            if n == 1:
+                words = s
+        stretch = (BITS_PER_KEY * sum(int(q.sum()) for _, q in filled) // 8 + 8) * 8
+        bits = np.zeros(stretch, bool)
+        for k, q in filled:
+            for level in range(1, int(q.max(initial=0)) + 1):
+                for at in _places(k[q >= level], level, stretch):
+                    bits[at] = True
+        h, c = (words.keys, words.counts) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        row = (r, np.packbits(bits, bitorder="little").tobytes(), len(h), int(c.sum()), h.astype("<u8").tobytes(), c.astype("<i8").tobytes())
+        return pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["r", "bits", "types", "tokens", "h", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, _Sums] = {}
+        now = None
         for batch in batches:
-            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k = np.frombuffer(keys, "<u8") if part < 2 * ranges else _unpack40(keys, part % ranges, ranges)
-                c = np.frombuffer(counts, "u1" if len(counts) == len(k) else "<u4").astype(np.int64)
-                sums.setdefault(part, _Sums()).add(k, c)
-        for part in list(sums):
-            s = sums.pop(part)
-            s.merge()
-            levels = int(quantise(s.counts).sum())
-            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([s.keys.astype("<u8").tobytes()], pa.binary()), pa.array([s.counts.astype("<i8").tobytes()], pa.binary()), pa.array([levels], pa.int64())], names=["part", "keys", "counts", "levels"])
+            for part, keys, counts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                part, keys, counts = part.as_py(), keys.as_buffer(), counts.as_buffer()
+                n, r = divmod(part, ranges)
+                if now is not None and r != now:
+                    yield finish(now, sums)
+                    sums = {}
+                now = r
+                k = np.frombuffer(keys, "<u8") if n == 1 else _unpack40(keys, r, ranges)
+                c = np.frombuffer(counts, "u1" if counts.size == len(k) else "<u4").astype(np.int64)
+                sums.setdefault(n, _Sums()).add(k, c)
+        if now is not None:
+            yield finish(now, sums)
 
     return run
 
@@ -187,43 +211,19 @@ def middle(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (LOG_BASE ** (levels - 1) + LOG_BASE**levels - 1) / 2, 0.0)
 
 
-def _places(keys: np.ndarray, level: int, stretch: int, ranges: int) -> list[np.ndarray]:
-    """Bits of (key, level) in the stretch of the key's range."""
-    base = _range_of(keys, ranges) * stretch
+def _places(keys: np.ndarray, level: int, stretch) -> list[np.ndarray]:
+    """Bits of (key, level) within a stretch of so many bits (one, or one for each key)."""
     h = T.mix(keys + np.uint64(level * 0xD6E8FEB86659FD93 % 2**64))
-    return [base + (((h * np.uint64(s)) >> np.uint64(32)).astype(np.int64) & 0xFFFFFFFF) % stretch for s in _SALTS[:PROBES]]
-
-
-def _bits_task(stretch: int, ranges: int):
-    """For each range, the bits of its own stretch of the filter; all orders of a range are in one partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
-                r = part % ranges
-                k, q = np.frombuffer(keys, "<u8"), quantise(np.frombuffer(counts, "<i8"))
-                if part < 2 * ranges:
-                    k = reduced(k)
-                bits = np.zeros(stretch, bool)
-                for level in range(1, int(q.max(initial=0)) + 1):
-                    for at in _places(k[q >= level], level, stretch, ranges):
-                        bits[at - r * stretch] = True
-                packed = np.packbits(bits, bitorder="little")
-                done[r] = done[r] | packed if r in done else packed
-        for r, packed in done.items():
-            yield pa.record_batch([pa.array([r], pa.int64()), pa.array([packed.tobytes()], pa.binary())], names=["r", "bits"])
-
-    return run
+    return [(((h * np.uint64(s)) >> np.uint64(32)).astype(np.int64) & 0xFFFFFFFF) % stretch for s in _SALTS[:PROBES]]
 
 
 @dataclass
 class Slice:
-    """The bits of the ranges first, first + 1, ... of the filter; what a pass broadcasts."""
+    """The bits of the ranges first, first + 1, ... of the filter, and where each one's stretch begins; what a pass broadcasts."""
 
     bits: np.ndarray
     first: int
-    stretch: int
+    begins: np.ndarray
     ranges: int
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
@@ -231,13 +231,15 @@ class Slice:
         keys = reduced(keys)
         levels = np.zeros(len(keys), np.uint8)
         r = _range_of(keys, self.ranges) - self.first
-        alive = np.flatnonzero((r >= 0) & (r < len(self.bits) * 8 // self.stretch))
+        alive = np.flatnonzero((r >= 0) & (r < len(self.begins) - 1))
+        alive = alive[self.begins[r[alive] + 1] > self.begins[r[alive]]]
         for level in range(1, 64):
             if not len(alive):
                 break
             hit = np.ones(len(alive), bool)
-            for at in _places(keys[alive], level, self.stretch, self.ranges):
-                at -= self.first * self.stretch
+            begin = self.begins[r[alive]]
+            for at in _places(keys[alive], level, self.begins[r[alive] + 1] - begin):
+                at += begin
                 hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             alive = alive[hit]
             levels[alive] = level
@@ -246,24 +248,27 @@ class Slice:
 
 @dataclass
 class Model:
-    """The totals, the shape of the filter, and the summed counts that its slices are made of."""
+    """The totals, and the stored bits that the filter's slices are made of; sizes: bytes of each range's bits."""
 
-    sums: DataFrame
-    stretch: int
-    ranges: int
+    table: DataFrame
+    sizes: np.ndarray
     order: int
     tokens: int
     types: int
-    slice_ranges: int
+    most_filter_bytes: int
 
     def slices(self) -> Iterator[Slice]:
-        for first in range(0, self.ranges, self.slice_ranges):
-            own = self.sums if self.slice_ranges >= self.ranges else self.sums.where(F.pmod("part", F.lit(self.ranges)).between(first, first + self.slice_ranges - 1))
-            bits = np.zeros(min(self.slice_ranges, self.ranges - first) * self.stretch // 8, np.uint8)
-            for row in own.mapInArrow(_bits_task(self.stretch, self.ranges), "r long, bits binary").toLocalIterator():
-                at = (row["r"] - first) * self.stretch // 8
-                bits[at : at + self.stretch // 8] |= np.frombuffer(row["bits"], np.uint8)
-            yield Slice(bits, first, self.stretch, self.ranges)
+        first, ranges = 0, len(self.sizes)
+        while first < ranges:
+            last = max(first + 1, int(np.searchsorted(np.cumsum(self.sizes[first:]), self.most_filter_bytes, side="right")) + first)
+            begins = np.concatenate([[0], np.cumsum(self.sizes[first:last])])
+            own = self.table.select("r", "bits")
+            bits = np.zeros(int(begins[-1]), np.uint8)
+            for row in (own if last - first == ranges else own.where(F.col("r").between(first, last - 1))).toLocalIterator():
+                at = begins[row["r"] - first]
+                bits[at : at + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+            yield Slice(bits, first, 8 * begins, ranges)
+            first = last
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts as the filter gives them."""
@@ -301,21 +306,20 @@ def train(training_texts: DataFrame, order: int = 3, most_filter_bytes: int = MO
     """The model, and the exact counts of all training words: (h, c)."""
     ranges = min(RANGES[1], max(RANGES[0], 1 << (2 * training_texts.rdd.getNumPartitions() - 1).bit_length()))
     runs = training_texts.mapInArrow(_count_task(order, ranges), "part long, keys binary, counts binary")
-    sums = cut(runs.repartition(F.pmod("part", F.lit(ranges))).mapInArrow(_sum_task(ranges), "part long, keys binary, counts binary, levels long"))
-    vocabulary = sums.where(F.col("part") < 2 * ranges).mapInArrow(_vocabulary_task, "h long, c long")
-    size = sums.groupBy((F.col("part") < 2 * ranges).alias("words")).agg(F.sum(F.length("keys") / 8).alias("n"), F.sum("levels").alias("levels")).collect()
-    known = {r["words"]: int(r["n"]) for r in size}
-    tokens = vocabulary.agg(F.sum("c")).first()[0] or 0
-    # each level of an n-gram is a key
-    want = BITS_PER_KEY * max(1, sum(r["levels"] for r in size))
-    stretch = (want // ranges // 8 + 8) * 8
-    per_slice = max(1, min(ranges, 8 * most_filter_bytes // stretch))
-    return Model(sums, stretch, ranges, order, int(tokens), known.get(True, 0), per_slice), vocabulary
+    r = F.pmod("part", F.lit(ranges))
+    table = Tables(training_texts.sparkSession, "language-model").store(
+        "filter", runs.repartition(r).sortWithinPartitions(r).mapInArrow(_sum_task(ranges), "r long, bits binary, types long, tokens long, h binary, c binary")
+    )
+    sizes, tokens, types = np.zeros(ranges, np.int64), 0, 0
+    for row in table.select("r", F.length("bits").alias("n"), "types", "tokens").collect():  # a row for each range
+        sizes[row["r"]] = row["n"]
+        tokens, types = tokens + row["tokens"], types + row["types"]
+    return Model(table, sizes, order, tokens, types, most_filter_bytes), table.select("h", "c").mapInArrow(_vocabulary_task, "h long, c long")
 
 
 def _vocabulary_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             yield pa.record_batch([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(counts, "<i8"))], names=["h", "c"])
 
 
@@ -411,15 +415,25 @@ def _score_task(sent_slices, model, sent_head):
     return run
 
 
+def _head(vocabulary: DataFrame, head_words: int) -> pa.Table:
+    """The words above the least count (in eighths of a doubling) that `head_words` words at most reach."""
+    grade = F.floor(8 * F.log2("c"))
+    graded = sorted(map(tuple, vocabulary.groupBy(grade.alias("g")).count().collect()), reverse=True)  # some hundred grades
+    within = [g for (g, _), n in zip(graded, np.cumsum([n for _, n in graded]), strict=True) if n <= head_words]
+    return vocabulary.where(grade >= within[-1] if within else F.lit(False)).toArrow()
+
+
 def score(texts: DataFrame, model: Model, vocabulary: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """texts(id, text) -> id, n_tokens, n_known, base_score, score; a row each, ids may repeat."""
     sc = texts.sparkSession.sparkContext
-    top = vocabulary.orderBy(F.col("c").desc(), "h").limit(head_words).toArrow()
+    top = _head(vocabulary, head_words)
     h = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     head = (h[order], top.column("c").to_numpy()[order])
     task = _score_task([sc.broadcast(s) for s in model.slices()], model.scorer(), sc.broadcast(head))
-    scored = cut(texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "row long, id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"))
+    scored = Tables(texts.sparkSession, "language-model-scores").store(
+        "scored", texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "row long, id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>")
+    )
     rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("h"), F.col("times").alias("k"))).alias("e")).select("row", F.col("e.h").alias("h"), F.col("e.k").alias("k"))
     unit = F.lit(model.tokens + 0.5 * (model.types + 1))
     met = rare.join(vocabulary, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
