@@ -16,12 +16,13 @@ stream of ids cut into blocks of `block` ids. A chunk row holds one block:
 Byte planes: plane k has byte k of every id. Bit planes: plane k has bit k of every id, eight ids to a byte. All columns but
 the payload are the chunk index: they are read without it.
 
-Cases: a null or empty text has only the end id; a null document id sorts first; repeated rows are documents of their own;
+Cases: a null or empty text has only the end id; a very long text goes on over as many blocks as it needs; a null document id sorts first; repeated rows are documents of their own;
 an empty table writes an empty folder and reads back no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import text as T
-from evidentia.session import checkpoint_dir, cut
+from evidentia.session import Tables, checkpoint_dir
 
 BLOCK = 1 << 16
 END_ID = 2
@@ -67,7 +68,8 @@ class Encoder:
     one space before it. So a text's ids are those of its pieces in order. Pieces repeat: each is encoded once per worker, and a
     text's ids are gathered from a table. Pieces are found where this is plain to see from the bytes (ASCII and the
     letters U+00C0 to U+00FF); a word with other characters or an apostrophe is one piece for the table, and a text with other or
-    adjoining white space is encoded in one go.
+    adjoining white space, or with the string of an added token, is encoded in one go. So is every text by a tokenizer whose file
+    names another normalizer, pre-tokenizer or post-processor. The table's keys are 64-bit hashes of pieces, a million at most at a time.
     """
 
     def __init__(self, path: str):
@@ -75,7 +77,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        cutting = file.get("pre_tokenizer") or {}
+        self.cuts = (cutting.get("type"), cutting.get("add_prefix_space"), cutting.get("use_regex", True)) == ("ByteLevel", False, True)
+        self.cuts &= file.get("normalizer") is None and file.get("post_processor") is None and not any(t.get("normalized") or t.get("single_word") for t in file.get("added_tokens", []))
+        self.added = [t["content"].encode() for t in file.get("added_tokens", [])]
         self._forget()
 
     def _forget(self) -> None:
@@ -101,11 +108,11 @@ class Encoder:
         self.used += total
 
     def _odd(self, w: T.Words) -> np.ndarray:
-        """Texts with white space other than single spaces and line feeds between words."""
+        """Texts with white space other than single spaces and line feeds between words, or with an added token."""
         d = w.data
         n = w.last - w.first
-        if not len(d):
-            return np.zeros(n, bool)
+        if not len(d) or not self.cuts:
+            return np.full(n, not self.cuts)
         blank = (d == 32) | (d == 10)
         bad = ((d >= 9) & (d <= 13) & (d != 10)) | ((d >= 28) & (d <= 31))
         bad[1:] |= blank[1:] & blank[:-1]
@@ -115,6 +122,12 @@ class Encoder:
         three = d[np.minimum(at + 2, len(d) - 1)]
         wide = np.isin(two, (0xC285, 0xC2A0, 0xE19A, 0xE281, 0xE380)) | ((two == 0xE280) & ((three <= 0x8A) | np.isin(three, (0xA8, 0xA9, 0xAF))))
         bad[at[wide]] = True
+        raw = d.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                bad[at] = True
+                at = raw.find(token, at + 1)
         full = w.offsets[1:] > w.offsets[:-1]
         bad[w.offsets[:-1][full]] |= blank[w.offsets[:-1][full]]
         bad[w.offsets[1:][full] - 1] |= blank[w.offsets[1:][full] - 1]
@@ -254,15 +267,20 @@ def write_ids(documents: DataFrame, folder: str, tokenizer: str, end_id: int = E
               id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text and write the chunks in ascending document id."""
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the hash parts the rows of one id, or of none
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(_write_task(tokenizer, end_id, block, planes), CHUNK_SCHEMA).write.option("compression", "none").parquet(folder)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """The chunk index: everything but the payload, with each chunk's first place in the whole sequence of ids."""
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(folder).drop("payload")
-    before = F.sum("n_ids").over(Window.orderBy(F.col("first_key").asc_nulls_first(), "shard", "chunk").rowsBetween(Window.unboundedPreceding, -1))
-    return chunks.withColumn("first_id", F.coalesce(before, F.lit(0)).cast("long"))
+    shards = chunks.groupBy("shard").agg(F.min("first_key").alias("key"), F.sum("n_ids").alias("ids"))  # a row for each file
+    sorted_shards = Window.orderBy(F.col("key").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.select("shard", F.coalesce(F.sum("ids").over(sorted_shards), F.lit(0)).alias("before"))
+    within = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = chunks.withColumn("__within", F.coalesce(within, F.lit(0))).join(shards, "shard")
+    return chunks.withColumn("first_id", (F.col("before") + F.col("__within")).cast("long")).drop("before", "__within")
 
 
 def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +304,9 @@ def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files. Only documents that cross a block are joined from pieces."""
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(folder)
-    pieces = cut(chunks.mapInArrow(_read_task, "shard int, chunk int, ordinal long, piece int, doc_id long, at long, n long, whole boolean, crc long, ids binary"))
+    pieces = Tables(spark, "token-pieces").store(
+        "pieces", chunks.mapInArrow(_read_task, "shard int, chunk int, ordinal long, piece int, doc_id long, at long, n long, whole boolean, crc long, ids binary")
+    )
     whole = pieces.where("whole").select("shard", "chunk", "doc_id", "at", "n", F.col("crc").alias("ids_crc32"))
     joined = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", F.hex("ids").alias("h")))), lambda p: p["h"]), ""))
     first = F.min(F.struct("piece", "chunk", "at", "doc_id"))
