@@ -1,8 +1,8 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A text is the set of its words (A-Z lowered, marks at their edges cut off), hashed into 2^18 places. A sparse logistic model is
-fitted with an L1 penalty; for every training sentence with an identity term, and for neutral carrier sentences, the
-term is swapped for the others of its list, and the squared change of the score's logit is added to the loss. Group
+fitted with an L1 penalty; in every training sentence with an identity term, and in neutral carrier sentences, each
+term is swapped for each other one of its list, and the squared change of the score's logit is added to the loss. Group
 mentions alone therefore cannot carry weight: the model can learn only from the words around them.
 
 A text is judged by its most telling words: its logit is the bias plus the weights of its distinct words, so one toxic
@@ -11,8 +11,8 @@ passage counts the same in a long text as in a short one.
 The fit sees at most `most_labels` labelled texts, picked by a hash of the id. Scoring is one map over the table with a
 broadcast of 2^18 weights, whatever the input.
 
-Cases: a null or empty text scores by the bias alone; null ids are scored but never train; repeated rows are scored each; without labels
-of both kinds every score is the share of label 1 (0 if there is none); an empty table gives no rows; other columns are not read.
+Cases: a null or empty text scores by the bias alone; a very long text is its set of words like any other; null ids are scored but never train; repeated rows are scored each; without labels
+of both kinds every score is the share of label 1 (0 if there is none); an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def text_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for w in T.words(texts):
         n = w.last - w.first
         s, e = w.starts.copy(), w.ends.copy()
-        for _ in range(8):  # up to eight marks on either side
+        while True:  # one mark on either side of every word at a time
             move = (s < e) & mark[w.data[np.minimum(s, len(w.data) - 1)]] if len(s) else np.zeros(0, bool)
             s[move] += 1
             back = (s < e) & mark[w.data[np.maximum(e - 1, 0)]] if len(s) else np.zeros(0, bool)
@@ -93,12 +93,22 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total[bounds[1:]] - total[bounds[:-1]] + self.bias, -40, 40)))
 
 
-def _swaps(rows: list[np.ndarray], terms: tuple[str, ...]) -> list[tuple[int, int]]:
-    """(place of a term, place of another) for each swap in a training text or carrier."""
-    at = {t: int(places({t})[0]) for t in terms}
-    present = [t for t in terms if any(at[t] in set(r.tolist()) for r in rows[:2000])] if rows else []
-    pairs = [(at[a], at[b]) for a in (present or terms) for b in terms if a != b]
-    return list(dict.fromkeys(pairs))
+def swaps(rows: list[np.ndarray], terms: tuple[str, ...] = IDENTITY_TERMS) -> tuple[np.ndarray, np.ndarray]:
+    """Every sentence's swaps: (row, place taken out), (place put in) for each term of the row and each other term that it lacks.
+
+    Returns pairs (out, in) of places and how many sentences make each swap: a swap changes a sentence's logit by the weight put in less
+    the weight taken out, whatever its other words, so the penalty over all swapped sentences is a sum over pairs with these counts.
+    """
+    at = np.array([int(places({t})[0]) for t in terms])
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    has = np.zeros((len(rows), len(terms)), bool)
+    order = np.argsort(at)
+    held = np.isin(flat, at)
+    has[owner[held], order[np.searchsorted(at[order], flat[held])]] = True
+    # sentences that hold a and lack b
+    counts = has.astype(np.int64).T @ (~has).astype(np.int64)
+    a, b = np.nonzero(counts)
+    return np.stack([at[a], at[b]], axis=1), counts[a, b]
 
 
 def _telling(rows: list[np.ndarray], labels: np.ndarray, least_texts: int, least_z: float) -> np.ndarray:
@@ -131,12 +141,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: tuple[str, ...] = IDE
     keep = keep[flat]
     flat, owner = flat[keep], owner[keep]
     used, col = np.unique(flat, return_inverse=True)
-    index = {int(p): k for k, p in enumerate(used)}
-    swaps = np.array([(index[a], index[b]) for a, b in _swaps(rows, terms) if a in index and b in index], int).reshape(-1, 2)
+    pairs, times = swaps(x, terms)
+    swapped = np.searchsorted(used, pairs)
+    share_of = swap_penalty * times / max(1, times.sum())
     # a diagonal bound of the curvature: each text's words move together, each term is in many swaps
     words_of = np.bincount(owner, minlength=len(x)) + 1.0
     curve = 0.25 * np.bincount(col, weights=(heavy * words_of)[owner], minlength=len(used)) + 1e-9
-    curve += 2 * swap_penalty * np.bincount(swaps.ravel(), minlength=len(used)) / max(1, len(swaps))
+    curve += 2 * np.bincount(swapped.ravel(), weights=np.repeat(share_of, 2), minlength=len(used))
     curve_b = 0.25 * float((heavy * words_of).sum())
     w, b = np.zeros(len(used)), 0.0
     ahead_w, ahead_b, t = w, b, 1.0
@@ -144,9 +155,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: tuple[str, ...] = IDE
         z = np.bincount(owner, weights=ahead_w[col], minlength=len(x)) + ahead_b
         miss = heavy * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         g = np.bincount(col, weights=miss[owner], minlength=len(used))
-        if len(swaps):
-            gap = swap_penalty * (ahead_w[swaps[:, 0]] - ahead_w[swaps[:, 1]]) / len(swaps)
-            g += np.bincount(swaps[:, 0], weights=gap, minlength=len(used)) - np.bincount(swaps[:, 1], weights=gap, minlength=len(used))
+        gap = share_of * (ahead_w[swapped[:, 0]] - ahead_w[swapped[:, 1]])
+        g += np.bincount(swapped[:, 0], weights=gap, minlength=len(used)) - np.bincount(swapped[:, 1], weights=gap, minlength=len(used))
         new = ahead_w - g / curve
         new = np.sign(new) * np.maximum(np.abs(new) - l1 / curve, 0)
         new_b = ahead_b - miss.sum() / curve_b
