@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import text as T
+from evidentia.session import cut
 
 STRIDE = 4
 TABLES = 12
@@ -226,18 +227,46 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, edit_rate: float = ED
                item_col: str = "item_id", item_text_col: str = "text", most_items_bytes: int = MOST_ITEMS_BYTES) -> DataFrame:
     """doc_id, item_id, edit_distance, item_words, end_word: one row for each document and item it leaks."""
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = None
+    for sent in _indexes(documents, benchmark, edit_rate, item_col, item_text_col, most_items_bytes):
+        found = docs.mapInArrow(_leak_task(sent, edit_rate), "doc_id long, item_id long, edit_distance int, item_words int, end_word int")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _indexes(documents: DataFrame, benchmark: DataFrame, edit_rate: float, item_col: str = "item_id", item_text_col: str = "text", most_items_bytes: int = MOST_ITEMS_BYTES) -> Iterator:
+    """A broadcast index for each slice of the benchmark, of a checked size; repeated items are dealt over the slices."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total // most_items_bytes))
-    out = None
+    if slices > 1:
+        items = cut(items.withColumn("k", F.pmod(F.monotonically_increasing_id(), F.lit(slices))))
     for k in range(slices):
-        own = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        rows = own.orderBy("item_id", "text").collect()
-        found = docs.mapInArrow(_leak_task(documents.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], edit_rate)), edit_rate), "doc_id long, item_id long, edit_distance int, item_words int, end_word int")
-        out = found if out is None else out.unionByName(found)
+        rows = (items if slices == 1 else items.where(F.col("k") == k)).select("item_id", "text").orderBy("item_id", "text").collect()
+        yield documents.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], edit_rate))
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, text_col: str = "text", **columns) -> DataFrame:
+    """The rows of `documents` whose text leaks no item, in one pass; every row is judged by its own text, whatever its id."""
+    at = documents.columns.index(text_col)
+    out = documents
+    for sent in _indexes(documents, benchmark, edit_rate, **columns):
+        out = out.mapInArrow(_clean_task(sent, edit_rate, at), documents.schema)
     return out
 
 
+def _clean_task(sent, rate: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for w in T.words(batch.column(at)):
+                clean[[leak[0] for leak in _leaks_of(w, index, rate)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def _leak_task(sent, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value

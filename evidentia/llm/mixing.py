@@ -14,7 +14,7 @@ works on (id, source, size) rows.
    taken blocks.
 
 Cases: a null text has size 0 and takes 0; a null source is a source (last); repeated rows are separate
-documents of the line; an empty table gives no rows; no column but id, source and text is read.
+documents of the line; null ids are documents of their own; a very long text is one document of the line; an empty table gives no rows; no column but id, source and text is read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.session import cut
+from evidentia.session import Tables, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Primes for the seeded permutation of a shard's blocks; one that does not divide m is coprime to it.
@@ -91,18 +91,19 @@ def plan(docs: DataFrame, seed: int = 7, block: int = 64, shard_words: int = 1 <
 
     Sources by code point, nulls last, weigh `weights`, repeating.
     """
+    tables = Tables(docs.sparkSession, "mixing")
     sizes = docs.select(
         F.col("doc_id"), F.col("source"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("__h"),  # the text parts the documents of one id, or of none
     )
-    sizes = cut(sizes)
+    sizes = tables.store("sizes", sizes)
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy()
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
     sources = targets(sources.withColumn("weight", weight), share, most)
-    per_shard = F.greatest(F.lit(shard_words), (F.sum("source_size").over(everything) / 4096).cast("long"))
-    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_shard)).cast("long"))
+    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     # blocks are equal within a source: quota x (source_size / blocks) words are what a quota takes
     sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long"))
     sources = sources.withColumn("__w", F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0)))
@@ -110,14 +111,14 @@ def plan(docs: DataFrame, seed: int = 7, block: int = 64, shard_words: int = 1 <
     sources = sources.withColumn("__most", F.floor(F.col("blocks") * F.lit(float(most))).cast("long"))
     sources = cut(apportion_within(sources, "__seats", "__w", "__most", ["source"]).drop("__seats", "__w", "__most").withColumnRenamed("quota", "source_quota"))
 
-    placed = _join_source(sizes, sources).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
+    placed = _join_source(sizes, sources).withColumn("shard", F.pmod("__h", F.col("shards")))
     shard_rows = placed.groupBy("source", "shard", "source_quota", "blocks", "source_size").agg(F.sum("size").alias("shard_size"))
     # the shards' blocks sum to their source's at least, and by weight m a quota of most * blocks gives each shard most * m: no quota exceeds that
     shard_rows = apportion(shard_rows.withColumn("__w", F.col("shard_size").cast("double")), ["source"], "blocks", "__w", ["shard"])
     shard_rows = shard_rows.withColumn("m", F.greatest(F.lit(1), "quota").cast("long")).drop("quota")
     shard_rows = apportion(shard_rows.withColumn("__w", F.col("m").cast("double")), ["source"], "source_quota", "__w", ["shard"])
     shard_rows = shard_rows.select(F.col("source").alias("__src"), F.col("shard").alias("__shard"), "shard_size", "m", "quota")
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("doc_id"), F.col("size"))
+    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "__h"), "__h", F.col("doc_id"), F.col("size"))
     placed = placed.withColumn("offset", (F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).cast("long"))
     out = placed.join(shard_rows, F.col("source").eqNullSafe(F.col("__src")) & (F.col("shard") == F.col("__shard")), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", "shard", "offset", "shard_size", "m", "quota")
@@ -148,6 +149,15 @@ def taken_words() -> Column:
     return F.expr(f"CASE WHEN size = 0 THEN 0L ELSE (quota DIV m) * size + {partial} END")
 
 
+def taken_text(text: Column) -> Column:
+    """The document's words in taken blocks of the partial pass, parted by single spaces."""
+    word = f"offset + i >= CAST({_cuts('k')} AS BIGINT) AND (k = m - 1 OR offset + i < CAST({_cuts('(k + 1)')} AS BIGINT))"
+    at = "CAST(floor((offset + i) * (m / greatest(shard_size, 1))) AS BIGINT)"
+    taken = F.expr(f"transform(sequence(0L, greatest(size - 1, 0L)), i -> exists(array({at} - 1, {at}, {at} + 1), k -> k >= 0 AND k < m AND {word} AND {block_taken('k')}))")
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_join(F.transform(F.filter(F.arrays_zip(words.alias("w"), taken.alias("t")), lambda e: e["t"]), lambda e: e["w"]), " ")
+
+
 def mix_sources(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and the place columns of plan()."""
     return plan(docs, **settings).withColumn("taken", taken_words())

@@ -1,8 +1,11 @@
 """The stages of corpus_pipeline.py: operators whose decisions change the corpus.
 
+Decisions are about rows, never about ids: rows that share an id, and rows without one, are documents of their own.
+
 Cases, for every stage: null ids are documents like others; null texts fail the quality rules and are gone after the first stage, and
 where a later stage meets them they have no shingles, leak nothing, and take no part in the mix; repeated rows are near duplicates
-of each other, of which one stays; an empty table passes through every stage; columns beyond those of documents pass through, whatever their names.
+of each other, of which one stays; very long texts are read whole; an empty table passes through every stage; columns beyond those of
+documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,51 +17,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import decontaminate, jaccard_join, mixing, quality_rules, token_ids
+from evidentia.session import Tables, drop_tables
+
+#: Rows to take out, if counted to be so many at most, are broadcast (8 bytes each); more are taken out by a shuffle join.
+MOST_BROADCAST_ROWS = 500_000
+
+
+def _packed(docs: DataFrame, *more) -> DataFrame:
+    """Each row as one value, `row`, so that no name of its columns can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"row.`{c}`") for c in columns])
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the policy rejects: the ledger's bits are computed beside the row, so nothing is joined."""
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    judged = quality_rules.apply_policy(quality_rules.ledger(packed.select("row", F.col("row.text").alias("text")), id_col="row"))
-    return judged.where("kept").select(*[F.col(f"doc_id.`{c}`") for c in columns])
+    """Documents that no rule of the policy rejects: the ledger is written with its rows, and the policy applied to what is read back."""
+    judged = quality_rules.ledger(_packed(docs, F.col("text")), id_col="row")
+    ledger = Tables(spark, "quality-rules").store("ledger", judged)
+    return _unpacked(quality_rules.apply_policy(ledger).where("kept").withColumnRenamed("doc_id", "row"), docs.columns)
 
 
 def jaccard_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the least id; documents without shingles stay too."""
-    joined = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
-    gone = joined.where("component IS NOT NULL AND component <> id").select(F.col("id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    if twice.isEmpty():
-        return kept
-    # rows that repeat an id: the first by text stays
-    again = kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(again)
+    """One row of each component stays: the one with the least id (null last), of those the first written; rows without shingles stay too."""
+    tables = Tables(spark, "jaccard-dedup")
+    rows = tables.store("rows", _packed(docs, F.monotonically_increasing_id().alias("key")))
+    joined = jaccard_join.jaccard_join(rows.select("key", "row.text"), id_col="key").where("n_shingles > 0")
+    named = joined.join(rows.select("key", "row.doc_id"), F.col("id") == F.col("key")).select("key", "component", "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    stays = named.groupBy("component").agg(first["key"].alias("stays"), F.count("*").alias("n")).where("n > 1")
+    gone = tables.store("gone", named.join(stays, "component").where("key <> stays").select("key"))
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST_ROWS else gone
+    return _unpacked(rows.join(gone, "key", "left_anti"), docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    leaks = decontaminate.find_leaks(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select(F.col("doc_id").alias("__leak")).distinct(), F.col("doc_id") == F.col("__leak"), "left_anti")
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as its quota takes it whole, and once more with the words of the taken blocks if it is taken in part."""
-    columns = docs.columns
-    plan = mixing.plan(docs.select("doc_id", "source", "text")).drop("source").withColumn("taken", mixing.taken_words())
-    plan = plan.where("taken > 0").withColumnRenamed("doc_id", "__id").dropDuplicates(["__id"])
-    rows = docs.join(plan.select("__id", "size", "shard", "offset", "shard_size", "m", "quota", "taken"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    rows = rows.withColumn("__whole", F.expr("CAST(taken DIV size AS INT)")).withColumn("__part", F.col("taken") % F.col("size"))
+    plan = mixing.plan(_packed(docs, F.col("source"), F.col("text")).withColumnRenamed("row", "doc_id"))
+    rows = plan.withColumn("taken", mixing.taken_words()).where("taken > 0").withColumnRenamed("doc_id", "row")
     # when the quota takes whole passes, the rest of the words are those of the partial pass
-    word = f"offset + i >= CAST({mixing._cuts('k')} AS BIGINT) AND (k = m - 1 OR offset + i < CAST({mixing._cuts('(k + 1)')} AS BIGINT))"
-    at = "CAST(floor((offset + i) * (m / greatest(shard_size, 1))) AS BIGINT)"
-    taken = f"exists(array({at} - 1, {at}, {at} + 1), k -> k >= 0 AND k < m AND {word} AND {mixing.block_taken('k')})"
-    picked = F.expr(f"array_join(filter(filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), (w, i) -> {taken}), ' ')")
-    copies = F.expr("concat(array_repeat(true, __whole), CASE WHEN __part > 0 THEN array(false) ELSE array() END)")
-    out = rows.withColumn("__copy", F.explode(copies))
-    text = F.when(F.col("__copy"), F.col("text")).otherwise(picked)
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*[F.col(f"`{c}`") for c in columns])
+    rows = rows.withColumn("whole", F.expr("CAST(taken DIV size AS INT)")).withColumn("part", F.col("taken") % F.col("size"))
+    rows = rows.withColumn("copy", F.explode(F.expr("concat(array_repeat(true, whole), CASE WHEN part > 0 THEN array(false) ELSE array() END)")))
+    text = F.when(F.col("copy"), F.col("row.text")).otherwise(mixing.taken_text(F.col("row.text")))
+    rows = rows.select("row", text.alias("text"))
+    kinds = dict(docs.dtypes)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(kinds.get("n_chars", "long"))}
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def token_ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,11 +79,13 @@ def token_ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def run_stages(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Callable]]) -> DataFrame:
+    """Every stage's rows are written before the next reads them; the tables that made them are then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(stages):
         docs = stage(spark, docs, sf_dir)
         if k < len(stages) - 1:
             folder = token_ids.output_folder(spark, f"stage-{name}")
             docs.write.parquet(folder)
+            drop_tables(spark)
             docs = spark.read.parquet(folder)
     return docs

@@ -222,6 +222,38 @@ def test_bloom_counts_are_quantised_counts(spark):
         assert language_model.middle(language_model.quantise(np.array([true])))[0] == c if true else c == 0
 
 
+def test_scores_are_the_interpolation_of_counts(spark, monkeypatch):
+    """Against a model of plain dictionaries, with a filter so sparse that false hits are rare."""
+    monkeypatch.setattr(language_model, "BITS_PER_KEY", 400)
+    r = random.Random(8)
+    texts = [" ".join(f"w{int(r.paretovariate(0.8)) % 300}" for _ in range(r.randint(0, 40))) for _ in range(80)] + [None, "x" * 5000 + " y"]
+    docs = frame(spark, texts)
+    model, vocabulary = language_model.train(docs.where("doc_id % 4 <> 0").select("text"))
+    counts = Counter()
+    for k, t in enumerate(texts):
+        own = [*words_of(t), None]
+        if k % 4:
+            counts.update(tuple(own[max(0, i + 1 - n) : i + 1]) for n in (1, 2, 3) for i in range(n - 1, len(own)))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    mid = lambda c: (2 ** int(math.log2(c)) + 2 ** (int(math.log2(c)) + 1) - 1) / 2 if c else 0.0
+    wrong = 0
+    for x in language_model.score(docs.selectExpr("doc_id AS id", "text"), model, vocabulary).collect():
+        own, total = [*words_of(texts[x["id"]]), None], 0.0
+        for i in range(len(own)):
+            p = (mid(counts[own[i],]) + 0.5) / (n + 0.5 * (v + 1))
+            for size in (2, 3):
+                if i + 1 >= size:
+                    h = mid(counts[tuple(own[i + 1 - size : i])])
+                    for short in range(2, size):  # a longer gram cannot be more frequent than what it begins with
+                        h = min(h, mid(counts[tuple(own[i + 1 - size : i][:1])]))
+                    c = min(mid(counts[tuple(own[i + 1 - size : i + 1])]), h)
+                    w = h / (h + 10 * math.sqrt(h) + 5) if h else 0.0
+                    p = w * c / max(h, 1.0) + (1 - w) * p
+            total += math.log10(min(p, 1.0))
+        wrong += not math.isclose(total, x["score"], rel_tol=1e-9)
+    assert wrong <= 2
+
+
 def test_ngrams_seen_once_are_in_the_model(spark):
     words = [f"w{k}" for k in range(300)]
     model, vocabulary = language_model.train(frame(spark, [" ".join(words)]).select("text"))
@@ -292,6 +324,38 @@ def test_html_main_text(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_the_cut_overrules_doubtful_blocks():
+    """Pages with known labels and few signs: smoothing corrects what the classifier alone gets wrong."""
+    r = random.Random(6)
+    alone = cut = total = 0
+    for _ in range(60):
+        parts, truth = [], []
+        for _ in range(r.randint(1, 4)):
+            parts.append("<div>" + "".join(f"<span><a href=/x/>link {k}</a></span><br>" for k in range(4)) + "</div>")
+            truth += [False] * 4
+            sizes = [40, *(r.choice((5, 30, 60)) for _ in range(r.randint(3, 8))), 40]
+            tags = ("p", "blockquote", "pre", "h4")  # blocks of one kind in a row would be one node
+            parts.append("<div>" + "".join(f"<{tags[k % 4]}>{' '.join(['word'] * n)}{r.choice(('', '.'))}</{tags[k % 4]}>" for k, n in enumerate(sizes)) + "</div>")
+            truth += [True] * len(sizes)
+        found = html_extract.blocks("".join(parts))
+        assert len(found) == len(truth)
+        alone += sum(a == b for a, b in zip(html_extract.label(found, smooth=0.0), truth, strict=True))
+        cut += sum(a == b for a, b in zip(html_extract.label(found), truth, strict=True))
+        total += len(truth)
+    assert alone < 0.95 * total < 0.99 * total < cut
+
+
+def test_pages_of_many_blocks_take_linear_time():
+    import time
+
+    for n in (2000, 20000):
+        page = "".join(f'<div class="{"ad" if k % 2 else "post"}"><p>block {k} of some words here.</p></div>' if k % 3 else f"<p>x{k}</p>" for k in range(n))
+        began = time.time()
+        lines = html_extract.main_text(page).count("\n")
+        assert lines > n / 5 and time.time() - began < 20
+    assert html_extract.main_text("<div>" * 20000 + "<article><p>Deep down in it.") == "Deep down in it."
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(1, 7), st.randoms(use_true_random=False))
 def test_min_cut_is_minimal(n, r):
@@ -305,6 +369,33 @@ def test_min_cut_is_minimal(n, r):
     assert cost(html_extract.min_cut([float(x) for x in source], [float(x) for x in sink], edges)) == best
 
 
+def test_swaps_are_counted_by_sentence():
+    terms = ("women", "men", "gay")
+    at = {t: int(toxicity.places({t})[0]) for t in terms}
+    rows = [toxicity.places(set(t.split())) for t in ["a women"] * 3000 + ["men gay b"] + ["none here"] * 5]
+    pairs, times = toxicity.swaps(rows, terms)
+    name = {v: k for k, v in at.items()}
+    got = {(name[a], name[b]): n for (a, b), n in zip(pairs.tolist(), times.tolist(), strict=True)}
+    assert got == {("women", "men"): 3000, ("women", "gay"): 3000, ("men", "women"): 1, ("gay", "women"): 1}
+
+
+def test_edge_marks_of_any_number_are_cut():
+    at, bounds = toxicity.text_places(pa.array(["." * 30 + "vile" + "!" * 300, "vile", "..."]))
+    assert at[: bounds[1]].tolist() == at[bounds[1] : bounds[2]].tolist() == toxicity.places({"vile"}).tolist() and bounds[3] == bounds[2]
+
+
+def test_tokenizers_of_another_kind_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    file = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(file))
+    enc, plain = token_ids.Encoder(f"{tmp_path}/t.json"), Tokenizer.from_file(f"{tmp_path}/t.json")
+    assert [x.tolist() for x in enc.encode(pa.array(["ab cd", "", "x <|endoftext|>"]))] == [e.ids for e in plain.encode_batch(["ab cd", "", "x <|endoftext|>"], add_special_tokens=False)]
+
+
 TEXTS = [
     "", " ", "  a b", "a  b", "a \n b", "a\n b", "a \nb", "\n\n x\ty z ", "x's it'll <|endoftext|> a", "é  b c d e", "a\x1c b", "12 34a ,b, c", "a b c",
     "a“b” c", "x\n\ny z", "\n", "a\n", "é\n x", "a\rb c", "ß×÷ñ 漢字 don't", None, "word, word. Word\nword " * 50,
@@ -316,7 +407,6 @@ def test_encoder_equals_the_library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     enc = token_ids.Encoder(path)
     for _ in range(2):
         got = [x.tolist() for x in enc.encode(pa.array(TEXTS, pa.string()))]
@@ -329,7 +419,6 @@ def test_token_files_round_trip(spark, tmp_path, planes, block):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     ids = [30 - k for k in range(len(TEXTS))]
     docs = frame(spark, TEXTS, ids).repartition(3)
     token_ids.write_ids(docs, f"{tmp_path}/out", path, block=block, planes=planes)
