@@ -46,6 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that a task holds back while it writes a job's table: small, as its memory is for the work.
+ROW_GROUP_BYTES = 16 << 20
+
+
 class Tables:
     """Written tables of one job under the shared folder: compressed, with sizes that the optimizer knows, and deleted when done with."""
 
@@ -55,7 +59,7 @@ class Tables:
 
     def store(self, name: str, df: DataFrame) -> DataFrame:
         """Write the rows and go on from the files: lost executors cost no recomputation."""
-        df.write.parquet(f"{self.folder}/{name}")
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, name: str) -> None:
