@@ -39,9 +39,9 @@ END = np.uint64(0xE7037ED1A0B428DB)
 RANGES = (64, 1 << 16)
 HEAD_WORDS = 1 << 18
 #: Of one slice of the filter; the filter itself has no bound.
-MOST_FILTER_BYTES = 64 << 20
+MOST_FILTER_BYTES = 32 << 20
 #: Bytes of text that a task passes over together when the filter has several slices.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 6 << 20
 PROBES = 2
 BITS_PER_KEY = 10
 LOG_BASE = 2.0
@@ -328,7 +328,8 @@ class _Chunk:
 
     def __init__(self, w: T.Words, order: int):
         self.tokens, self.bounds = token_stream(w)
-        words, self.back = np.unique(self.tokens, return_inverse=True)
+        words, back = np.unique(self.tokens, return_inverse=True)
+        self.back = back.astype(np.int32)
         grams = [gram_hashes(self.tokens, self.bounds, n) for n in range(2, order + 1)]
         self.keys = [words, *(h[inside] for h, inside in grams)]
         self.inside = [inside for _, inside in grams]
