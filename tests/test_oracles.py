@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from evidentia.plans import commerce_queries  # noqa: F401  registers its queries
 from evidentia.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
