@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def fnv1a(s: Column) -> Column:
-    """FNV-1a, 32 bits, over the characters' code units."""
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    """FNV-1a, 32 bits, over the UTF-16 code units; a character beyond the first plane is two."""
+    units = F.hex(F.encode(s, "UTF-16BE"))
+    codes = F.when(F.length(units) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), (F.length(units) / 4 - 1).cast("int")), lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long")))
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
 
 
 def fnv1a_base36(s: Column) -> Column:
@@ -104,20 +105,11 @@ def traceparent(header: Column) -> tuple[Column, Column]:
     return F.when(good, trace), F.when(good, span)
 
 
-#: Patterns of secrets in free text and what stands for them, applied in order.
-SECRET_PATTERNS = (
-    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED]"),
-    (r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]*", "[REDACTED]"),
-    (r"\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{8,}", "[REDACTED]"),
-    (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED]"),
-    (r"(?i)\b(token|secret|password|api[_-]?key)\s*[=:]\s*\"?[^\s\"&]{6,}\"?", "$1=[REDACTED]"),
-)
-
-
 def redact(s: Column) -> Column:
-    for pattern, put in SECRET_PATTERNS:
-        s = F.regexp_replace(s, pattern, put)
-    return s
+    """The text without secrets: the token patterns, and values assigned to names that speak of one."""
+    from evidentia.functions.redaction import redact_tokens
+
+    return F.regexp_replace(redact_tokens(s), r"(?i)\b(token|secret|password|api[_-]?key)\s*[=:]\s*\"?(?!\[REDACTED)[^\s\"&]{6,}\"?", r"$1=\[REDACTED\]")
 
 
 def redact_query(url: Column) -> Column:
@@ -133,6 +125,135 @@ def statement_shape(sql: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+def _bare_sql(sql: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
+
+
+_NAME = r"((?:[\[\"`]?\w+[\]\"`]?\.)?[\[\"`]?\w+[\]\"`]?)"
+
+
+def _table(c: Column) -> Column:
+    """A table's name without schema and quotes."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(c, r"^.*\.", ""), r"[\[\]\"`]", ""), F.lit(""))
+
+
+def parse_mutation(sql: Column) -> Column:
+    """struct<op, table, where> of a statement that writes, null for others. Writes inside a WITH count."""
+    bare = F.trim(F.regexp_replace(_bare_sql(sql), r"\s+", " "))
+    writes = (("insert", r"(?i)\b(?:insert|replace)(?: ignore)? into " + _NAME), ("update", r"(?i)\bupdate (?:only )?" + _NAME + r"(?: (?:as )?\w+)? set\b"), ("delete", r"(?i)\bdelete from (?:only )?" + _NAME), ("merge", r"(?i)\bmerge into " + _NAME))
+    # the leading keyword decides; a WITH by what stands first in it
+    head = F.lower(F.regexp_extract(bare, r"^([A-Za-z]+)", 1))
+    where = F.nullif(F.trim(F.regexp_extract(bare, r"(?i) where (.+?)(?: returning .*)?;?$", 1)), F.lit(""))
+    out = F.lit(None)
+    for op, pattern in reversed(writes):
+        table = _table(F.regexp_extract(bare, pattern, 1))
+        mine = (head == op) | ((head == "replace") & F.lit(op == "insert")) | (head == "with")
+        out = F.when(mine & table.isNotNull(), F.struct(F.lit(op).alias("op"), table.alias("table"), where.alias("where"))).otherwise(out)
+    return out
+
+
+def parse_read(sql: Column) -> Column:
+    """The first table of a statement that only reads, else null."""
+    bare = _bare_sql(sql)
+    table = _table(F.regexp_extract(bare, r"(?i)\bfrom\s+" + _NAME, 1))
+    return F.when(statement_class(sql) == "read", table)
+
+
+def limit_offset(sql: Column, params: Column | None = None) -> Column:
+    """struct<limit, offset>: literals, $n resolved from an array of texts, and the form `LIMIT offset, count`; what cannot be resolved is null."""
+    bare = _bare_sql(sql)
+
+    def value(token: Column) -> Column:
+        at = F.regexp_extract(token, r"^\$(\d+)$", 1)
+        given = F.try_element_at(params, F.nullif(at, F.lit("")).cast("int")) if params is not None else F.lit(None)
+        return F.when(token.rlike(r"^\d+$"), token.try_cast("long")).otherwise(F.when(given.rlike(r"^\d+$"), given.try_cast("long")))
+
+    pair = r"(?i)\blimit\s+(\d+)\s*,\s*(\d+)"
+    both = bare.rlike(pair)
+    limit, offset = F.regexp_extract(bare, r"(?i)\blimit\s+(\d+|\$\d+)", 1), F.regexp_extract(bare, r"(?i)\boffset\s+(\d+|\$\d+)", 1)
+    return F.struct(F.when(both, F.regexp_extract(bare, pair, 2).try_cast("long")).otherwise(value(limit)).alias("limit"), F.when(both, F.regexp_extract(bare, pair, 1).try_cast("long")).otherwise(value(offset)).alias("offset"))
+
+
+def valid_correlation_id(s: Column, most: int = 64) -> Column:
+    """The trimmed id if it is one, else null."""
+    t = F.trim(s)
+    return F.when(t.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:-]*$") & (F.length(t) <= most), t)
+
+
+def error_signature(kind: Column, msg: Column, stack: Column) -> Column:
+    """Hash of an error's kind, message and first three lines of its stack."""
+    top = F.array_join(F.slice(F.split(F.coalesce(stack, F.lit("")), "\n"), 1, 3), "\n")
+    return fnv1a_base36(F.concat_ws("|", kind, F.coalesce(msg, F.lit("")), top))
+
+
+def stable_route(url: Column) -> Column:
+    """Path of a URL with UUIDs, numbers and hexadecimal segments that hold a digit or are as long as a hash as :id."""
+    segment = r"(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9]+|(?=[0-9a-f]*[0-9])[0-9a-f]{6,}|deadbeef|[0-9a-f]{16,})$"
+    return F.array_join(F.transform(F.split(url_path(url), "/"), lambda s: F.when(s.rlike(segment), ":id").otherwise(s)), "/")
+
+
+def stable_message(msg: Column) -> Column:
+    """Lower case, numbers as #, but for the status codes of HTTP messages; white space collapsed."""
+    low = F.lower(F.coalesce(msg, F.lit("")))
+    held = F.regexp_replace(low, r"\b(http|status|status code|code)([ :=]+)([1-5])([0-9])([0-9])\b", "$1$2<$3.$4.$5>")
+    letters = F.translate(F.regexp_replace(held, r"(?<![.<])\b[0-9]+(?:[.,][0-9]+)*\b(?![.>])", "#"), "<>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(letters, r"([1-5])\.([0-9])\.([0-9])", "$1$2$3"), r"\s+", " "))
+
+
+def bug_signature(detector: Column, message: Column, route: Column, target: Column | None = None) -> Column:
+    """Signature of a distinct bug that holds across sessions: detector, message without its numbers, route without its ids, and what it happened to."""
+    parts = [detector, stable_message(message), stable_route(F.coalesce(route, F.lit(""))), F.coalesce(target if target is not None else F.lit(None).cast("string"), F.lit(""))]
+    return F.concat(F.lit("bugsig2:"), fnv1a_base36(F.concat_ws("|", *parts)))
+
+
+#: Schemes of scripts that belong to no application.
+FOREIGN_SCHEMES = ("chrome-extension:", "moz-extension:", "safari-extension:", "safari-web-extension:", "webpack-internal:", "node:", "blob:", "data:")
+MOST_FRAMES = 5
+
+
+def stack_frames(stack: Column, most: int = MOST_FRAMES) -> Column:
+    """array<struct<fn, file, line, column>> of the located frames of a stack that an application could own, innermost first; the header line is none."""
+    line = r"^\s*at (?:(?:async )?(.*?) \()?((?:[a-z-]+:)?[^\s()]+?):(\d+):(\d+)\)?\s*$"
+
+    def frame(s: Column) -> Column:
+        file = F.regexp_replace(F.regexp_extract(s, line, 2), r"\?.*$", "")
+        return F.struct(F.nullif(F.trim(F.regexp_extract(s, line, 1)), F.lit("")).alias("fn"), file.alias("file"), F.regexp_extract(s, line, 3).try_cast("int").alias("line"), F.regexp_extract(s, line, 4).try_cast("int").alias("column"))
+
+    lines = F.slice(F.split(stack, "\n"), 2, 1000)
+    own = F.filter(F.transform(lines, frame), lambda f: f["file"].contains("/") & ~f["file"].startswith("<") & ~F.lower(f["file"]).rlike("^(" + "|".join(FOREIGN_SCHEMES) + ")"))
+    return F.slice(own, 1, most)
+
+
+#: Languages that write a comma before the fraction.
+COMMA_DECIMAL = ("de", "fr", "es", "it", "pt", "nl", "pl", "ru", "tr", "sv", "da", "nb", "fi", "cs", "el", "uk", "id", "vi")
+
+
+def parse_number(text: Column, lang: Column) -> Column:
+    """struct<value, unit> of a number as a page shows it, null where its separators make none.
+
+    The later of dot and comma parts the fraction; one kind alone groups if repeated or, before exactly three digits, as the language does.
+    """
+    t = F.trim(F.translate(F.translate(F.translate(text, "٠١٢٣٤٥٦٧٨٩", "0123456789"), "۰۱۲۳۴۵۶۷۸۹", "0123456789"), "٫٬", ",."))
+    shape = r"^([$€£¥₹]|[A-Z]{3})?\s*(-?[\d.,   ]*\d)\s*([$€£¥₹%]|[A-Z]{3})?$"
+    core = F.regexp_replace(F.regexp_extract(t, shape, 2), "[   ]", "")
+    unit = F.coalesce(F.nullif(F.regexp_extract(t, shape, 1), F.lit("")), F.nullif(F.regexp_extract(t, shape, 3), F.lit("")))
+    comma = F.coalesce(F.lower(F.regexp_extract(lang, "^([A-Za-z]+)", 1)).isin(*COMMA_DECIMAL), F.lit(False))
+    dots, commas = F.length(core) - F.length(F.translate(core, ".", "")), F.length(core) - F.length(F.translate(core, ",", ""))
+    tail = F.length(F.regexp_extract(core, r"[.,](\d*)$", 1))
+    last = F.regexp_extract(core, r"([.,])\d*$", 1)
+    sep = (
+        F.when((dots > 0) & (commas > 0), last).when(dots + commas == 0, "").when(dots + commas > 1, "")
+        .when(tail == 3, F.when(last == ",", F.when(comma, ",").otherwise("")).otherwise(F.when(comma, "").otherwise("."))).when((last == ",") & (tail > 2) & ~comma, "?").otherwise(last)
+    )
+    whole = F.when(sep.isin(".", ","), F.regexp_extract(core, r"^(.*)[.,]\d*$", 1)).otherwise(core)
+    part = F.when(sep.isin(".", ","), F.regexp_extract(core, r"[.,](\d*)$", 1)).otherwise("")
+    plain = F.translate(whole, "-", "")
+    grouped = plain.rlike(r"^\d+$") | (plain.rlike(r"^\d{1,3}(\.\d{3})+$") & (sep != ".")) | (plain.rlike(r"^\d{1,3}(,\d{3})+$") & (sep != ","))
+    good = (core != "") & (sep != "?") & grouped & ((part != "") | ~sep.isin(".", ","))
+    value = F.concat(F.translate(whole, ".,", ""), F.when(part != "", F.concat(F.lit("."), part)).otherwise("")).try_cast("double")
+    return F.when(good, F.struct(value.alias("value"), unit.alias("unit")))
+
+
 def statement_class(sql: Column) -> Column:
     """read, mutation or other, by the leading keyword after comments (a documented subset of full parsing)."""
     head = F.lower(F.regexp_extract(F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " "), r"^\s*([A-Za-z]+)", 1))
