@@ -13,7 +13,8 @@ Jaccard bound asks for. Equal sets are one node (64-bit number of the set), so c
   it has no rare shingles of its own. That joins families in linear time. Then only lists that still hold different components are
   joined with themselves, by shingle and size class: an entry at place p of a set of n can only serve a partner of
   at most 7 (n - p) / 3 - n shingles (at 0.75), and sets of the list's largest component meet only sets of others.
-  Every pair is verified on its whole sets. Pairs inside a component are never made: they cannot change it.
+  Pairs whose sizes and parities (2,048 bits a set, an upper bound of what two sets share) allow a link are verified on their whole sets.
+  Pairs inside a component are never made: they cannot change it.
 * The boundary x is where the summed cost of subsets passes the cost of scanning, from the counted sizes and the sketch.
 * The list of a very frequent shingle is dealt over several tasks by its sets' numbers.
 
@@ -43,6 +44,10 @@ BLOCK_BITS = 16
 MOST_SMALL = 30
 #: Bits of the filter that tells which documents' sets a round needs: at most 8 MB, whatever the input.
 FILTER_BITS = (16, 26)
+#: Classes of the parities that bound an overlap.
+PARITY_BITS = 2048
+#: Tables of pairs of at most so many rows (counted) are broadcast, 16 bytes a row; larger ones are joined by shuffle.
+MOST_BROADCAST_ROWS = 500_000
 #: Heads compared for each set.
 HEADS = 3
 #: Entries of one shingle, as the sketch counts them, that go to one task.
@@ -149,11 +154,22 @@ def _node_of(s: np.ndarray) -> int | None:
     return int(T.mix(np.array([np.bitwise_xor.reduce(T.mix(s)) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """For each of PARITY_BITS classes of hashes whether the set has an odd number of them, as words of 64 bits.
+
+    Two sets differ by one element at least for each class in which their parities differ, so parities bound what they can share.
+    """
+    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _node_task(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), _node_of(s)) for w in T.words(batch.column(1)) for _, s in T.shingle_sets(w, size)]
-            yield pa.record_batch([batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([k for _, k in found], pa.int64())], names=["id", "n", "node"])
+            found = [(len(s), _node_of(s), _parities(s)) for w in T.words(batch.column(1)) for _, s in T.shingle_sets(w, size)]
+            flat = np.concatenate([p for *_, p in found]) if found else np.zeros(0, np.int64)
+            edges = pa.array(np.arange(len(found) + 1, dtype=np.int32) * (PARITY_BITS // 64))
+            yield pa.record_batch([batch.column(0), pa.array([n for n, *_ in found], pa.int32()), pa.array([k for _, k, _ in found], pa.int64()), pa.ListArray.from_arrays(edges, pa.array(flat))], names=["id", "n", "node", "odd"])
 
     return run
 
@@ -205,35 +221,57 @@ def _entry_task(order, size: int, x: int, num: int, den: int, hot: int):
 # ---- verification on whole sets
 
 
-def _filter_of(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A one-hash filter of n ids, of bounded size: beyond it only lets more rows through to the exact join."""
-    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], int(np.ceil(np.log2(16 * max(1, n))))))
-    at = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+def _filter_bits(n: int) -> int:
+    return min(FILTER_BITS[1], max(FILTER_BITS[0], int(np.ceil(np.log2(16 * max(1, n))))))
+
+
+def _filter_of(places: DataFrame, bits: int) -> np.ndarray:
+    """A filter of places(b) below 2^bits, of bounded size: where it is too small it only lets more rows through to the exact join."""
     one = F.expr("shiftleft(1L, CAST(b & 63 AS INT))")
-    found = ids.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(one).alias("m")).toArrow()
+    found = places.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(one).alias("m")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[found.column("w").to_numpy()] = found.column("m").to_numpy().view(np.uint64)
-    return out, bits
+    return out
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs(a, b) -> those whose sizes and parities allow a link: both ends are found in one pass over the nodes and meet by pair."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    ends = F.broadcast(ends) if pairs.count() <= MOST_BROADCAST_ROWS else ends
+    side = lambda c, end: F.first(F.when(F.col("node") == F.col(end), F.col(c)), ignorenulls=True)
+    met = nodes.join(ends, "node").groupBy("a", "b").agg(side("n", "a").alias("n"), side("n", "b").alias("m"), side("odd", "a").alias("oa"), side("odd", "b").alias("ob"))
+    apart = "aggregate(zip_with(oa, ob, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return met.where(f"(n + m - {apart}) DIV 2 >= ({num} * (n + m) + {num + den - 1}) DIV {num + den}").select("a", "b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted(node, id): stored -> node, s: the whole shingle sets, read from the documents that a bounded filter of the ids lets through."""
-    mask, bits = _filter_of(wanted, wanted.count())
-    sent = docs.sparkSession.sparkContext.broadcast(mask)
+    """wanted(node, id): stored -> node, s: the whole shingle sets, read from the documents that bounded filters of the ids and nodes let through.
+
+    A node comes once from each task that meets it; a node that no filter holds may come too.
+    """
+    bits = _filter_bits(wanted.count())
+    id_place, last = F.pmod(F.xxhash64("id"), F.lit(1 << bits)), (1 << bits) - 1
+    sent = docs.sparkSession.sparkContext.broadcast((_filter_of(wanted.select(id_place.alias("b")), bits), _filter_of(wanted.select(F.col("node").bitwiseAND(F.lit(last).cast("long")).alias("b")), bits)))
+
+    def held(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((mask[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            b = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = (sent.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
-            part = batch.filter(pa.array(keep.astype(bool)))
-            if part.num_rows:
-                sets = [(_node_of(s), s.astype("<u8").tobytes()) for w in T.words(part.column(1)) for _, s in T.shingle_sets(w, size)]
-                yield pa.record_batch([part.column(0), pa.array([k for k, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.binary())], names=["id", "node", "s"])
+            part = batch.filter(pa.array(held(sent.value[0], batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))))
+            sets = []
+            for w in T.words(part.column(0)):
+                for _, s in T.shingle_sets(w, size):
+                    node = _node_of(s)
+                    if node is not None and node not in seen and held(sent.value[1], np.array([node & last]))[0]:
+                        if len(seen) < 1_000_000:
+                            seen.add(node)
+                        sets.append((node, s.astype("<u8").tobytes()))
+            if sets:
+                yield pa.record_batch([pa.array([k for k, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.binary())], names=["node", "s"])
 
-    rows = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("b"))
-    found = rows.mapInArrow(run, "id long, node long, s binary").alias("f").where("node IS NOT NULL")
-    w = wanted.select(F.col("node").alias("wn"), F.col("id").alias("wi"))
-    return found.join(w, (F.col("node") == F.col("wn")) & F.col("id").eqNullSafe(F.col("wi"))).groupBy("node").agg(F.any_value("s").alias("s"))
+    return docs.select("text", id_place.alias("b")).mapInArrow(run, "node long, s binary")
 
 
 def _verify_task(num: int, den: int):
@@ -250,14 +288,16 @@ def _verify_task(num: int, den: int):
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, num: int, den: int, tables: Tables, turn: str) -> DataFrame:
-    """pairs(a, b) -> those that link, stored. The sets of their nodes are written once, by node, and joined to both sides."""
-    pairs = tables.store(f"pairs-{turn}", pairs)
+    """pairs(a, b) -> those that link, stored. Pairs that sizes and parities rule out go first; the whole sets of the rest are dealt by node, once for both ends."""
+    pairs = tables.store(f"met-{turn}", pairs)
+    pairs = tables.store(f"pairs-{turn}", _possible(pairs, nodes, num, den))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = tables.store(f"wanted-{turn}", ends.join(nodes, "node").select("node", "id"))
-    sets = tables.store(f"sets-{turn}", _sets(docs, wanted, size))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    links = tables.store(f"links-{turn}", both.select("a", "b", "sa", "sb").mapInArrow(_verify_task(num, den), "a long, b long"))
-    for name in ("sets", "wanted", "pairs"):
+    sets = _sets(docs, wanted, size).repartition(F.col("node"))
+    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = right.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    links = tables.store(f"links-{turn}", both.select("a", "b", "sa", "sb").mapInArrow(_verify_task(num, den), "a long, b long").distinct())
+    for name in ("met", "wanted", "pairs"):
         tables.drop(f"{name}-{turn}")
     return links
 
@@ -310,8 +350,9 @@ def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int
     hot = max(HOT_ENTRIES, 8 * int(sketch.mean()))
     order = spark.sparkContext.broadcast(sketch)
     del sketch
-    rows = tables.store("rows", docs.mapInArrow(_node_task(size), "id long, n int, node long"))
-    nodes = tables.store("nodes", rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")))
+    rows = tables.store("rows", docs.mapInArrow(_node_task(size), "id long, n int, node long, odd array<long>"))
+    nodes = tables.store("nodes", rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("odd").alias("odd")))
+    rows = rows.drop("odd")
 
     entries = docs.select("text").mapInArrow(_entry_task(order, size, x, num, den, hot), "key long, node long, meta long").repartition(F.col("key"))
     # both sides of the join read all columns of the entries, so that one shuffle serves both. Foremost: by place over size, for subsets by size
