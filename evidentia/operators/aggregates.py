@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
+from evidentia.session import Tables
 
 
 def counts_by_kind(events: DataFrame) -> DataFrame:
@@ -73,7 +74,13 @@ def signature_dictionary(events: DataFrame, signature: Column, fields: list[str]
     """signature, ref (by first sight), and of each field its value if all occurrences agree on it."""
     g = events.withColumn("signature", signature).where("signature IS NOT NULL").groupBy("signature").agg(
         F.min(F.struct("t", "session_id", "seq")).alias("first"), *[F.when((F.countDistinct(f) == 1) & (F.count(f) == F.count("*")), F.min(f)).alias(f) for f in fields])
-    return g.withColumn("ref", F.dense_rank().over(Window.orderBy("first"))).drop("first")
+    # numbered within ranges of first sight, then moved by the sizes of the ranges before
+    ranges = Tables(events.sparkSession, "signature-dictionary").store("ranges", g.repartitionByRange("first").withColumn("__p", F.spark_partition_id()))
+    sizes = ranges.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__p", before.alias("__before"))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("__p").orderBy("first"))
+    return ranges.withColumn("__r", within).join(offsets, "__p").withColumn("ref", (F.col("__r") + F.col("__before")).cast("int")).drop("first", "__p", "__r", "__before")
 
 
 def diversity_cap(candidates: DataFrame, most: int = 200) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.operators.joins import first_aliases
+from evidentia.session import Tables
 
 #: Event kind -> node kind.
 NODE_KINDS = {
@@ -76,26 +77,32 @@ def build_edges(nodes: DataFrame, window_ms: int = WINDOW_MS, high_ms: int = HIG
     return strong.unionByName(late.join(strong.select("session_id", "dst").distinct(), ["session_id", "dst"], "left_anti"))
 
 
-def roots(nodes: DataFrame, edges: DataFrame, owned: DataFrame, most_hops: int = 16) -> DataFrame:
+def roots(nodes: DataFrame, edges: DataFrame, owned: DataFrame) -> DataFrame:
     """For each owned node its nearest owned ancestor: level by level, the first level with a hit, least id; the path is as sure as its weakest hop.
 
-    owned(session_id, id). Levels are joins on the session's edges; walks stop where they hit, so the frontier shrinks.
+    owned(session_id, id). Levels are joins on the session's edges; a walk stops where it hits and never meets a node twice, so the frontier
+    empties however long a chain is. Each level is written, so no plan grows. A step from one row change to another, and a claim that one caused
+    another, is never more than low: their order is the handler's choice.
     """
+    tables = Tables(edges.sparkSession, "roots")
     conf = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
-    steps = edges.select("session_id", "src", F.col("dst").alias("at"), conf.alias("hop"))
+    writes = nodes.where("kind IN ('db.write', 'db.error')").select("session_id", "id").distinct()
+    is_write = lambda name: writes.select("session_id", F.col("id").alias(name), F.lit(True).alias(f"w_{name}"))
+    steps = edges.select("session_id", "src", F.col("dst").alias("at"), conf.alias("hop")).join(is_write("src"), ["session_id", "src"], "left").join(is_write("at"), ["session_id", "at"], "left")
+    steps = tables.store("steps", steps.select("session_id", "src", "at", F.when(F.col("w_src") & F.col("w_at"), 1).otherwise(F.col("hop")).alias("hop")))
     mine = owned.select("session_id", F.col("id").alias("src")).withColumn("hit", F.lit(True))
     frontier = owned.select("session_id", "id", F.col("id").alias("at"), F.lit(3).alias("sure"))
-    found = None
-    for level in range(1, most_hops + 1):
-        moved = frontier.join(steps, ["session_id", "at"]).select("session_id", "id", "src", F.least("sure", "hop").alias("sure")).where("src <> id")
-        moved = moved.groupBy("session_id", "id", "src").agg(F.max("sure").alias("sure")).join(mine, ["session_id", "src"], "left")
-        hits = moved.where("hit").groupBy("session_id", "id").agg(F.min(F.struct("src", "sure")).alias("h")).select("session_id", "id", F.col("h.src").alias("root"), F.col("h.sure").alias("sure"), F.lit(level).alias("hops"))
+    seen = frontier.select("session_id", "id", "at")
+    found, level = None, 0
+    while found is None or not frontier.isEmpty():
+        level += 1
+        moved = frontier.join(steps, ["session_id", "at"]).groupBy("session_id", "id", "src").agg(F.max(F.least("sure", "hop")).alias("sure"))
+        new = moved.join(seen.withColumnRenamed("at", "src"), ["session_id", "id", "src"], "left_anti")
+        reached = tables.store(f"level-{level}", new.join(mine, ["session_id", "src"], "left"))
+        hits = reached.where("hit").groupBy("session_id", "id").agg(F.min(F.struct("src", "sure")).alias("h")).select("session_id", "id", F.col("h.src").alias("root"), F.col("h.sure").alias("sure"), F.lit(level).alias("hops"))
+        hits = tables.store(f"hits-{level}", hits)
         found = hits if found is None else found.unionByName(hits)
-        frontier = moved.join(hits.select("session_id", "id"), ["session_id", "id"], "left_anti").select("session_id", "id", F.col("src").alias("at"), "sure")
-        if level % 4 == 0:
-            from evidentia.session import cut
-
-            frontier, found = cut(frontier), cut(found)
-            if frontier.isEmpty():
-                break
-    return found
+        seen = seen.unionByName(reached.select("session_id", "id", F.col("src").alias("at")))
+        frontier = tables.store(f"frontier-{level}", reached.join(hits.select("session_id", "id"), ["session_id", "id"], "left_anti").select("session_id", "id", F.col("src").alias("at"), "sure"))
+    claims = found.join(is_write("id"), ["session_id", "id"], "left").join(is_write("root"), ["session_id", "root"], "left")
+    return claims.select("session_id", "id", "root", F.when(F.col("w_id") & F.col("w_root"), 1).otherwise(F.col("sure")).alias("sure"), "hops")

@@ -64,9 +64,10 @@ def full_stack(frontend: DataFrame, backend: DataFrame) -> DataFrame:
     """
     last = Window.partitionBy("request_id").orderBy(F.desc("seq"))
     keyed = frontend.where("request_id IS NOT NULL").withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
-    f, b = keyed.select("request_id", F.col("session_id").alias("f_session"), F.col("t").alias("f_t")), backend.where("request_id IS NOT NULL").select("request_id", F.col("session_id").alias("b_session"), F.col("t").alias("b_t"), "status")
+    f = keyed.select("request_id", F.col("session_id").alias("f_session"), F.col("t").alias("f_t"), F.lit(True).alias("has_f"))
+    b = backend.where("request_id IS NOT NULL").select("request_id", F.col("session_id").alias("b_session"), F.col("t").alias("b_t"), "status", F.lit(True).alias("has_b"))
     joined = f.join(b, "request_id", "full_outer")
-    has_f, has_b = F.col("f_t").isNotNull(), F.col("b_t").isNotNull()
+    has_f, has_b = F.col("has_f").isNotNull(), F.col("has_b").isNotNull()  # a row without a time is a row
     linked = has_f & has_b & F.col("f_session").isNotNull() & (F.col("f_session") == F.col("b_session"))
     named = {"generated-request-id": "backend-generated-request-id", "missing-session": "backend-missing-session", "missing-request-id": "backend-missing-request-id",
              "missing-session-and-request-id": "backend-missing-session-and-request-id"}
@@ -92,14 +93,19 @@ def gap_histogram(joined: DataFrame) -> DataFrame:
 def fifo_match(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The k-th row of a key on one side pairs with the k-th on the other; the rest is missing or added."""
     w = Window.partitionBy(*keys).orderBy(order)
-    a = left.withColumn("__k", F.row_number().over(w)).select(*keys, "__k", F.struct(*left.columns).alias("a"))
-    b = right.withColumn("__k", F.row_number().over(w)).select(*keys, "__k", F.struct(*right.columns).alias("b"))
-    joined = a.join(b, [*keys, "__k"], "full_outer")
-    return joined.withColumn("change", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "missing").otherwise("paired")).drop("__k")
+    a = left.withColumn("__k", F.row_number().over(w)).select(*[F.col(k).alias(f"__a{i}") for i, k in enumerate(keys)], F.col("__k").alias("__ka"), F.struct(*left.columns).alias("a"))
+    b = right.withColumn("__k", F.row_number().over(w)).select(*[F.col(k).alias(f"__b{i}") for i, k in enumerate(keys)], F.col("__k").alias("__kb"), F.struct(*right.columns).alias("b"))
+    same = F.col("__ka") == F.col("__kb")
+    for i in range(len(keys)):
+        same &= F.col(f"__a{i}").eqNullSafe(F.col(f"__b{i}"))  # an unknown part of a key is equal to an unknown one
+    joined = a.join(b, same, "full_outer")
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "missing").otherwise("paired")
+    return joined.select(*[F.coalesce(f"__a{i}", f"__b{i}").alias(k) for i, k in enumerate(keys)], "a", "b", change.alias("change"))
 
 
 def env_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """key, value tables of two sessions -> added, removed and changed keys."""
-    joined = left.select("key", F.col("value").alias("before")).join(right.select("key", F.col("value").alias("after")), "key", "full_outer")
-    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed")
-    return joined.withColumn("change", change).where("change IS NOT NULL")
+    """key, value tables of two sessions -> added, removed and changed keys. A key whose value is null is there."""
+    one = left.select("key", F.col("value").alias("before"), F.lit(True).alias("__l"))
+    joined = one.join(right.select("key", F.col("value").alias("after"), F.lit(True).alias("__r")), "key", "full_outer")
+    change = F.when(F.col("__l").isNull(), "added").when(F.col("__r").isNull(), "removed").when(~F.col("before").eqNullSafe(F.col("after")), "changed")
+    return joined.withColumn("change", change).where("change IS NOT NULL").drop("__l", "__r")

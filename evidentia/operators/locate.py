@@ -30,14 +30,15 @@ def best_per_signature(scored: DataFrame, limit: int) -> DataFrame:
     return keyed.unionByName(scored.where("signature IS NULL")).orderBy(F.desc("score"), "session_id", "bug_id").limit(limit)
 
 
-def locate(scored: DataFrame, now: int, release: str | None = None) -> DataFrame:
-    """Confidence of each candidate: score, nearness in time, release; ranked by confidence, newer first, ids."""
+def locate(scored: DataFrame, now: int, release: str | None = None, most: int = 100) -> DataFrame:
+    """Confidence of each candidate: score, nearness in time, release; the best `most` ranked by confidence, newer first, ids."""
     age = F.greatest(F.lit(0), F.lit(now) - F.col("session_time"))
     time = F.when(F.col("session_time").isNull(), 0.0).otherwise(W_TIME * F.pow(F.lit(0.5), age / HALF_LIFE_MS))
     hint = F.lit(0.0) if not release else F.when(F.lower(F.trim("release")) == release.strip().lower(), W_RELEASE).otherwise(0.0)
     confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") + time + hint))
-    ranked = scored.withColumn("confidence", confidence)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("confidence"), F.desc_nulls_last("session_time"), "bug_id", "session_id")))
+    order = (F.desc("confidence"), F.desc_nulls_last("session_time"), "bug_id", "session_id")
+    best = scored.withColumn("confidence", confidence).orderBy(*order).limit(most)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # of so few rows
 
 
 def outcome(ranked: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:

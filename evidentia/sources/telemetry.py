@@ -11,10 +11,12 @@ from evidentia.functions import text as X
 def read_sessions_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """session_id, seq, t, k, d (VARIANT) of session logs: one file per session, one JSON event to a line.
 
-    `seq` is the line's place in its file, taken from the whole file, so it holds however files are split into tasks.
-    Blank and malformed lines, and those without a numeric t and a kind, are dropped.
+    `seq` is the line's place in its file. Files are split into tasks as any text: a line's place follows from the start of its split and its
+    order there, so it holds however they are split. Blank and malformed lines, and those without a numeric t and a kind, are dropped.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("seq", "line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("block", "row")) - 1
+    files = lines.withColumn("seq", place)
     parsed = files.select(F.regexp_extract("file", r"([^/]+?)(?:\.[^/.]*)?$", 1).alias("session_id"), F.col("seq").cast("long").alias("seq"), F.try_parse_json("line").alias("e"))
     rows = parsed.where("e IS NOT NULL").select(
         "session_id", "seq", F.try_variant_get("e", "$.t", "long").alias("t"), X.canonical_kind(F.try_variant_get("e", "$.k", "string")).alias("k"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -111,3 +111,99 @@ def throttle(events: DataFrame, keys: list[str], least_ms: int) -> DataFrame:
     ordered = events.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("ts"))
     kept = F.expr(f"aggregate(ts, CAST(array() AS ARRAY<BIGINT>), (a, t) -> CASE WHEN size(a) = 0 OR t - a[greatest(size(a) - 1, 0)] >= {least_ms} THEN concat(a, array(t)) ELSE a END)")
     return ordered.select(*keys, F.explode(kept).alias("t"))
+
+
+# ---- flags, buffers, late data
+
+
+#: Time and number of events that a ring buffer holds; debounce, cool-down and lateness of an early look at a session.
+RING_MS, RING_EVENTS = 300_000, 50_000
+FINALIZE_DEBOUNCE_MS, FINALIZE_COOLDOWN_MS, LATE_MS = 45_000, 300_000, 1000
+
+
+def auto_flags(signals: DataFrame, debounce_ms: int, most: int) -> DataFrame:
+    """signals(session_id, t, key, tag) -> t, key, tag of the flags that a session raises by itself.
+
+    Only the first signal of a key counts. A flag falls due when no new key came for the debounce time after it, and is that of the first
+    waiting signal; a session raises so many at most. Groups of waiting signals are gaps in the ordered times: windows, no fold.
+    """
+    first = signals.groupBy("session_id", "key").agg(F.min(F.struct("t", "tag")).alias("f")).select("session_id", "key", "f.*")
+    order = Window.partitionBy("session_id").orderBy("t", "key")
+    parted = first.withColumn("gap", F.coalesce(F.col("t") - F.lag("t").over(order) >= debounce_ms, F.lit(True)).cast("int"))
+    grouped = parted.withColumn("group", F.sum("gap").over(order))
+    return grouped.where((F.col("gap") == 1) & (F.col("group") <= most)).select("session_id", "t", "key", "tag", "group")
+
+
+def _flag_state(debounce_ms: int, most: int):
+    """State: keys seen, the waiting signal, time of the last new key, flags so far. A later signal, or the end of the wait in event time, raises the waiting one."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, waiting, last, n = state.get if state.exists else ([], None, None, 0)
+        seen, out = set(seen), []
+        rows = [] if state.hasTimedOut else sorted((int(r.t), r.key, r.tag) for pdf in batches for r in pdf.itertuples())
+        for t, k, tag in rows:
+            if k in seen or (n >= most and waiting is None):
+                continue
+            if waiting is not None and t - last >= debounce_ms:
+                out.append((str(key[0]), *waiting))
+                waiting, n = None, n + 1
+                if n >= most:
+                    continue
+            seen.add(k)
+            waiting = waiting or (t, k, tag)
+            last = t
+        if state.hasTimedOut and waiting is not None:
+            out.append((str(key[0]), *waiting))
+            waiting, n = None, n + 1
+        state.update((sorted(seen), waiting, last, n))
+        if waiting is not None:
+            state.setTimeoutTimestamp(max(last + debounce_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "t", "key", "tag"])
+
+    return run
+
+
+def auto_flags_stream(signals: DataFrame, debounce_ms: int, most: int, lateness: str = "10 seconds") -> DataFrame:
+    """The same on a stream, in event time: rows later than the watermark are dropped by Spark before they reach the state."""
+    timed = signals.withColumn("ts", F.timestamp_millis("t")).withWatermark("ts", lateness)
+    schema = "seen array<string>, waiting struct<t:long,key:string,tag:string>, last long, n int"
+    return timed.groupBy("session_id").applyInPandasWithState(_flag_state(debounce_ms, most), "session_id string, t long, key string, tag string", schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ring_snapshot(events: DataFrame, at: DataFrame, window_ms: int = RING_MS, most: int = RING_EVENTS) -> DataFrame:
+    """at(session_id, flag_t): what a buffer of so much time and so many events holds at each flag: its events up to then, the latest ones."""
+    from evidentia.operators.joins import range_join
+
+    held = range_join(at, events, ["session_id"], "flag_t", "t", window_ms, 0)
+    w = Window.partitionBy("session_id", "flag_t").orderBy(F.desc("t"), F.desc("seq"))
+    return held.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+
+
+def bounded_bus(events: DataFrame, batch: Column, most: int = RING_EVENTS) -> tuple[DataFrame, DataFrame]:
+    """(events that a bus of so many places passes on, drops of each session and batch): the oldest of a batch go first."""
+    w = Window.partitionBy("session_id", "__b").orderBy(F.desc("seq"))
+    placed = events.withColumn("__b", batch).withColumn("__r", F.row_number().over(w))
+    drops = placed.groupBy("session_id", F.col("__b").alias("batch")).agg(F.count_if(F.col("__r") > most).alias("dropped")).where("dropped > 0")
+    return placed.where(F.col("__r") <= most).drop("__b", "__r"), drops
+
+
+def early_looks(triggers: DataFrame, debounce_ms: int = FINALIZE_DEBOUNCE_MS, cooldown_ms: int = FINALIZE_COOLDOWN_MS) -> DataFrame:
+    """triggers(session_id, t) of high severity -> when each session is looked at early: the debounce time after a run of triggers, and no
+    sooner than the cool-down after the look before. The look depends on the one before it, so the ordered ends of runs are folded."""
+    order = Window.partitionBy("session_id").orderBy("t")
+    ends = triggers.withColumn("next", F.lead("t").over(order)).where(F.col("next").isNull() | (F.col("next") - F.col("t") >= debounce_ms))
+    due = ends.groupBy("session_id").agg(F.array_sort(F.collect_list(F.col("t") + debounce_ms)).alias("ts"))
+    step = f"(a, t) -> CASE WHEN size(a) = 0 OR t - a[greatest(size(a) - 1, 0)] >= {cooldown_ms} THEN concat(a, array(t)) ELSE a END"
+    return due.select("session_id", F.explode(F.expr(f"aggregate(ts, CAST(array() AS ARRAY<BIGINT>), {step})")).alias("look_t"))
+
+
+def late_sessions(events: DataFrame, finished: DataFrame, late_ms: int = LATE_MS) -> DataFrame:
+    """finished(session_id, end): sessions with events newer than what they were finished with; they are made anew as a whole."""
+    newest = events.groupBy("session_id").agg(F.max("t").alias("newest"))
+    return newest.join(finished, "session_id").where(F.col("newest") > F.col("end") + late_ms).select("session_id", "end", "newest")
+
+
+def with_watermark(events: DataFrame, lateness: str = "10 seconds") -> DataFrame:
+    """A stream whose order holds within the lateness: what comes later is dropped and does not fire a detector."""
+    return events.withColumn("ts", F.timestamp_millis("t")).withWatermark("ts", lateness)
