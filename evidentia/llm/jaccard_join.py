@@ -13,7 +13,7 @@ Jaccard bound asks for. Equal sets are one node (64-bit number of the set), so c
   it has no rare shingles of its own. That joins families in linear time. Then only lists that still hold different components are
   joined with themselves, by shingle and size class: an entry at place p of a set of n can only serve a partner of
   at most 7 (n - p) / 3 - n shingles (at 0.75), and sets of the list's largest component meet only sets of others.
-  Pairs whose sizes and parities (2,048 bits a set, an upper bound of what two sets share) allow a link are verified on their whole sets.
+  Pairs whose sizes and parities (2,048 bits a set, 32,768 a large one: an upper bound of what two sets share) allow a link are verified on their whole sets.
   Pairs inside a component are never made: they cannot change it.
 * The boundary x is where the summed cost of subsets passes the cost of scanning, from the counted sizes and the sketch.
 * The list of a very frequent shingle is dealt over several tasks by its sets' numbers.
@@ -44,8 +44,8 @@ BLOCK_BITS = 16
 MOST_SMALL = 30
 #: Bits of the filter that tells which documents' sets a round needs: at most 8 MB, whatever the input.
 FILTER_BITS = (16, 26)
-#: Classes of the parities that bound an overlap.
-PARITY_BITS = 2048
+#: Classes of the parities that bound an overlap: for sets, and for those of so many shingles and more, which would fill as few.
+PARITY_BITS, LARGE_SET, LARGE_PARITY_BITS = 2048, 2200, 32768
 #: Tables of pairs of at most so many rows (counted) are broadcast, 16 bytes a row; larger ones are joined by shuffle.
 MOST_BROADCAST_ROWS = 500_000
 #: Heads compared for each set.
@@ -155,11 +155,12 @@ def _node_of(s: np.ndarray) -> int | None:
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
-    """For each of PARITY_BITS classes of hashes whether the set has an odd number of them, as words of 64 bits.
+    """For each class of hashes whether the set has an odd number of them, as words of 64 bits.
 
     Two sets differ by one element at least for each class in which their parities differ, so parities bound what they can share.
     """
-    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    classes = PARITY_BITS if len(s) < LARGE_SET else LARGE_PARITY_BITS
+    odd = np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -168,7 +169,7 @@ def _node_task(size: int):
         for batch in batches:
             found = [(len(s), _node_of(s), _parities(s)) for w in T.words(batch.column(1)) for _, s in T.shingle_sets(w, size)]
             flat = np.concatenate([p for *_, p in found]) if found else np.zeros(0, np.int64)
-            edges = pa.array(np.arange(len(found) + 1, dtype=np.int32) * (PARITY_BITS // 64))
+            edges = pa.array(np.concatenate([[0], np.cumsum([len(p) for *_, p in found])]).astype(np.int32))
             yield pa.record_batch([batch.column(0), pa.array([n for n, *_ in found], pa.int32()), pa.array([k for _, k, _ in found], pa.int64()), pa.ListArray.from_arrays(edges, pa.array(flat))], names=["id", "n", "node", "odd"])
 
     return run
@@ -241,7 +242,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     side = lambda c, end: F.first(F.when(F.col("node") == F.col(end), F.col(c)), ignorenulls=True)
     met = nodes.join(ends, "node").groupBy("a", "b").agg(side("n", "a").alias("n"), side("n", "b").alias("m"), side("odd", "a").alias("oa"), side("odd", "b").alias("ob"))
     apart = "aggregate(zip_with(oa, ob, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    return met.where(f"(n + m - {apart}) DIV 2 >= ({num} * (n + m) + {num + den - 1}) DIV {num + den}").select("a", "b")
+    return met.where(f"size(oa) <> size(ob) OR (n + m - {apart}) DIV 2 >= ({num} * (n + m) + {num + den - 1}) DIV {num + den}").select("a", "b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
