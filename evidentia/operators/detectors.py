@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.operators.aggregates import diversity_cap
+from evidentia.session import Tables
 
 COLUMNS = ("session_id", "detector", "severity", "score", "t", "request_id", "subject", "message")
 
@@ -73,6 +74,16 @@ def found(rows: DataFrame, name: str, severity: Column | str, score: Column | in
 
 
 def answered(events: DataFrame) -> DataFrame:
+    """The answered requests; of a stored scan the stored ones."""
+    stored = _STORED.get(id(events))
+    return stored[1] if stored is not None and stored[0] is events else _answered(events)
+
+
+#: Stored scans by identity, with their answered requests, while detectors run over them.
+_STORED: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+
+def _answered(events: DataFrame) -> DataFrame:
     """session_id, id, request_id, method, url, body, sent, t (of the answer), st, dur, answer: a request with its response or failure, if any."""
     net = events.where("k IN ('net.req', 'net.res', 'net.err') AND id IS NOT NULL")
     first = lambda c, kind: F.min_by(F.when(F.col("k") == kind, c), F.when(F.col("k") == kind, F.col("seq")))
@@ -366,13 +377,25 @@ for _m in (("page_probe_failure", "probe.error", "medium", 50), ("user_marker",
 # ---- around the detectors
 
 
-def run_detectors(events: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """All findings of the named detectors (all by default)."""
-    out = None
-    for name in names or DETECTORS:
-        part = DETECTORS[name](events).select(*COLUMNS)
-        out = part if out is None else out.unionByName(part)
-    return out
+def run_detectors(events: DataFrame, names: list[str] | None = None, scans: int = 4) -> DataFrame:
+    """All findings of the named detectors (all by default).
+
+    For more than `scans` detectors the events are read and parsed once and written by kind, and answered requests are joined once:
+    every detector then reads the columns and the kinds that it needs, and no other rows.
+    """
+    wanted = list(names or DETECTORS)
+    if len(wanted) > scans:
+        tables = Tables(events.sparkSession, "detectors")
+        events = tables.store("events", events, partition="k")
+        _STORED[id(events)] = (events, tables.store("answered", _answered(events)))
+    try:
+        out = None
+        for name in wanted:
+            part = DETECTORS[name](events).select(*COLUMNS)
+            out = part if out is None else out.unionByName(part)
+        return out
+    finally:
+        _STORED.pop(id(events), None)
 
 
 def dedupe(candidates: DataFrame) -> DataFrame:
@@ -386,3 +409,6 @@ def evidence_candidates(events: DataFrame, names: list[str] | None = None, most:
     """The candidates of every session: found, deduplicated, and rationed over detectors so that a rare one survives the cap."""
     rows = dedupe(run_detectors(events, names)).withColumn("candidate_id", F.concat_ws(" ", "detector", "subject"))
     return diversity_cap(rows, most)
+
+
+from evidentia.operators import detectors_business as _business  # noqa: E402, F401  registers beside these

@@ -66,7 +66,7 @@ def network_calls(spark, sf_dir):
 @query(_sql("""SELECT engine, op, "table", count(*)::BIGINT AS n, count(DISTINCT request_id)::BIGINT AS requests FROM (SELECT CASE WHEN k % 2 = 0 THEN 'mysql' ELSE 'postgres' END AS engine, 'insert' AS op, 'orders' AS "table", 'q' || k AS request_id FROM o
  UNION ALL SELECT 'postgres', 'insert', 'order_items', 'q' || l_orderkey FROM lineitem JOIN o ON l_orderkey = k) GROUP BY ALL"""))
 def db_writes(spark, sf_dir):
-    return P.db_writes(orders_as_telemetry(spark, sf_dir)).groupBy("engine", "op", "table").agg(F.count("*").alias("n"), F.countDistinct("request_id").alias("requests"))
+    return P.db_writes(orders_as_telemetry(spark, sf_dir)).where(F.col("table").isin("orders", "order_items")).groupBy("engine", "op", "table").agg(F.count("*").alias("n"), F.countDistinct("request_id").alias("requests"))
 
 
 @query(_sql("""SELECT s AS session_id, 'flags.flag' || f AS key, arg_max(k % 2, k)::VARCHAR AS value FROM (SELECT *, k % 3 AS f FROM o WHERE k % 5 = 0) GROUP BY s, f
@@ -102,7 +102,7 @@ def db_activity(spark, sf_dir):
 
 @query(_sql("""SELECT s AS session_id, 'q' || k AS request_id, 'mail' AS service, 202 AS status, (k % 70)::DOUBLE AS duration_ms, '{"template":"t' || (k % 3) || '"}' AS detail FROM o WHERE k % 11 = 0"""))
 def outbound_calls(spark, sf_dir):
-    return P.outbound_calls(orders_as_telemetry(spark, sf_dir)).select("session_id", "request_id", "service", "status", "duration_ms", "detail")
+    return P.outbound_calls(orders_as_telemetry(spark, sf_dir)).where("service = 'mail'").select("session_id", "request_id", "service", "status", "duration_ms", "detail")
 
 
 @query(_sql("SELECT s AS session_id, t0 + 70 AS t, 'cart' || (k % 3) AS key, k::VARCHAR AS new_value FROM o WHERE k % 9 = 0"))
@@ -118,3 +118,34 @@ def flag_changes(spark, sf_dir):
 @query(_sql("SELECT s AS session_id, 'q' || k AS request_id, 1 AS ordinal, count(*)::BIGINT AS n FROM o WHERE k % 3 = 0 GROUP BY ALL"))
 def capped_reads(spark, sf_dir):
     return P.capped_reads(orders_as_telemetry(spark, sf_dir)).groupBy("session_id", "request_id", "ordinal").agg(F.count("*").alias("n"))
+
+
+#: Detector -> the order keys on which it fires.
+_FIRES = {
+    "http_error": "k % 17 = 0", "app_2xx_failure": "k % 19 = 0 AND k % 17 <> 0", "network_error": "k % 23 = 0", "unhandled_rejection": "k % 23 = 0", "backend_request_error": "k % 17 = 0 AND k % 8 <> 0",
+    "otel_span_error": "k % 26 = 0", "otel_log_error": "k % 62 = 0", "db_statement_failed": "k % 17 = 0", "duplicate_write": "k % 29 = 0", "repeated_clicks": "k % 37 = 0", "pricing_total_ignored_by_checkout": "k % 82 = 0",
+    "checkout_committed_after_pricing_timeout": "k % 43 = 0", "declined_payment_ordered": "k % 47 = 0", "duplicate_charge": "k % 53 = 0", "order_committed_with_negative_inventory": "k % 59 = 0", "money_scale_shift": "k % 61 = 0", "counter_contradiction": "k % 67 = 0",
+}
+
+
+@query(_sql("SELECT session_id, detector, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT s AS session_id, '{name}' AS detector FROM o WHERE {where}" for name, where in [*_FIRES.items(), ("duplicate_write", "k % 53 = 0")]) + ") GROUP BY ALL"))
+def commerce_findings(spark, sf_dir):
+    """All of these detectors over one stored scan of the telemetry."""
+    from evidentia.operators import detectors as D
+
+    found = D.run_detectors(orders_as_telemetry(spark, sf_dir), list(_FIRES))
+    return found.groupBy("session_id", "detector").agg(F.count("*").alias("n"))
+
+
+@query(_sql("SELECT s AS session_id, 'q' || k AS request_id, '2 equal inserts into notes' AS message FROM o WHERE k % 29 = 0 UNION ALL SELECT s, 'q' || k, '2 equal inserts into payments' FROM o WHERE k % 53 = 0"))
+def duplicate_writes(spark, sf_dir):
+    from evidentia.operators import detectors as D
+
+    return D.duplicate_write(orders_as_telemetry(spark, sf_dir)).select("session_id", "request_id", "message")
+
+
+@query(_sql("SELECT s AS session_id, t0 + 2000 AS t, 'buy-' || (k % 3) AS subject FROM o WHERE k % 37 = 0"))
+def repeated_clicks(spark, sf_dir):
+    from evidentia.operators import detectors as D
+
+    return D.repeated_clicks(orders_as_telemetry(spark, sf_dir)).select("session_id", "t", "subject")

@@ -465,11 +465,6 @@ def declared_total_divergence(spark, sf_dir):
     return l_.groupBy("l_orderkey").agg(total.alias("s")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.col("o_totalprice").alias("declared"), _r("s", 2).alias("summed"), (F.abs(F.col("o_totalprice") - F.col("s")) > 0.01).alias("diverges"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
-def duplicate_writes(spark, sf_dir):
-    return _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.count("*").alias("n")).where("n > 1")
-
-
 # ---- detectors, comparison and evidence
 
 
@@ -491,12 +486,6 @@ def detector_findings(spark, sf_dir):
     return found.groupBy("session_id", "detector").agg(F.count("*").alias("n"), F.max("score").cast("long").alias("top"))
 
 
-@query(_tel_sql(f"""SELECT session_id, seq, n FROM (SELECT session_id, seq, k, count(*) OVER (PARTITION BY session_id, k ORDER BY t RANGE BETWEEN {D.REPEAT_MS} PRECEDING AND CURRENT ROW)::BIGINT AS n FROM tel WHERE k = 'clk') WHERE n >= 2"""))
-def repeated_clicks(spark, sf_dir):
-    w = Window.partitionBy("session_id", "k").orderBy("t").rangeBetween(-D.REPEAT_MS, 0)
-    return events_as_telemetry(spark, sf_dir).where("k = 'clk'").withColumn("n", F.count("*").over(w)).where("n >= 2").select("session_id", "seq", "n")
-
-
 @query(None)
 def evidence_candidates(spark, sf_dir):
     return D.evidence_candidates(_payload(spark, sf_dir), ["http_error", "pending_request", "uncaught_error", "latency_outlier", "slow_request", "response_race"])

@@ -57,9 +57,10 @@ class Tables:
         self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _made.append(self.folder)
 
-    def store(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the rows and go on from the files: lost executors cost no recomputation."""
-        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{self.folder}/{name}")
+    def store(self, name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
+        """Write the rows (by the values of a column, if named) and go on from the files: lost executors cost no recomputation."""
+        writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
+        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, name: str) -> None:

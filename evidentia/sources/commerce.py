@@ -22,7 +22,7 @@ _EVENTS: tuple[tuple[int, int, str, str, str], ...] = (
     (0, 0, "clk", "'el', named_struct('sig', concat('buy-', k % 3))", "true"),
     (1, 10, "net.req", "'id', k, 'requestId', concat('q', k), 'method', 'POST', 'url', concat('https://shop.example/api/orders/', k, '?src=web'), 'body', CASE WHEN k % 7 = 0 THEN concat('{\"query\":\"mutation Place', k % 4, ' { go }\"}') ELSE concat('{\"customer\":', s, '}') END", "true"),
     (2, 20, "backend.req.start", "'requestId', concat('q', k), 'method', 'post', 'pathname', '/api/orders', 'route', '/api/orders/:id'", "k % 8 <> 0"),
-    (3, 30, "db.diff", "'requestId', concat('q', k), 'table', 'orders', 'op', 'insert', 'engine', CASE WHEN k % 2 = 0 THEN 'mysql' WHEN k % 5 = 0 THEN 'oracle' END, 'pk', named_struct('id', k), 'after', named_struct('id', k, 'user_id', s, 'total', price, 'status', o_orderstatus)", "true"),
+    (3, 30, "db.diff", "'requestId', concat('q', k), 'table', 'orders', 'op', 'insert', 'engine', CASE WHEN k % 2 = 0 THEN 'mysql' WHEN k % 5 = 0 THEN 'oracle' END, 'pk', named_struct('id', k), 'after', named_struct('id', k, 'user_id', s, 'total', price, 'total_cents', CAST(round(price * 100) AS BIGINT), 'status', o_orderstatus)", "true"),
     (4, 60, "backend.req.end", "'requestId', concat('q', k), 'statusCode', CASE WHEN k % 17 = 0 THEN 500 ELSE 200 END, 'durationMs', k % 400", "k % 8 <> 0"),
     (5, 61, "backend.req.error", "'requestId', concat('q', k), 'error', named_struct('name', 'OrderError', 'message', concat('order ', k, ' was refused'))", "k % 17 = 0 AND k % 8 <> 0"),
     (6, 80, "net.res", "'id', k, 'st', CASE WHEN k % 17 = 0 THEN 500 ELSE 200 END, 'dur', k % 900, 'body', CASE WHEN k % 19 = 0 THEN concat('0:{\"rows\":[{\"ok\":false,\"code\":\"E', k % 5, '\"}]}') WHEN k % 21 = 0 THEN '{\"error\":\"soft\"}' ELSE '{\"ok\":true}' END", "true"),
@@ -38,6 +38,17 @@ _EVENTS: tuple[tuple[int, int, str, str, str], ...] = (
     (16, 85, "ui.num", "'region', concat('r', k % 2), 'items', array(named_struct('label', 'Total', 'value', price), named_struct('label', concat('Count ', k % 50), 'value', CAST(k % 7 AS DOUBLE)))", "k % 4 = 0"),
     (17, 99, "backend.otel.log", "'traceId', concat('q', k), 'severityNumber', CASE WHEN k % 62 = 0 THEN 17 ELSE 9 END, 'severityText', 'INFO', 'body', concat('order ', k)", "k % 31 = 0"),
 )
+_EVENTS += tuple((18 + n, 41 + n, "db.diff", f"'requestId', concat('q', k), 'table', 'notes', 'op', 'insert', 'pk', named_struct('id', {n}), 'after', named_struct('id', {n}, 'text', concat('note ', k))", "k % 29 = 0") for n in (0, 1))
+_EVENTS += tuple((20 + n, 1000 + 1000 * n, "clk", "'el', named_struct('sig', concat('buy-', k % 3))", "k % 37 = 0") for n in (0, 1))
+_EVENTS += (
+    (22, 25, "backend.http", "'requestId', concat('q', k), 'service', 'pricing', 'status', 200, 'totalCents', CAST(round(price * 100) AS BIGINT) + CASE WHEN k % 82 = 0 THEN 100 ELSE 0 END", "k % 41 = 0"),
+    (23, 26, "backend.http", "'requestId', concat('q', k), 'service', 'pricing', 'status', 0, 'errorKind', 'timeout'", "k % 43 = 0"),
+    (24, 27, "backend.http", "'requestId', concat('q', k), 'service', 'payments', 'chargeStatus', 'declined'", "k % 47 = 0"),
+    *((25 + n, 31 + n, "db.diff", f"'requestId', concat('q', k), 'table', 'payments', 'op', 'insert', 'pk', named_struct('id', {n}), 'after', named_struct('id', {n}, 'order_id', k, 'amount_cents', 100, 'status', 'succeeded')", "k % 53 = 0") for n in (0, 1)),
+    (27, 29, "db.diff", "'requestId', concat('q', k), 'table', 'products', 'op', 'update', 'pk', named_struct('id', 7), 'before', named_struct('id', 7, 'inventory', 0), 'after', named_struct('id', 7, 'inventory', -1)", "k % 59 = 0"),
+    (28, 33, "db.diff", "'requestId', concat('q', k), 'table', 'payments', 'op', 'update', 'pk', named_struct('id', k), 'before', named_struct('amount_cents', 19900), 'after', named_struct('amount_cents', 199)", "k % 61 = 0"),
+    (29, 34, "db.diff", "'requestId', concat('q', k), 'table', 'exports', 'op', 'insert', 'pk', named_struct('id', k), 'after', named_struct('id', k, 'rows_expected', 8, 'rows_written', 3)", "k % 67 = 0"),
+)
 #: Places of an order's events; line items follow them.
 SPAN = 1024
 
