@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import text as T
-from evidentia.session import Tables
+from evidentia.session import Tables, small_batches
 
 END = np.uint64(0xE7037ED1A0B428DB)
 #: Hash ranges: a power of two from 64 up, two for each input partition, so that a range's counts fit a task at any size.
@@ -307,9 +307,10 @@ def train(training_texts: DataFrame, order: int = 3, most_filter_bytes: int = MO
     ranges = min(RANGES[1], max(RANGES[0], 1 << (2 * training_texts.rdd.getNumPartitions() - 1).bit_length()))
     runs = training_texts.mapInArrow(_count_task(order, ranges), "part long, keys binary, counts binary")
     r = F.pmod("part", F.lit(ranges))
-    table = Tables(training_texts.sparkSession, "language-model").store(
-        "filter", runs.repartition(r).sortWithinPartitions(r).mapInArrow(_sum_task(ranges), "r long, bits binary, types long, tokens long, h binary, c binary")
-    )
+    with small_batches(training_texts.sparkSession):
+        table = Tables(training_texts.sparkSession, "language-model").store(
+            "filter", runs.repartition(r).sortWithinPartitions(r).mapInArrow(_sum_task(ranges), "r long, bits binary, types long, tokens long, h binary, c binary")
+        )
     sizes, tokens, types = np.zeros(ranges, np.int64), 0, 0
     for row in table.select("r", F.length("bits").alias("n"), "types", "tokens").collect():  # a row for each range
         sizes[row["r"]] = row["n"]
@@ -432,9 +433,10 @@ def score(texts: DataFrame, model: Model, vocabulary: DataFrame, head_words: int
     order = np.argsort(h)
     head = (h[order], top.column("c").to_numpy()[order])
     task = _score_task([sc.broadcast(s) for s in model.slices()], model.scorer(), sc.broadcast(head))
-    scored = Tables(texts.sparkSession, "language-model-scores").store(
-        "scored", texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "row long, id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>")
-    )
+    with small_batches(texts.sparkSession):
+        scored = Tables(texts.sparkSession, "language-model-scores").store(
+            "scored", texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "row long, id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>")
+        )
     rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("h"), F.col("times").alias("k"))).alias("e")).select("row", F.col("e.h").alias("h"), F.col("e.k").alias("k"))
     unit = F.lit(model.tokens + 0.5 * (model.types + 1))
     met = rare.join(vocabulary, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
