@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import text as T
-from evidentia.session import Tables, checkpoint_dir
+from evidentia.session import Tables, checkpoint_dir, small_batches
 
 BLOCK = 1 << 16
 END_ID = 2
@@ -269,7 +269,8 @@ def write_ids(documents: DataFrame, folder: str, tokenizer: str, end_id: int = E
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the hash parts the rows of one id, or of none
     ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    ordered.mapInArrow(_write_task(tokenizer, end_id, block, planes), CHUNK_SCHEMA).write.option("compression", "none").parquet(folder)
+    with small_batches(documents.sparkSession):
+        ordered.mapInArrow(_write_task(tokenizer, end_id, block, planes), CHUNK_SCHEMA).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(folder)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
