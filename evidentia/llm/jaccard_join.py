@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import text as T
 from evidentia.llm.components import components
-from evidentia.session import Tables
+from evidentia.session import Tables, small_batches
 
 SKETCH_BITS = 22
 BLOCK_BITS = 16
@@ -342,6 +342,16 @@ def _last_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component: the least id reachable over links, its own included."""
+    with small_batches(documents.sparkSession):
+        rows, found = _families(documents, size, similarity, id_col, text_col)
+    labelled = rows.join(found, "node", "left").withColumn("set", F.coalesce("component", "node"))
+    least = labelled.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
+    out = labelled.join(least, "set", "left")
+    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
+
+
+def _families(documents: DataFrame, size: int, similarity: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored: the rows (id, n, node), and the components (node, component) of the nodes that link."""
     spark = documents.sparkSession
     tables = Tables(spark, "jaccard-join")
     num, den = similarity
@@ -376,9 +386,4 @@ def jaccard_join(documents: DataFrame, size: int = 5, similarity: tuple[int, int
     more = _verify(docs, nodes, _last_pairs(last, num, den), size, num, den, tables, "last")
     tables.drop("open")
     star = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    found = tables.store("components", components(star.unionByName(more)))
-
-    labelled = rows.join(found, "node", "left").withColumn("set", F.coalesce("component", "node"))
-    least = labelled.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
-    out = labelled.join(least, "set", "left")
-    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
+    return rows, tables.store("components", components(star.unionByName(more)))
