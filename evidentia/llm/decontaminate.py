@@ -9,8 +9,9 @@ random steps of the walk; `tables` such hashes give the target recall.
 * The corpus side walks a window at every `stride`-th word of every text. A passage of n words holds about n / stride
   sampled starts, and each meets the items' windows that begin at the same word: an unedited passage is always
   found, an edited one where one of its windows agrees at the sampled steps in one table.
-* The walks sample, so every corpus word also begins the word seeds of the pigeonhole: an item cut into int(rate * words) + 1
-  pieces keeps one of them unedited in every stretch within the rate, so no leak is missed whatever its length and edits.
+* The walks sample, and at the full rate their windows agree too seldom (README has the recall by length), so every corpus word
+  also begins the word seeds of the pigeonhole: an item cut into int(rate * words) + 1 pieces keeps one of them unedited in
+  every stretch within the rate, so no leak is missed whatever its length and edits.
 * Every (document, item, place) that collides is checked: the least word edit distance between the whole
   item and any stretch of the text around the place, by dynamic programming over a batch of candidates.
   It counts as a leak at `edit_rate` * item words or fewer.
@@ -22,8 +23,8 @@ One pass over the texts, no shuffle; the corpus is never gathered. A benchmark l
 Recall is 1: the seeds alone reach every stretch within the rate, and the checked region around a seed holds the whole stretch.
 A candidate goes to the edit program only if enough of the item's words stand in its region, which every leak fulfils.
 
-Cases: null and empty texts and items match nothing; items of fewer than `least_words` words are too short to be
-evidence and match nothing; repeated documents each get their rows, repeated items too; ties in distance keep the first
+Cases: null and empty texts and items match nothing; items of fewer than LEAST_WORDS words are too short to be
+evidence and match nothing; very long texts are walked whole; repeated documents each get their rows, repeated items too; ties in distance keep the first
 place; empty tables give no rows; only id and text columns are read.
 """
 

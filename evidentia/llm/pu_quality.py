@@ -11,8 +11,8 @@ line ends, sentence marks, symbols, bars, ...), and word statistics. They are bo
 The fit sees at most `most_positives` and `most_unlabelled` texts, picked by a hash of the id: bounded samples of labelled and
 unlabelled rows. Scoring sees every row, in one map over the table with a model of a few kilobytes.
 
-Cases: a null or empty text has all-zero features and gets a score; null ids are scored but never train; repeated rows are scored
-each; without positives or without unlabelled texts every score is 0.5; an empty table gives no rows; other columns are not read.
+Cases: a null or empty text has all-zero features and gets a score; a very long text is read whole; null ids are scored but never train; repeated rows are scored
+each; without positives or without unlabelled texts every score is 0.5; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ N_CLASSES = len(CLASSES) + 2
 N_WORD_FEATURES = 7
 N_FEATURES = N_CLASSES * N_CLASSES + N_WORD_FEATURES
 MOST_POSITIVES = 20_000
+#: Standard deviations beyond which a feature says no more, in the fit and in scores.
+CLIP = 8.0
 MOST_UNLABELLED = 20_000
 
 
@@ -89,7 +91,7 @@ class QualityModel:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _squash(((x - self.mean) / self.scale) @ self.weights + self.bias)
+        return _squash(np.clip((x - self.mean) / self.scale, -CLIP, CLIP) @ self.weights + self.bias)
 
 
 def _descend(gradient, size: int, steps: int, rate: float) -> np.ndarray:
@@ -117,7 +119,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: fl
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0)
     scale[scale < 1e-6] = 1.0
-    p, u = np.clip((positive - mean) / scale, -8, 8), np.clip((unlabelled - mean) / scale, -8, 8)
+    p, u = np.clip((positive - mean) / scale, -CLIP, CLIP), np.clip((unlabelled - mean) / scale, -CLIP, CLIP)
     p, u = (np.concatenate([x, np.ones((len(x), 1))], axis=1) for x in (p, u))
     ridge = np.full(p.shape[1], decay + 3.0 / len(p))  # few positives, little trust
     ridge[-1] = 0

@@ -300,6 +300,25 @@ def test_classifiers_on_clear_cases(spark):
     assert max(terms) < 0.2 * model.weights[toxicity.places({"vile"})[0]]
 
 
+def test_scorers_on_odd_tables(spark):
+    """Very long texts, null ids and texts, repeated rows, and columns named as the operators' own."""
+    long = "river stone light " * 20000
+    rows = [(k, "river stone light over there." if k % 2 else "x*** $$$y %%% Z!!", 0.5, 1, 2, "r") for k in range(40)] + [(41, long, 0.5, 1, 2, "r"), (None, None, 0.5, 1, 2, "r"), (41, long, 0.5, 1, 2, "r"), (43, "", 0.5, 1, 2, "r")]
+    docs = spark.createDataFrame(rows, "id long, text string, score double, row int, h int, bits string")
+    labels = spark.createDataFrame([(k, k % 2, 0.1) for k in range(30)] + [(None, 1, 0.1), (2, None, 0.1)], "id long, label int, score double")
+    quality = pu_quality.score(docs, pu_quality.train(docs, labels.where("label = 1").select("id"))).collect()
+    toxic = toxicity.score(docs, toxicity.train(docs, labels.withColumn("label", 1 - labels["label"]))).collect()
+    model, vocabulary = language_model.train(docs.select("text"))
+    lm = language_model.score(docs, model, vocabulary).collect()
+    for got in (quality, toxic, lm):
+        assert sorted(str(r["id"]) for r in got) == sorted(str(r[0]) for r in rows)
+        assert len({r["score"] for r in got if r["id"] == 41}) == 1
+    assert all(0 <= r["score"] <= 1 for r in quality + toxic)
+    assert {r["n_tokens"] for r in lm if r["id"] == 41} == {60001}
+    for empty in (pu_quality.score(docs.limit(0), pu_quality.train(docs, labels.select("id"))), toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)), language_model.score(docs.limit(0), model, vocabulary)):
+        assert empty.count() == 0
+
+
 def test_swap_penalty_takes_weight_off_terms():
     rows = [toxicity.places({"a", "women", "bad"}) for _ in range(40)] + [toxicity.places({"a", "b"}) for _ in range(160)] + [toxicity.places({"a", "bad"}) for _ in range(20)]
     labels = np.array([1.0] * 40 + [0.0] * 160 + [1.0] * 20)
