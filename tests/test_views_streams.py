@@ -121,3 +121,44 @@ def test_key_timeline_keeps_its_ends(spark, most):
     e = spark.createDataFrame([("s", k, 10 * k, "clk") for k in range(5)], "session_id string, seq long, t long, k string")
     got = V.key_timeline(e, F.when(F.col("seq") == 2, "told"), most).collect()
     assert [x["summary"] for x in sorted(got, key=lambda x: x["rank"])] == ["first recorded event (clk)", "told"][:most]
+
+
+def test_bursts_sessions_and_shifts(spark):
+    from evidentia.operators import aggregates as A
+
+    net = [("s", k, 100 * k, "net.req", None, "GET /a", None) for k in range(5)] + [("s", 10, 9000, "net.req", None, "GET /b", None)] + [("s", 20 + k, 600 + k, "net.res", 500, "GET /a", None) for k in range(2)] + [("u", k, 1000 * k, "net.res", 200, "GET /c", 3500.0) for k in range(3)]
+    e = spark.createDataFrame(net, "session_id string, seq long, t long, k string, st int, url string, dur double")
+    assert rows(S.retry_storms(e, F.col("url")), "session_id", "key", "t", "kind") == [("s", "GET /a", 300, "requests"), ("s", "GET /a", 601, "failures")]
+    assert rows(S.slow_responses(e), "session_id", "t") == [("u", 2000)]
+    spans = spark.createDataFrame([("pay", "a", 10), ("pay", "a", 1_900_000), ("pay", "b", 1_900_000)], "service string, trace_id string, t long")
+    assert rows(S.tumbling_sessions(spans), "trace_id", "session_id", "t") == [("a", "auto-pay-0", 10), ("a", "auto-pay-0", 1_900_000), ("b", "auto-pay-1", 1_900_000)]
+    shifts = spark.createDataFrame([("s", k, t, v) for k, (t, v) in enumerate([(0, 0.1), (500, 0.2), (2000, 0.25), (2900, 0.1)])], "session_id string, seq long, t long, value double")
+    got = A.layout_shift(shifts).first()
+    assert round(got["score"], 6) == 0.35 and got["windows"] == 2
+
+
+def test_outcomes_scopes_and_samples(spark):
+    from evidentia.functions import text as X
+    from evidentia.operators import compare as C
+    from evidentia.operators import locate as L
+    from evidentia.operators import projections as P
+
+    def outcome(*confidences):
+        ranked = spark.createDataFrame([(k + 1, c) for k, c in enumerate(confidences)], "rank int, confidence double")
+        return L.outcome(ranked).first()["outcome"]
+
+    assert (outcome(0.9, 0.5), outcome(0.9, 0.85), outcome(0.4), outcome(0.7)) == ("matched", "ambiguous", "inconclusive", "matched")
+    scoped = spark.createDataFrame([("T", "p"), (None, None), ("other", "p"), ("t ", "q"), ("", "P")], "tenant string, app string")
+    assert rows(scoped.where(P.in_scope("t", "p")), "tenant", "app") == [("", "P"), ("T", "p"), (None, None)]
+    ids = spark.range(20000).select(F.col("id").cast("string").alias("session_id"))
+    n = ids.where(P.admitted(0.25)).count()
+    assert 4700 < n < 5300 and ids.repartition(7).where(P.admitted(0.25)).count() == n
+    one = spark.range(1).select(*[c.alias(f"c{k}") for k, c in enumerate(X.traceparent(F.lit("00-" + "0" * 31 + "a-" + "0" * 15 + "b-01")))], X.fnv1a_hex(F.lit("hello"), "s").alias("h"), X.fnv1a_hex(F.lit("shello")).alias("g")).first()
+    assert (one["c0"], one["c1"]) == ("0" * 31 + "a", "0" * 15 + "b") and one["h"] == one["g"] and len(one["h"]) == 8
+    w = "pair string, anchor int, engine string, table string, op string, t long"
+    left = spark.createDataFrame([("p", None, None, "t", None, 1), ("p", 1, "mysql", "t", "update", 2)], w)
+    right = spark.createDataFrame([("p", None, "postgres", "t", "insert", 1)], w)
+    assert rows(C.write_diff(left, right), "table", "op", "change") == [("t", "insert", "paired"), ("t", "update", "missing")]
+    ev = spark.createDataFrame([("b", "db"), ("b", "network"), ("b", "env"), ("c", "logs")], "bundle string, lane string")
+    gaps = spark.createDataFrame([("c", "source-unavailable")], "bundle string, kind string")
+    assert rows(L.completeness(ev, gaps), "bundle", "level") == [("b", "medium"), ("c", "low")]
