@@ -5,7 +5,7 @@ works on (id, source, size) rows.
 
 1. Targets: the total is shared by weight; a target stops at `most` times its source's size and the
    excess is shared again (water filling, in closed form over the sources ordered by size / weight).
-2. Every source is cut into shards by a seeded hash, so that a hot source is many shards; a shard's
+2. Every source is cut into shards by a seeded hash (md5, so that any SQL engine can follow it), so that a hot source is many shards; a shard's
    documents lie on a line in seeded order, and the line is cut into equal blocks of about `block` words.
 3. Sainte-Lague gives each source an integer number of blocks (highest quotients weight / (2 s - 1)), and
    in the same way each shard of a source its part of that number.
@@ -95,7 +95,7 @@ def plan(docs: DataFrame, seed: int = 7, block: int = 64, shard_words: int = 1 <
     sizes = docs.select(
         F.col("doc_id"), F.col("source"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("__h"),  # the text parts the documents of one id, or of none
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), "text")).alias("__h"),  # the text parts the documents of one id, or of none
     )
     sizes = tables.store("sizes", sizes)
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -111,14 +111,14 @@ def plan(docs: DataFrame, seed: int = 7, block: int = 64, shard_words: int = 1 <
     sources = sources.withColumn("__most", F.floor(F.col("blocks") * F.lit(float(most))).cast("long"))
     sources = cut(apportion_within(sources, "__seats", "__w", "__most", ["source"]).drop("__seats", "__w", "__most").withColumnRenamed("quota", "source_quota"))
 
-    placed = _join_source(sizes, sources).withColumn("shard", F.pmod("__h", F.col("shards")))
+    placed = _join_source(sizes, sources).withColumn("shard", F.pmod(F.conv(F.substring("__h", 1, 15), 16, 10).cast("long"), F.col("shards")))
     shard_rows = placed.groupBy("source", "shard", "source_quota", "blocks", "source_size").agg(F.sum("size").alias("shard_size"))
     # the shards' blocks sum to their source's at least, and by weight m a quota of most * blocks gives each shard most * m: no quota exceeds that
     shard_rows = apportion(shard_rows.withColumn("__w", F.col("shard_size").cast("double")), ["source"], "blocks", "__w", ["shard"])
     shard_rows = shard_rows.withColumn("m", F.greatest(F.lit(1), "quota").cast("long")).drop("quota")
     shard_rows = apportion(shard_rows.withColumn("__w", F.col("m").cast("double")), ["source"], "source_quota", "__w", ["shard"])
     shard_rows = shard_rows.select(F.col("source").alias("__src"), F.col("shard").alias("__shard"), "shard_size", "m", "quota")
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "__h"), "__h", F.col("doc_id"), F.col("size"))
+    line = Window.partitionBy("source", "shard").orderBy("__h", F.col("doc_id"), F.col("size"))
     placed = placed.withColumn("offset", (F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).cast("long"))
     out = placed.join(shard_rows, F.col("source").eqNullSafe(F.col("__src")) & (F.col("shard") == F.col("__shard")), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", "shard", "offset", "shard_size", "m", "quota")

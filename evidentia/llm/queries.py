@@ -89,7 +89,34 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, n_lines, n_upper FROM b
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": _ORACLE_CHAT, "op6_quality_rules": _ORACLE_RULES}
+#: For sources of one shard each, as every source of fewer words than `shard_words` is.
+_ORACLE_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat_ws('|', '7', doc_id::VARCHAR, text)) AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source
+), f AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total,
+    coalesce(sum(source_size * 2.0::DOUBLE) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM s WINDOW w AS (ORDER BY source_size * 2.0::DOUBLE / weight, source ASC NULLS LAST)
+), lv AS (SELECT *, (total - before) / rest AS level FROM f), t AS (
+  SELECT source, source_size, coalesce(least(cap, (SELECT level FROM lv WHERE level * weight <= cap ORDER BY before, level LIMIT 1) * weight), cap) AS target, greatest(1, ceil(source_size / 64))::BIGINT AS m FROM lv
+), w AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target * m / source_size END AS w FROM t
+), q AS (SELECT source, row_number() OVER (ORDER BY w / (2 * i - 1) DESC, source ASC NULLS LAST, i) AS r FROM (SELECT *, unnest(range(1, 2 * m + 1)) AS i FROM w) WHERE w > 0
+), won AS (SELECT source, count(*)::BIGINT AS quota FROM q WHERE r <= (SELECT round(sum(w)) FROM w) GROUP BY source
+), p AS (
+  SELECT d.doc_id, d.size, d.h, w.source_size, w.target, w.m, coalesce(won.quota, 0) AS quota, (sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS begins,
+    row_number() OVER () AS n FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source LEFT JOIN won ON d.source IS NOT DISTINCT FROM won.source
+), b AS (
+  SELECT *, unnest(range(greatest(floor(begins * (m / greatest(source_size, 1)))::BIGINT - 1, 0), least(floor((begins + size) * (m / greatest(source_size, 1)))::BIGINT + 1, m - 1) + 1)) AS k FROM p WHERE size > 0
+), got AS (
+  SELECT n, sum(CASE WHEN ((CASE WHEN m % 1000003 <> 0 THEN 1000003 ELSE 998244353 END) * k + 12345) % m < quota % m
+    THEN greatest(0, least(begins + size, CASE WHEN k = m - 1 THEN source_size ELSE floor((k + 1) * (source_size / m))::BIGINT END) - greatest(begins, floor(k * (source_size / m))::BIGINT)) ELSE 0 END)::BIGINT AS part FROM b GROUP BY n
+)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE quota // m * size + coalesce(part, 0) END::BIGINT AS taken FROM p LEFT JOIN got USING (n)
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": _ORACLE_CHAT, "op3_mix_sources": _ORACLE_MIX, "op6_quality_rules": _ORACLE_RULES}
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
