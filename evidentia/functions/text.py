@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 
 def fnv1a(s: Column) -> Column:
     """FNV-1a, 32 bits, over the UTF-16 code units; a character beyond the first plane is two."""
-    units = F.hex(F.encode(s, "UTF-16BE"))
-    codes = F.when(F.length(units) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), (F.length(units) / 4 - 1).cast("int")), lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long")))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    chars = F.regexp_extract_all(s, F.lit(r"(?s)."), F.lit(0))
+
+    def unit(h: Column, u: Column) -> Column:
+        return (h.bitwiseXOR(u) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+
+    def step(h: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        over = code - 65536
+        return F.when(code < 65536, unit(h, code)).otherwise(unit(unit(h, F.shiftright(over, 10) + 55296), over.bitwiseAND(F.lit(1023)) + 56320))
+
+    return F.aggregate(chars, F.lit(2166136261).cast("long"), step)
 
 
 def fnv1a_base36(s: Column) -> Column:
