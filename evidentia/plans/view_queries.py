@@ -142,7 +142,7 @@ def session_inspection(spark, sf_dir):
  UNION ALL SELECT o_custkey, o_orderkey, ['orders'] FROM orders WHERE o_orderkey % 17 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def bug_tables(spark, sf_dir):
     bugs = _read(spark, sf_dir, "orders").where("o_orderkey % 17 = 0").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("bug_id"), F.array(F.concat(F.lit("q"), F.col("o_orderkey").cast("string"))).alias("request_ids"))
-    return V.bug_tables(bugs, orders_as_telemetry(spark, sf_dir).where("k = 'db.diff'"))
+    return V.bug_tables(bugs, orders_as_telemetry(spark, sf_dir).where("k = 'db.diff' AND table IN ('orders', 'order_items')"))
 
 
 @query("""WITH c AS (SELECT o_custkey AS s, o_orderkey AS k, 'f' || (o_orderkey % 9) || '.ts' AS file, o_orderkey % 40 AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders), f AS (SELECT s, file, line, min(place) AS place, arg_min(k, place) AS k FROM c GROUP BY ALL)
