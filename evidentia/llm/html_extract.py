@@ -184,6 +184,8 @@ def blocks(page: str) -> list[Block]:
 
 #: Pages whose blocks the classifier is fitted on, picked by a hash of the page.
 MOST_PAGES = 2000
+#: Blocks of one page that the fit sees at most, evenly spaced over it.
+MOST_PAGE_BLOCKS = 100
 #: Weights of the text features before any page is seen, to which the fit is drawn: constant, length, link share, end mark, under 4 and 8 words, 20 and more, heading, paragraph, list or table, commas.
 PRIOR = np.array([-1.2, 2.0, -2.5, 0.8, -1.0, -0.8, 0.8, 0.8, 0.6, -0.4, 0.3])
 #: Bounds of what the text may say, and what each kind of sign says, as log odds.
@@ -314,7 +316,10 @@ def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
 def _plain_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of the blocks whose elements speak for one label alone, and that label."""
     for batch in batches:
-        found = [(features(b), int(not b.bad)) for page in batch.column(0).to_pylist() for b in blocks(page or "") if bool(b.bad) != bool(b.good)]
+        found = []
+        for page in batch.column(0).to_pylist():
+            plain = [b for b in blocks(page or "") if bool(b.bad) != bool(b.good)]
+            found += [(features(b), int(not b.bad)) for b in plain[:: -(-len(plain) // MOST_PAGE_BLOCKS) or 1]]
         yield pa.record_batch([pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.int32())], names=["x", "y"])
 
 
