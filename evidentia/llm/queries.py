@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat, decontaminate, html_extract, jaccard_join, language_model, mixing, pu_quality, quality_rules, token_ids, toxicity
+from evidentia.llm import chat, decontaminate, html_extract, importance, jaccard_join, language_model, mixing, pu_quality, quality_rules, token_counts, token_ids, toxicity, vector_codes
 
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_CHAT = """
@@ -186,3 +186,78 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_html_extract"] = op8_html_extract
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumnRenamed("id", "doc_id")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    coded = vector_codes.with_label_error(codes.rows)
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.sha256()).alias("codebooks_sha256"))
+
+
+QUERIES["op11_token_counts"] = op11_token_counts
+QUERIES["op12_importance"] = op12_importance
+QUERIES["op13_vector_codes"] = op13_vector_codes
+
+_ORACLE_IMPORTANCE = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)) AS tab
+), texts AS (
+  SELECT row_number() OVER () AS n, doc_id, false AS wanted, text FROM documents UNION ALL SELECT NULL, NULL, true, text FROM benchmark
+), d AS (
+  SELECT n, doc_id, wanted, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts
+), f AS (SELECT n, wanted, unnest(words) AS w FROM d
+), letters AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM f)
+), hashed AS (
+  SELECT w, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::UBIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT) % 10000)::INT AS bucket FROM letters, tab
+), c AS (SELECT bucket, count(*) FILTER (NOT wanted) AS s, count(*) FILTER (wanted) AS t FROM f JOIN hashed USING (w) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000.0::DOUBLE * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c) + 10000)::DOUBLE)))::BIGINT AS gain FROM c
+), w AS (SELECT n, sum(gain)::BIGINT AS weight FROM f JOIN hashed USING (w) JOIN g USING (bucket) WHERE NOT wanted GROUP BY n
+), h AS (
+  SELECT n, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (n) WHERE NOT wanted
+), r AS (SELECT *, n_features >= 20 AS fits, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id ASC NULLS LAST, n_features)::BIGINT AS place FROM h)
+SELECT doc_id, n_features, weight, score::BIGINT AS score, CASE WHEN fits AND place <= (SELECT count(*) FILTER (fits) * 10 // 100 FROM r) THEN place END AS rank FROM r
+"""
+
+
+def _oracle_codes(rounds: int = vector_codes.ROUNDS) -> str:
+    """The codebooks round by round, each assignment against all entries."""
+    nearest = """
+a{k} AS (
+  SELECT n, part, min({{'d': list_sum(list_transform(list_zip(s, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}}) AS best FROM p JOIN c{k} USING (part) GROUP BY n, part
+)"""
+    renew = """
+, m{k} AS (
+  SELECT part, e, list(x ORDER BY i) AS entry FROM (
+    SELECT part, best.e AS e, i, floor(sum(s[i]) / count(*))::BIGINT AS x FROM p JOIN a{k} USING (n, part), (SELECT unnest(range(1, (SELECT max(len(s)) FROM p) + 1)) AS i) GROUP BY ALL
+  ) GROUP BY part, e
+), c{next} AS (SELECT part, e, coalesce(m{k}.entry, c{k}.entry) AS entry FROM c{k} LEFT JOIN m{k} USING (part, e)),"""
+    steps = "".join(nearest.format(k=k) + renew.format(k=k, next=k + 1) for k in range(rounds)) + nearest.format(k=rounds)
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id ASC NULLS LAST) AS n, vec_id, label, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), p AS (SELECT n, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS s FROM v, (SELECT unnest(range(4)) AS part)
+), c0 AS (SELECT part, n - 1 AS e, s AS entry FROM p WHERE n <= 256),{steps}
+, o AS (
+  SELECT n, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY n
+), b AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM (SELECT part, e, unnest(entry) AS x, generate_subscripts(entry, 1) AS i FROM c{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM o JOIN v USING (n), b
+"""
+
+
+ORACLES["op12_importance"] = _ORACLE_IMPORTANCE
+ORACLES["op13_vector_codes"] = _oracle_codes()
