@@ -75,17 +75,30 @@ def found(rows: DataFrame, name: str, severity: Column | str, score: Column | in
 
 def answered(events: DataFrame) -> DataFrame:
     """The answered requests; of a stored scan the stored ones."""
-    stored = _STORED.get(id(events))
-    return stored[1] if stored is not None and stored[0] is events else _answered(events)
+    return shared(events, "answered", _answered)
 
 
-#: Stored scans by identity, with their answered requests, while detectors run over them.
-_STORED: dict[int, tuple[DataFrame, DataFrame]] = {}
+#: Stored scans by identity, with the tables made of them so far, while detectors run over them.
+_STORED: dict[int, tuple[DataFrame, Tables, dict[str, DataFrame]]] = {}
+
+
+def shared(events: DataFrame, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What several detectors read: made and written once for a stored scan, made in place otherwise."""
+    held = _STORED.get(id(events))
+    if held is None or held[0] is not events:
+        return make(events)
+    _, tables, made = held
+    if name not in made:
+        made[name] = tables.store(name, make(events))
+    return made[name]
 
 
 def _answered(events: DataFrame) -> DataFrame:
-    """session_id, id, request_id, method, url, body, sent, t (of the answer), st, dur, answer: a request with its response or failure, if any."""
-    net = events.where("k IN ('net.req', 'net.res', 'net.err') AND id IS NOT NULL")
+    """session_id, id, request_id, method, url, body, sent, t (of the answer), st, dur, answer: a request with its response or failure, if any.
+
+    Events without an id of their own are one exchange by their request id.
+    """
+    net = events.where("k IN ('net.req', 'net.res', 'net.err')").withColumn("id", F.coalesce("id", "request_id")).where("id IS NOT NULL")
     first = lambda c, kind: F.min_by(F.when(F.col("k") == kind, c), F.when(F.col("k") == kind, F.col("seq")))
     done = F.col("k").isin("net.res", "net.err")
     body = F.to_json(field("body", "variant"))
@@ -387,7 +400,7 @@ def run_detectors(events: DataFrame, names: list[str] | None = None, scans: int
     if len(wanted) > scans:
         tables = Tables(events.sparkSession, "detectors")
         events = tables.store("events", events, partition="k")
-        _STORED[id(events)] = (events, tables.store("answered", _answered(events)))
+        _STORED[id(events)] = (events, tables, {})
     try:
         out = None
         for name in wanted:
@@ -412,3 +425,4 @@ def evidence_candidates(events: DataFrame, names: list[str] | None = None, most:
 
 
 from evidentia.operators import detectors_business as _business  # noqa: E402, F401  registers beside these
+from evidentia.operators import detectors_screen as _screen  # noqa: E402, F401

@@ -47,6 +47,17 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_t: str,
     return wide.join(near, [*keys, "__bucket"]).where(F.col(right_t).between(F.col(left_t) - before_ms, F.col(left_t) + after_ms)).drop("__bucket")
 
 
+def near_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, other: str, tolerance: float) -> DataFrame:
+    """Rows of equal keys whose numbers differ by the tolerance at most: an equi join on buckets as wide as it, then the exact bound.
+
+    A left row meets its own bucket and the two beside it, so pairs grow with the rows that really are near; a null or NaN number meets none.
+    """
+    bucket = lambda c: F.floor(F.col(c).cast("double") / (tolerance * (1 + 1e-6)))
+    near = F.abs(F.col(value) - F.col(other)) <= tolerance + 1e-9 * F.greatest(F.abs(F.col(value)), F.lit(1.0))
+    wide = left.where(~F.isnan(value)).withColumn("__bucket", F.explode(F.sequence(bucket(value) - 1, bucket(value) + 1)))
+    return wide.join(right.where(~F.isnan(other)).withColumn("__bucket", bucket(other)), [*keys, "__bucket"]).where(near).drop("__bucket")
+
+
 def error_context(events: DataFrame, window_ms: int = 2000, cap: int = 100) -> DataFrame:
     """For each error the events within the window, the nearest `cap` of them."""
     errors = events.where(F.col("k").isin("err", "rej")).select("session_id", F.col("seq").alias("err_seq"), F.col("t").alias("err_t"))
