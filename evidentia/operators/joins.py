@@ -47,6 +47,19 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_t: str,
     return wide.join(near, [*keys, "__bucket"]).where(F.col(right_t).between(F.col(left_t) - before_ms, F.col(left_t) + after_ms)).drop("__bucket")
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, strict: bool = True) -> DataFrame:
+    """Every left row with `match`: the latest right row of its keys, as a struct (null if none), before its `at` (or not after it).
+
+    Both sides are ordered together once by key and time, so a key with many rows on both sides makes no pairs.
+    """
+    own = [F.col(k).alias(k) for k in keys]
+    a = left.select(*own, F.col(at).alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__left"))
+    b = right.select(*own, F.col(at).alias("__at"), F.lit(1 if strict else 0).alias("__side"), F.struct(*right.columns).alias("__right"))
+    rows = a.withColumn("__right", F.lit(None).cast(b.schema["__right"].dataType)).unionByName(b.withColumn("__left", F.lit(None).cast(a.schema["__left"].dataType)))
+    w = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("match", F.last("__right", ignorenulls=True).over(w)).where("__left IS NOT NULL").select("__left.*", "match")
+
+
 def near_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, other: str, tolerance: float) -> DataFrame:
     """Rows of equal keys whose numbers differ by the tolerance at most: an equi join on buckets as wide as it, then the exact bound.
 
