@@ -4,10 +4,10 @@ Documents are drawn so that their words look like those of a target collection.
 gain is the smoothed log ratio of its shares in target and source; a document's weight is the sum of its features' gains; with a seeded
 Gumbel term added, the highest scores are a sample without replacement.
 
-    1. every text becomes one row of its postings (bucket, count), written once
+    1. a block of some thousand texts becomes one row of inverted lists, bucket -> (place of the document in the block, count), written once
     2. bucket totals of both collections meet by bucket (combined on the map side), and each bucket's gain is computed where they meet
-    3. postings (bucket, document, count) are shuffled by bucket to its gain. A bucket of a frequent word has a posting of nearly every
-       document, so its postings are dealt over `SALTS` parts, each with the gain
+    3. lists are shuffled by bucket to its gain: two bytes a posting and its count. A bucket of a frequent word has a posting of nearly every
+       document, so the lists of a bucket are dealt over `SALTS` parts by block, each with the gain
     4. contributions count * gain are summed by document, first where they arise
     5. scores are ordered by ranges, and a range's ranks begin after the sizes of the ranges before it
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,9 @@ SEED = 2024
 #: Bytes of text whose words are held at once, and features remembered by a worker (a full memory is emptied).
 STRETCH_BYTES = 1 << 20
 MOST_FEATURES = 500_000
+#: Documents of a block of inverted lists (places in it take two bytes), and postings that end a block early.
+BLOCK_DOCS = 1 << 12
+BLOCK_POSTINGS = 1 << 20
 
 _state: dict = {}
 
@@ -88,41 +92,67 @@ def _text_buckets(text: bytes, buckets: int, most: int) -> tuple[int, np.ndarray
     return n_words, np.flatnonzero(total), total[total > 0]
 
 
-_POSTINGS = "key long, id long, n_words long, n_features long, buckets array<int>, counts array<long>"
-_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+_LISTS = "array<struct<bucket:int,docs:array<smallint>,counts:array<int>>>"
+_BLOCKS = f"block long, docs array<struct<id:long,n_words:long,n_features:long>>, lists {_LISTS}"
+_ARROW = pa.schema([
+    ("block", pa.int64()), ("docs", pa.list_(pa.struct([("id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64())]))),
+    ("lists", pa.list_(pa.struct([("bucket", pa.int32()), ("docs", pa.list_(pa.int16())), ("counts", pa.list_(pa.int32()))]))),
+])
 
 
-def _post(buckets: int, most: int):
+def _block_row(block: int, ids: list, sizes: list[tuple[int, int]], rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One block: its documents, and for each bucket the list of its documents' places and counts."""
+    lens = np.fromiter((len(b) for b, _ in rows), np.int64, len(rows))
+    bucket, count = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    order = np.argsort(bucket, kind="stable")
+    bucket, count, doc = bucket[order], count[order].astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int16), lens)[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    bounds = pa.array(np.append(starts, len(bucket)).astype(np.int32))
+    lists = pa.StructArray.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(doc)), pa.ListArray.from_arrays(bounds, pa.array(count))], fields=list(_ARROW.field("lists").type.value_type))
+    docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array([n for n, _ in sizes], pa.int64()), pa.array([f for _, f in sizes], pa.int64())], fields=list(_ARROW.field("docs").type.value_type))
+    one = lambda items: pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one(docs), one(lists)], schema=_ARROW)
+
+
+def _invert(buckets: int, most: int):
     table = _spaced()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        ids, sizes, rows = [], [], []
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                rows = [_text_buckets((t or "").encode().translate(table), buckets, most) for t in part.column(2).to_pylist()]
-                bounds = pa.array(np.concatenate([[0], np.cumsum([len(b) for _, b, _ in rows])]).astype(np.int32))
-                both = [np.concatenate([r[k] for r in rows]) for k in (1, 2)]
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(v.astype(t))) for v, t in zip(both, (np.int32, np.int64), strict=True)]
-                n_features = pa.array([int(c.sum()) for _, _, c in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([n for n, _, _ in rows], pa.int64()), n_features, *lists], schema=_ARROW)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    n_words, bucket, count = _text_buckets((text or "").encode().translate(table), buckets, most)
+                    ids.append(doc)
+                    sizes.append((n_words, int(count.sum())))
+                    rows.append((bucket, count))
+                    held += len(bucket)
+                    if len(ids) == BLOCK_DOCS or held >= BLOCK_POSTINGS:
+                        yield _block_row(block, ids, sizes, rows)
+                        block, held, ids, sizes, rows = block + 1, 0, [], [], []
+        if ids:
+            yield _block_row(block, ids, sizes, rows)
 
     return run
 
 
-def _posted(texts: DataFrame, id_col: str | None, text_col: str, buckets: int, most: int) -> DataFrame:
+def _inverted(texts: DataFrame, id_col: str | None, text_col: str, buckets: int, most: int) -> DataFrame:
+    """Blocks of documents with their inverted lists."""
     ids = F.col(f"`{id_col}`").cast("long") if id_col else F.lit(None).cast("long")
-    rows = texts.select(F.monotonically_increasing_id().alias("key"), ids.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(_post(buckets, most), _POSTINGS)
+    return texts.select(ids.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_invert(buckets, most), _BLOCKS)
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    return rows.select("key", F.explode(F.arrays_zip("buckets", "counts")).alias("p")).select("key", F.col("p.buckets").alias("bucket"), F.col("p.counts").alias("n"))
+def _lists(blocks: DataFrame) -> DataFrame:
+    """bucket, block, docs, counts: a row for each bucket of a block."""
+    return blocks.select("block", F.explode("lists").alias("l")).select("l.bucket", "block", "l.docs", "l.counts")
 
 
 def bucket_gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Postings of both collections -> bucket, gain: their counts are summed where each bucket's rows meet. Totals are one row."""
-    marked = source.select("bucket", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(
-        target.select("bucket", F.lit(0).cast("long").alias("s"), F.col("n").alias("t")))
+    """Inverted lists of both collections -> bucket, gain: their counts are summed where each bucket's rows meet. Totals are one row."""
+    n = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
+    marked = source.select("bucket", n.alias("s"), F.lit(0).cast("long").alias("t")).unionByName(target.select("bucket", F.lit(0).cast("long").alias("s"), n.alias("t")))
     met = marked.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     total = marked.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     ratio = ((F.col("t") + 1).cast("double") * float(total["s"] + buckets)) / ((F.col("s") + 1).cast("double") * float(total["t"] + buckets))
@@ -137,7 +167,7 @@ def _noise(id_col: Column, seed: int) -> Column:
 
 def _ranked(scored: DataFrame, tables: Tables) -> DataFrame:
     """Rows with their place in the order of scores. Only the sizes of ranges (a row for each part file) go through one window."""
-    order = [F.col("score").desc(), F.col("id").asc_nulls_last(), "n_features", "key"]
+    order = [F.col("score").desc(), F.col("id").asc_nulls_last(), "n_features", "block", "doc"]
     dealt = scored.repartitionByRange(*order).sortWithinPartitions(*order)
     stored = tables.store("ordered", dealt.withColumn("place", F.monotonically_increasing_id()))
     stored = stored.withColumn("range", F.shiftright("place", 33)).withColumn("within", F.col("place").bitwiseAND((1 << 33) - 1))
@@ -151,14 +181,16 @@ def resample(documents: DataFrame, target: DataFrame, buckets: int = BUCKETS, mo
     """id, n_features, weight, score, rank of every document; of those with `least_words` words, `percent` in a hundred are drawn and ranked."""
     tables = Tables(documents.sparkSession, "importance")
     with small_batches(documents.sparkSession):
-        docs = tables.store("postings", _posted(documents, id_col, text_col, buckets, most_words))
-        wanted = tables.store("target", _posted(target, None, target_text_col, buckets, most_words))
-    source = _postings(docs)
-    gains = tables.store("gains", bucket_gains(source, _postings(wanted), buckets))
+        blocks = tables.store("blocks", _inverted(documents, id_col, text_col, buckets, most_words))
+        wanted = tables.store("target", _inverted(target, None, target_text_col, buckets, most_words))
+    source = _lists(blocks)
+    gains = tables.store("gains", bucket_gains(source, _lists(wanted), buckets))
     salted = gains.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = source.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    parts = dealt.join(salted.hint("shuffle_hash"), ["bucket", "salt"]).groupBy("key").agg(F.sum(F.col("n") * F.col("gain")).alias("weight"))
-    weighed = docs.select("key", "id", "n_words", "n_features").join(parts, "key", "left").withColumn("weight", F.coalesce("weight", F.lit(0)).cast("long"))
+    dealt = source.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+    met = dealt.join(salted.hint("shuffle_hash"), ["bucket", "salt"]).select("block", "gain", F.explode(F.arrays_zip("docs", "counts")).alias("p"))
+    parts = met.groupBy("block", F.col("p.docs").cast("int").alias("doc")).agg(F.sum(F.col("p.counts") * F.col("gain")).alias("weight"))
+    docs = blocks.select("block", F.posexplode("docs").alias("doc", "d")).select("block", "doc", "d.*")
+    weighed = docs.join(parts, ["block", "doc"], "left").withColumn("weight", F.coalesce("weight", F.lit(0)).cast("long"))
     scored = tables.store("scored", weighed.withColumn("score", F.col("weight") + _noise(F.col("id"), seed)))
     eligible = F.col("n_words") >= least_words
     drawn = scored.where(eligible).count() * percent // 100

@@ -176,7 +176,7 @@ def test_resampling_odd_tables(spark):
 
 
 def test_ranks_are_one_to_k_over_several_ranges(spark):
-    scored = spark.range(5000).select(F.col("id"), (F.col("id") % 7).alias("score"), F.lit(1).alias("n_features"), F.col("id").alias("key"))
+    scored = spark.range(5000).select(F.col("id"), (F.col("id") % 7).alias("score"), F.lit(1).alias("n_features"), F.lit(0).alias("block"), F.col("id").alias("doc"))
     from evidentia.session import Tables
 
     rows = importance._ranked(scored, Tables(spark, "t")).select("score", "id", "rank").collect()
