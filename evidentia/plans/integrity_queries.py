@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.operators import detectors as D
+from evidentia.operators import row_versions as V
 from evidentia.plans.queries import query
 from evidentia.sources.accounts import ACCOUNTS_SQL, accounts_as_telemetry
+from evidentia.sources.ledger import LEDGER_SQL, STOCK_BEFORE, ledger_as_telemetry
 
 #: One amount in two units, as the detectors have it.
 _SAME = "(abs({a} - {b}) <= 0.01 + 1e-9 OR (greatest(abs({a}), abs({b})) = floor(greatest(abs({a}), abs({b}))) AND abs(greatest(abs({a}), abs({b})) - 100 * least(abs({a}), abs({b}))) <= 1e-6 * greatest(abs({a}), abs({b}), 1) AND sign({a}) = sign({b})))"
@@ -32,3 +34,33 @@ def screen_findings(spark, sf_dir):
     """What accounts showed against what their responses said."""
     found = D.run_detectors(accounts_as_telemetry(spark, sf_dir), ["stale_value_rendered", "displayed_field_mismatch", "ui_api_divergence"], scans=1)
     return found.groupBy("session_id", "detector").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {LEDGER_SQL}
+, w AS (SELECT s, l_partkey, stock, stock_before, place * 8 + 2 AS seq FROM li2 WHERE stock <> stock_before)
+, f AS (SELECT DISTINCT s, l_partkey FROM li)
+, v AS (SELECT s, l_partkey, seq, stock AS value, 'update' AS op FROM w UNION ALL SELECT s, l_partkey, NULL, {STOCK_BEFORE}, NULL FROM f)
+SELECT s AS session_id, l_partkey::VARCHAR AS pk, value::VARCHAR AS value, op, seq AS begins, lead(seq) OVER (PARTITION BY s, l_partkey ORDER BY seq NULLS FIRST) AS ends FROM v""")
+def stock_history(spark, sf_dir):
+    """Every value that a product's stock held, and when."""
+    return V.column_versions(ledger_as_telemetry(spark, sf_dir)).where("table = 'products' AND col = 'inventory'").select("session_id", "pk", "value", "op", "begins", "ends")
+
+
+@query(f"""
+WITH {LEDGER_SQL}
+, cols AS (SELECT s, l_partkey, place, l_orderkey, unnest(['inventory', 'total_cents']) AS col, unnest([stock, total]) AS v, unnest([stock_before, total_before]) AS was FROM li2)
+, ch AS (SELECT *, lag(was) OVER w AS replaced, lag(l_orderkey) OVER w AS maker FROM cols WHERE v <> was WINDOW w AS (PARTITION BY s, l_partkey, col ORDER BY place))
+, stale AS (SELECT s FROM ch WHERE v = replaced AND l_orderkey <> maker)
+, moved AS (SELECT DISTINCT a.s, a.l_orderkey, a.moved FROM li a WHERE a.moved <> a.l_partkey + 1 AND a.moved = a.l_orderkey)
+, rep AS (SELECT s FROM li2 WHERE total <> total_before)
+, upd AS (SELECT s, l_orderkey, audited, 'products' AS tab, l_partkey::VARCHAR AS pk FROM li UNION ALL SELECT s, l_orderkey, audited, 'order_items', l_orderkey || '-' || l_linenumber FROM li)
+, aud AS (SELECT s FROM upd WHERE audited <> tab GROUP BY s, l_orderkey, tab HAVING count(DISTINCT pk) >= 2)
+SELECT s AS session_id, detector, count(*)::BIGINT AS n FROM (
+  SELECT s, 'stale_value_writeback' AS detector FROM stale UNION ALL SELECT s, 'existing_children_reparented_to_new_row' FROM moved
+  UNION ALL SELECT s, 'report_total_contradicts_source_row' FROM rep UNION ALL SELECT s, 'mutations_missing_entity_audit' FROM aud) GROUP BY ALL""")
+def relational_findings(spark, sf_dir):
+    """Broken relations between the rows of the ledger, all from one table of versions."""
+    names = ["stale_value_writeback", "existing_children_reparented_to_new_row", "report_total_contradicts_source_row", "mutations_missing_entity_audit"]
+    found = D.run_detectors(ledger_as_telemetry(spark, sf_dir), names, scans=1)
+    return found.groupBy("session_id", "detector").agg(F.count("*").alias("n"))
