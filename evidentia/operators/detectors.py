@@ -425,5 +425,6 @@ def evidence_candidates(events: DataFrame, names: list[str] | None = None, most:
 
 
 from evidentia.operators import detectors_business as _business  # noqa: E402, F401  registers beside these
+from evidentia.operators import detectors_lifecycle as _lifecycle  # noqa: E402, F401
 from evidentia.operators import detectors_rows as _rows  # noqa: E402, F401
 from evidentia.operators import detectors_screen as _screen  # noqa: E402, F401

@@ -28,6 +28,10 @@ def snake(name: Column) -> Column:
 
 def row_changes(events: DataFrame) -> DataFrame:
     """session_id, seq, t, request_id, op, table, pk (the key's value, or all of its values), before, after: every row change."""
+    return shared(events, "row_changes", _row_changes)
+
+
+def _row_changes(events: DataFrame) -> DataFrame:
     keys = F.map_values(F.from_json(F.to_json(field("pk", "variant")), "map<string,string>"))
     after, before = row_image("after"), row_image("before")
     pk = F.coalesce(F.when(F.size(keys) > 0, F.array_join(keys, " ")), field("pk", "string"), after["id"], before["id"])

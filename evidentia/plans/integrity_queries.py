@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.operators import detectors as D
+from evidentia.operators import patterns as P
 from evidentia.operators import row_versions as V
-from evidentia.plans.queries import query
+from evidentia.plans.queries import HOUR, _tel_sql, query
 from evidentia.sources.accounts import ACCOUNTS_SQL, accounts_as_telemetry
 from evidentia.sources.ledger import LEDGER_SQL, STOCK_BEFORE, ledger_as_telemetry
+from evidentia.sources.telemetry import events_as_telemetry
 
 #: One amount in two units, as the detectors have it.
 _SAME = "(abs({a} - {b}) <= 0.01 + 1e-9 OR (greatest(abs({a}), abs({b})) = floor(greatest(abs({a}), abs({b}))) AND abs(greatest(abs({a}), abs({b})) - 100 * least(abs({a}), abs({b}))) <= 1e-6 * greatest(abs({a}), abs({b}), 1) AND sign({a}) = sign({b})))"
@@ -64,3 +66,27 @@ def relational_findings(spark, sf_dir):
     names = ["stale_value_writeback", "existing_children_reparented_to_new_row", "report_total_contradicts_source_row", "mutations_missing_entity_audit"]
     found = D.run_detectors(ledger_as_telemetry(spark, sf_dir), names, scans=1)
     return found.groupBy("session_id", "detector").agg(F.count("*").alias("n"))
+
+
+#: Orders of what a user did to the items of one shelf: a request, a click and an answer in time; a request answered without a click between;
+#: and a click, an error anywhere in the session, and an answer.
+SHELF_PATTERNS = [
+    P.Pattern("asked_clicked_answered", (P.Step(("net.req",)), P.Step(("clk",), within_ms=96 * HOUR), P.Step(("net.res",), within_ms=48 * HOUR))),
+    P.Pattern("answered_unclicked", (P.Step(("net.req",)), P.Step(("net.res",))), forbidden=("clk",)),
+    P.Pattern("clicked_error_answered", (P.Step(("clk",)), P.Step(("err",), of_session=True), P.Step(("net.res",), within_ms=72 * HOUR))),
+]
+
+
+@query(_tel_sql(f"""
+, r AS (SELECT session_id AS s, id % 5 AS e, t, seq, k FROM tel), x AS (SELECT s, t, seq FROM r WHERE k = 'err')
+, ab AS (SELECT b.* FROM r b WHERE k = 'clk' AND EXISTS (SELECT 1 FROM r a WHERE a.s = b.s AND a.e = b.e AND a.k = 'net.req' AND (a.t, a.seq) < (b.t, b.seq) AND b.t - a.t <= 96 * {HOUR}))
+, p1 AS (SELECT c.* FROM r c WHERE k = 'net.res' AND EXISTS (SELECT 1 FROM ab b WHERE b.s = c.s AND b.e = c.e AND (b.t, b.seq) < (c.t, c.seq) AND c.t - b.t <= 48 * {HOUR}))
+, p2 AS (SELECT DISTINCT b.* FROM r a JOIN r b ON a.s = b.s AND a.e = b.e AND a.k = 'net.req' AND b.k = 'net.res' AND (a.t, a.seq) < (b.t, b.seq)
+   WHERE NOT EXISTS (SELECT 1 FROM r c WHERE c.s = a.s AND c.e = a.e AND c.k = 'clk' AND (c.t, c.seq) > (a.t, a.seq) AND (c.t, c.seq) < (b.t, b.seq)))
+, p3 AS (SELECT DISTINCT b.* FROM r a JOIN r b ON a.s = b.s AND a.e = b.e AND a.k = 'clk' AND b.k = 'net.res' AND (a.t, a.seq) < (b.t, b.seq) AND b.t - a.t <= 72 * {HOUR}
+   WHERE EXISTS (SELECT 1 FROM x WHERE x.s = a.s AND (x.t, x.seq) > (a.t, a.seq) AND (x.t, x.seq) < (b.t, b.seq)))
+SELECT s AS session_id, e AS entity, pattern, t, seq FROM (SELECT 'asked_clicked_answered' AS pattern, s, e, t, seq FROM p1 UNION ALL SELECT 'answered_unclicked', s, e, t, seq FROM p2 UNION ALL SELECT 'clicked_error_answered', s, e, t, seq FROM p3)"""))
+def shelf_patterns(spark, sf_dir):
+    """Ordered patterns over what each user did to the items of a shelf."""
+    rows = events_as_telemetry(spark, sf_dir).select("session_id", (F.col("id") % 5).alias("entity"), "t", "seq", F.col("k").alias("symbol"))
+    return P.match_patterns(rows, SHELF_PATTERNS).drop("first_t")
