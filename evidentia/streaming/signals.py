@@ -67,10 +67,10 @@ def rage_clicks(events: DataFrame, target: Column, **kw) -> DataFrame:
     return bursts(events.where("k = 'clk'").select("session_id", target.alias("key"), "t"), **kw)
 
 
-def retry_storms(events: DataFrame, endpoint: Column) -> DataFrame:
+def retry_storms(events: DataFrame, endpoint: Column, window_ms: int = STORM_WINDOW_MS) -> DataFrame:
     """Requests or failures of one endpoint in a burst; an endpoint that storms both ways is reported for each."""
-    requests = bursts(events.where("k = 'net.req'").select("session_id", endpoint.alias("key"), "t"), STORM_REQUESTS, STORM_WINDOW_MS)
-    failures = bursts(events.where("k = 'net.err' OR (k = 'net.res' AND st >= 400)").select("session_id", endpoint.alias("key"), "t"), STORM_FAILURES, STORM_WINDOW_MS)
+    requests = bursts(events.where("k = 'net.req'").select("session_id", endpoint.alias("key"), "t"), STORM_REQUESTS, window_ms)
+    failures = bursts(events.where("k = 'net.err' OR (k = 'net.res' AND st >= 400)").select("session_id", endpoint.alias("key"), "t"), STORM_FAILURES, window_ms)
     return requests.withColumn("kind", F.lit("requests")).unionByName(failures.withColumn("kind", F.lit("failures")))
 
 

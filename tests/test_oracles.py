@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from evidentia.plans import commerce_queries, integrity_queries, view_queries  # noqa: F401  register their queries
+from evidentia.plans import commerce_queries, integrity_queries, stream_queries, view_queries  # noqa: F401  register their queries
 from evidentia.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
