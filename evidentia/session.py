@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,11 +66,12 @@ ROW_GROUP_BYTES = 16 << 20
 
 
 class Tables:
-    """Written tables of one job under the shared folder: compressed, with sizes that the optimizer knows, and deleted when done with."""
+    """Written tables of one job under the shared folder: compressed, with sizes that the optimizer knows. They belong to the innermost open `job`, if any."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        _made.append(self.folder)
+        owner = _owner.get()
+        (_unowned if owner is None else owner).append(self.folder)
 
     def store(self, name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
         """Write the rows (by the values of a column, if named) and go on from the files: lost executors cost no recomputation."""
@@ -79,19 +81,42 @@ class Tables:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        _delete(self.spark, f"{self.folder}/{name}")
+        delete_path(self.spark, f"{self.folder}/{name}")
 
+    def close(self) -> None:
+        """Delete all of them."""
+        delete_path(self.spark, self.folder)
 
-#: Folders of this process's jobs that are not deleted yet.
-_made: list[str] = []
+
+#: Folders that the open job has to delete, and folders of this process that no job owns.
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+_unowned: list[str] = []
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside are deleted at its end, whatever happens; those of other jobs, and of results still to be read, are left alone."""
+    own: list[str] = []
+    token = _owner.set(own)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        for folder in own:
+            delete_path(spark, folder)
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Delete the tables of all jobs so far: when their results are written, nothing reads them any more."""
-    while _made:
-        _delete(spark, _made.pop())
+    """Delete the tables that no job owns: for a caller who has read all results of this process."""
+    while _unowned:
+        delete_path(spark, _unowned.pop())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_path(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -45,6 +45,35 @@ def test_seal_and_idempotent_overwrite(spark, tmp_path):
     assert sorted(r["v"] for r in spark.read.parquet(str(tmp_path / "gold")).collect()) == [2, 7]
 
 
+def test_sessions_are_replaced_one_by_one(spark, tmp_path):
+    path, schema = str(tmp_path / "gold"), "date string, session_id string, v int"
+    write = lambda rows: sinks.overwrite_sessions(spark.createDataFrame(rows, schema), path, buckets=2)
+    read = lambda: sorted(map(tuple, sinks.read_sessions(spark, path).select("date", "session_id", "v").collect()), key=repr)
+    write([("d1", "a", 1), ("d1", "a", 2), ("d1", "b", 3), ("d2", "c", 4), ("d1", None, 5)])
+    write([("d1", "a", 7)])
+    assert read() == sorted([("d1", "a", 7), ("d1", "b", 3), ("d2", "c", 4), ("d1", None, 5)], key=repr)
+    for _ in range(2):
+        write([("d3", "c", 8), ("d1", None, 6)])  # one session moves to another date
+        assert read() == sorted([("d1", "a", 7), ("d1", "b", 3), ("d3", "c", 8), ("d1", None, 6)], key=repr)
+
+
+def test_a_job_deletes_its_own_tables_only(spark):
+    from evidentia.session import Tables, job, path_exists
+
+    outer = Tables(spark, "outer")
+    kept = outer.store("t", spark.range(5))
+    with job(spark):
+        inner = Tables(spark, "inner")
+        assert inner.store("t", spark.range(3)).count() == 3
+        with job(spark):
+            nested = Tables(spark, "nested")
+            nested.store("t", spark.range(1))
+        assert not path_exists(spark, nested.folder) and path_exists(spark, inner.folder)
+    assert not path_exists(spark, inner.folder) and kept.count() == 5
+    outer.close()
+    assert not path_exists(spark, outer.folder)
+
+
 CLICKS = [("s", "b", t) for t in (0, 100, 200, 300, 400, 9000)]
 
 
