@@ -1,8 +1,9 @@
 """Vectorised word hashing shared by the operators whose tasks work on Arrow batches.
 
 A batch of texts is seen as one byte array. Words are the maximal runs of bytes other than
-space, \\t, \\n, \\v, \\f and \\r. The hash of a word is a polynomial over random 64-bit values of its
-bytes, taken from one running sum, so a batch costs a few numpy passes whatever its texts look like.
+space, \\t, \\n, \\v, \\f and \\r. The hash of a word mixes two polynomials over random values of its bytes, one modulo 2^64 and one modulo a
+prime: words exist whose polynomials modulo 2^64 agree for every base, and the prime tells them apart. Both are taken from running sums, so a
+batch costs a few numpy passes whatever its texts look like.
 """
 
 from __future__ import annotations
@@ -16,18 +17,31 @@ import pyarrow as pa
 SEPARATORS = (9, 10, 11, 12, 13, 32)
 CHUNK_BYTES = 1 << 20
 
+PRIME = (1 << 31) - 1
+
 _state: dict = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte values (as they are, and with A-Z lowered), separators, powers and inverse powers up to n."""
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo the prime."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)])
+    return out[:n]
+
+
+def _tables(n: int) -> dict[str, np.ndarray]:
+    """Byte values (as they are, and with A-Z lowered), separators, powers and inverse powers up to n; `_p`: modulo the prime."""
     if "plain" not in _state:
         plain = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         lower = plain.copy()
         lower[65:91] = plain[97:123]
         sep = np.zeros(256, bool)
         sep[list(SEPARATORS)] = True
-        _state.update(plain=plain, lower=lower, sep=sep, pow=np.ones(1, np.uint64), inv=np.ones(1, np.uint64))
+        plain_p = np.random.default_rng(20250917).integers(1, PRIME, 256, dtype=np.uint64)
+        lower_p = plain_p.copy()
+        lower_p[65:91] = plain_p[97:123]
+        _state.update(plain=plain, lower=lower, plain_p=plain_p, lower_p=lower_p, sep=sep, pow=np.ones(1, np.uint64), inv=np.ones(1, np.uint64), pow_p=np.ones(1, np.uint64), inv_p=np.ones(1, np.uint64))
     if len(_state["pow"]) < n + 1:
         size = max(n + 1, CHUNK_BYTES + 1)
         base = 0x9E3779B97F4A7C15
@@ -36,7 +50,9 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.
                 steps = np.full(size, b, np.uint64)
                 steps[0] = 1
                 _state[key] = np.cumprod(steps, dtype=np.uint64)
-    return _state["plain"], _state["lower"], _state["sep"], _state["pow"], _state["inv"]
+        base_p = 1_284_865_837
+        _state.update(pow_p=_powers(base_p, size), inv_p=_powers(pow(base_p, -1, PRIME), size))
+    return _state
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,17 +79,23 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     sums: np.ndarray
-    inverse: np.ndarray
+    sums_p: np.ndarray
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of other stretches of the chunk's bytes."""
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        return _spans(self.sums, self.sums_p, starts, ends)
 
     def owners(self) -> np.ndarray:
         """For each word, the number of its text in this chunk."""
         return np.repeat(np.arange(self.last - self.first), np.diff(self.bounds))
 
 
+def _spans(sums: np.ndarray, sums_p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    t, p = _state, np.uint64(PRIME)
+    low = (sums_p[ends] - sums_p[starts]) % p * t["inv_p"][starts] % p
+    return mix((sums[ends] - sums[starts]) * t["inv"][starts] + mix(low))
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty) and the offsets of its texts."""
     if isinstance(texts, pa.ChunkedArray):
@@ -99,8 +121,8 @@ def words(texts: pa.Array, lower: bool = True, most: int = CHUNK_BYTES) -> Itera
     for i, j in chunks(offsets, most):
         offs = offsets[i : j + 1] - offsets[i]
         b = data[offsets[i] : offsets[j]]
-        plain, low, sep, power, inverse = _tables(len(b))
-        inside = ~sep[b]
+        t = _tables(len(b))
+        inside = ~t["sep"][b]
         start, end = inside.copy(), inside.copy()
         start[1:] &= ~inside[:-1]
         end[:-1] &= ~inside[1:]
@@ -109,10 +131,11 @@ def words(texts: pa.Array, lower: bool = True, most: int = CHUNK_BYTES) -> Itera
         start[edges] = inside[edges]
         end[edges - 1] = inside[edges - 1]
         s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((low if lower else plain)[b] * power[: len(b)], out=total[1:])
-        hashes = mix((total[e] - total[s]) * inverse[s])
-        yield Words(i, j, hashes, np.searchsorted(s, offs), b, offs, s, e, total, inverse)
+        total, total_p = np.zeros(len(b) + 1, np.uint64), np.zeros(len(b) + 1, np.uint64)
+        kind = "lower" if lower else "plain"
+        np.cumsum(t[kind][b] * t["pow"][: len(b)], out=total[1:])
+        np.cumsum(t[f"{kind}_p"][b] * t["pow_p"][: len(b)] % np.uint64(PRIME), out=total_p[1:])
+        yield Words(i, j, _spans(total, total_p, s, e), np.searchsorted(s, offs), b, offs, s, e, total, total_p)
 
 
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -127,7 +150,7 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _factors(n: int) -> np.ndarray:
-    return np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64)[:n] * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(77).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(w: Words, size: int) -> Iterator[tuple[int, np.ndarray]]:
