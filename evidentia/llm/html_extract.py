@@ -41,11 +41,10 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("article aside body div footer form header main nav section table td th ul ol dl html".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|object|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z|[^<]+|<",
-    re.S | re.I,
-)
+_RAW_OPEN = re.compile(r"<(script|style|noscript|template|textarea|title|svg|iframe|object|select)\b", re.I)
+_RAW_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
@@ -100,6 +99,90 @@ def _signs(tag: str, attributes: str) -> tuple[int, int]:
     return good, bad
 
 
+class _TagEnds:
+    """Where tags end: at the first > outside quotes. What was scanned once is not scanned again, however broken the markup is."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+        self.clear_from = self.clear_to = -1  # no quote and no > from the one place up to the other
+        self.last: dict[str, int] = {}
+
+    def _special(self, at: int) -> int:
+        if not self.clear_from <= at <= self.clear_to:
+            m = _SPECIAL.search(self.page, at)
+            self.clear_from, self.clear_to = at, m.start() if m else len(self.page)
+        return self.clear_to
+
+    def find(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin here, or -1."""
+        chain, page = [], self.page
+        while True:
+            q = self._special(at)
+            if q >= len(page):
+                end = -1
+                break
+            if page[q] == ">":
+                end = q
+                break
+            if q in self.known:
+                end = self.known[q]
+                break
+            chain.append(q)
+            if page[q] not in self.last:
+                self.last[page[q]] = page.rfind(page[q])
+            if self.last[page[q]] == q:  # never closed
+                end = -1
+                break
+            at = page.find(page[q], q + 1) + 1
+        for q in chain:
+            self.known[q] = end
+        return end
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(kind, slash, tag, attributes or text) of a page in order: text, tag, and raw elements with their contents left out. Linear in the page.
+
+    A < that begins nothing is text; a tag that the page ends in is not.
+    """
+    ends, at, n = _TagEnds(page), 0, len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = n
+        if lt > at:
+            yield "text", "", "", page[at:lt]
+        if lt == n:
+            return
+        at = n
+        follows = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        raw = _RAW_OPEN.match(page, lt)
+        end = ends.find(raw.end()) if raw else -1
+        if end >= 0:
+            close = _RAW_CLOSE[raw[1].lower()].search(page, end + 1)
+            at = close.end() if close else n
+            yield "raw", "", raw[1].lower(), ""
+            continue
+        m = _OPEN.match(page, lt)
+        if m:
+            end = ends.find(m.end())
+            if end >= 0:
+                yield "tag", m[1], m[2].lower(), page[m.end() : end]
+                at = end + 1
+            elif not (follows != "/" and page.find("<", lt + 1) < 0 and page.find(">", lt + 1) < 0):
+                yield "text", "", "", "<"
+                at = lt + 1
+        elif follows and follows in "!?/":
+            end = page.find(">", lt)
+            at = n if end < 0 else end + 1
+        else:
+            yield "text", "", "", "<"
+            at = lt + 1
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
@@ -129,22 +212,19 @@ def blocks(page: str) -> list[Block]:
         del stack[k:]
         low = min(low, stack[-1][3])
 
-    for m in _TOKEN.finditer(page):
-        piece = m[0]
-        if piece[0] != "<" or piece == "<":
-            parts.append(piece)
+    for kind, slash, tag, rest in tokens(page):
+        if kind == "text":
+            parts.append(rest)
             if links:
-                linked += len(piece)
+                linked += len(rest)
             continue
-        tag = m[3]
-        if tag is None:
-            if m[1] and m[1].lower() in ("title", "select", "textarea"):
+        if kind == "raw":
+            if tag in ("title", "select", "textarea"):
                 end()
             continue
-        tag = tag.lower()
         if tag in BLOCK:
             end()
-        if m[2]:
+        if slash:
             if tag == "a":
                 links = max(0, links - 1)
             if opened[tag] > 0:
@@ -156,7 +236,7 @@ def blocks(page: str) -> list[Block]:
                         break
             continue
         # a slash that ends an unquoted value belongs to the value
-        if tag in VOID or (m[4].endswith("/") and (len(m[4]) == 1 or m[4][-2] in " \t\r\n\"'")):
+        if tag in VOID or (rest.endswith("/") and (len(rest) == 1 or rest[-2] in " \t\r\n\"'")):
             continue
         if tag in ENDS_P or tag in CLOSES:
             shuts = CLOSES.get(tag, ()) + (("p",) if tag in ENDS_P else ())
@@ -171,7 +251,7 @@ def blocks(page: str) -> list[Block]:
             links += 1
         number += 1
         _, good, bad, depth, own, parent, btag, bgood = stack[-1]
-        g, b = _signs(tag, m[4]) if tag in BLOCK or m[4] else (0, 0)
+        g, b = _signs(tag, rest) if tag in BLOCK or rest else (0, 0)
         if g and not b and not bad:
             good += g
         if tag == "header" and good and b == 1:
