@@ -156,14 +156,15 @@ def _feature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def train(documents: DataFrame, positives: DataFrame, most_positives: int = MOST_POSITIVES, most_unlabelled: int = MOST_UNLABELLED) -> QualityModel:
-    """documents(id, text), positives(id). Bounded samples by a hash of the id, all other documents being unlabelled."""
+    """documents(id, text), positives(id). Bounded samples by a hash of the id, all other documents being unlabelled; of several rows of one id the text with the least hash."""
     by_hash = [F.xxhash64("id"), F.col("id")]
     pos = positives.where("id IS NOT NULL").distinct().orderBy(*by_hash).limit(most_positives)
     ids = documents.select("id").where("id IS NOT NULL").distinct()
     unl = ids.join(positives.select("id").distinct(), "id", "left_anti").orderBy(*by_hash).limit(most_unlabelled)
     picked = pos.select("id", F.lit(1).alias("kind")).unionByName(unl.select("id", F.lit(0).alias("kind")))
     # at most most_positives + most_unlabelled ids: a bounded side
-    rows = documents.join(F.broadcast(picked), "id").select("text", "kind").mapInArrow(_feature_task, "kind int, x array<float>").toArrow()
+    once = documents.join(F.broadcast(picked), "id").groupBy("id", "kind").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = once.select("text", "kind").mapInArrow(_feature_task, "kind int, x array<float>").toArrow()
     kind = rows.column("kind").to_numpy()
     x = np.array(rows.column("x").combine_chunks().flatten().to_numpy(), float).reshape(-1, N_FEATURES)
     order = np.lexsort((*x.T, kind))  # arrival order must not matter
@@ -172,10 +173,13 @@ def train(documents: DataFrame, positives: DataFrame, most_positives: int = MOST
 
 def score(documents: DataFrame, model: QualityModel) -> DataFrame:
     """documents(id, text) -> id, score."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    # plain arrays are sent: workers may know this package's classes by value only
+    fields = {k: v for k, v in vars(model).items()}
+    sent = documents.sparkSession.sparkContext.broadcast(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = QualityModel(**sent.value)
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(sent.value.score(features(batch.column(1))))], names=["id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(judge.score(features(batch.column(1))))], names=["id", "score"])
 
     return documents.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, score double")

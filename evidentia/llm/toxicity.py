@@ -175,10 +175,11 @@ def _places_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> ToxicityModel:
-    """documents(id, text), labels(id, label 0/1): a bounded sample of the labelled rows by a hash of the id."""
+    """documents(id, text), labels(id, label 0/1): a bounded sample of the labelled ids by a hash of the id; of several rows of one id the text with the least hash."""
     picked = labels.where("id IS NOT NULL AND label IS NOT NULL").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_labels)
     # at most most_labels rows: a bounded side
-    rows = documents.join(F.broadcast(picked), "id").select("text", F.col("label").cast("int").alias("label")).mapInArrow(_places_task, "label int, at array<int>").toArrow()
+    once = documents.join(F.broadcast(picked), "id").groupBy("id", F.col("label").cast("int").alias("label")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = once.select("text", "label").mapInArrow(_places_task, "label int, at array<int>").toArrow()
     at = rows.column("at").combine_chunks()
     flat, offs = at.flatten().to_numpy(), np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy())])
     y = rows.column("label").to_numpy()
@@ -189,10 +190,13 @@ def train(documents: DataFrame, labels: DataFrame, most_labels: int = MOST_LABEL
 
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """documents(id, text) -> id, score."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    # plain arrays are sent: workers may know this package's classes by value only
+    fields = {k: v for k, v in vars(model).items()}
+    sent = documents.sparkSession.sparkContext.broadcast(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = ToxicityModel(**sent.value)
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(sent.value.score(*text_places(batch.column(1))))], names=["id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(judge.score(*text_places(batch.column(1))))], names=["id", "score"])
 
     return documents.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, score double")
