@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import decontaminate, jaccard_join, mixing, quality_rules, token_ids
-from evidentia.session import Tables, drop_tables
+from evidentia.session import Tables, job
 
 #: Rows to take out, if counted to be so many at most, are broadcast (8 bytes each); more are taken out by a shuffle join.
 MOST_BROADCAST_ROWS = 500_000
@@ -79,13 +79,16 @@ def token_ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def run_stages(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Callable]]) -> DataFrame:
-    """Every stage's rows are written before the next reads them; the tables that made them are then deleted."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(stages):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(stages) - 1:
-            folder = token_ids.output_folder(spark, f"stage-{name}")
-            docs.write.parquet(folder)
-            drop_tables(spark)
-            docs = spark.read.parquet(folder)
-    return docs
+    """Every stage's rows are written before the next reads them; the tables that made them, and the rows of the stage before, are then deleted.
+
+    The last stage's result is read by the caller: its tables, and the rows it came from, stay until they are dropped.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in stages[:-1]:
+        rows = Tables(spark, f"stage-{name}")
+        with job(spark):
+            docs = rows.store("docs", stage(spark, docs, sf_dir))
+        if before is not None:
+            before.close()
+        before = rows
+    return stages[-1][1](spark, docs, sf_dir)
