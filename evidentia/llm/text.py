@@ -27,7 +27,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(1, np.uint64)
     while len(out) < n:
         out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)])
-    return out[:n]
+    return out[:n].astype(np.uint32)
 
 
 def _tables(n: int) -> dict[str, np.ndarray]:
@@ -41,7 +41,7 @@ def _tables(n: int) -> dict[str, np.ndarray]:
         plain_p = np.random.default_rng(20250917).integers(1, PRIME, 256, dtype=np.uint64)
         lower_p = plain_p.copy()
         lower_p[65:91] = plain_p[97:123]
-        _state.update(plain=plain, lower=lower, plain_p=plain_p, lower_p=lower_p, sep=sep, pow=np.ones(1, np.uint64), inv=np.ones(1, np.uint64), pow_p=np.ones(1, np.uint64), inv_p=np.ones(1, np.uint64))
+        _state.update(plain=plain, lower=lower, plain_p=plain_p, lower_p=lower_p, sep=sep, pow=np.ones(1, np.uint64), inv=np.ones(1, np.uint64), pow_p=np.ones(1, np.uint32), inv_p=np.ones(1, np.uint32))
     if len(_state["pow"]) < n + 1:
         size = max(n + 1, CHUNK_BYTES + 1)
         base = 0x9E3779B97F4A7C15
@@ -92,7 +92,7 @@ class Words:
 
 def _spans(sums: np.ndarray, sums_p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     t, p = _state, np.uint64(PRIME)
-    low = (sums_p[ends] - sums_p[starts]) % p * t["inv_p"][starts] % p
+    low = (sums_p[ends] - sums_p[starts]) % p * t["inv_p"][starts].astype(np.uint64) % p
     return mix((sums[ends] - sums[starts]) * t["inv"][starts] + mix(low))
 
 
@@ -133,8 +133,14 @@ def words(texts: pa.Array, lower: bool = True, most: int = CHUNK_BYTES) -> Itera
         s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
         total, total_p = np.zeros(len(b) + 1, np.uint64), np.zeros(len(b) + 1, np.uint64)
         kind = "lower" if lower else "plain"
-        np.cumsum(t[kind][b] * t["pow"][: len(b)], out=total[1:])
-        np.cumsum(t[f"{kind}_p"][b] * t["pow_p"][: len(b)] % np.uint64(PRIME), out=total_p[1:])
+        values = t[kind][b]
+        values *= t["pow"][: len(b)]
+        np.cumsum(values, out=total[1:])
+        np.take(t[f"{kind}_p"], b, out=values, mode="clip")
+        values *= t["pow_p"][: len(b)]
+        values %= np.uint64(PRIME)
+        np.cumsum(values, out=total_p[1:])
+        del values
         yield Words(i, j, _spans(total, total_p, s, e), np.searchsorted(s, offs), b, offs, s, e, total, total_p)
 
 

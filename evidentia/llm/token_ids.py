@@ -152,7 +152,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text in order."""
-        for w in T.words(texts, lower=False, most=4 << 20):
+        for w in T.words(texts, lower=False):
             if len(self.index) > MOST_WORDS:
                 self._forget()
             odd = self._odd(w)
