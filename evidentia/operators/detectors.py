@@ -428,4 +428,5 @@ from evidentia.operators import detectors_business as _business  # noqa: E402, F
 from evidentia.operators import detectors_lifecycle as _lifecycle  # noqa: E402, F401
 from evidentia.operators import detectors_rows as _rows  # noqa: E402, F401
 from evidentia.operators import detectors_screen as _screen  # noqa: E402, F401
+from evidentia.operators import detectors_values as _values  # noqa: E402, F401
 from evidentia.operators import desync as _desync  # noqa: E402, F401

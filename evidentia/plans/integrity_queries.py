@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.operators import detectors as D
+from evidentia.operators import detectors_values as W
 from evidentia.operators import patterns as P
 from evidentia.operators import row_versions as V
 from evidentia.plans.queries import HOUR, _tel_sql, query
-from evidentia.sources.accounts import ACCOUNTS_SQL, accounts_as_telemetry
+from evidentia.sources.accounts import ACCOUNTS_SQL, accounts_as_telemetry, limits_as_exchanges
+from evidentia.sources.commerce import ORDERS_SQL, orders_as_telemetry
 from evidentia.sources.ledger import LEDGER_SQL, STOCK_BEFORE, ledger_as_telemetry
 from evidentia.sources.telemetry import events_as_telemetry
 
@@ -90,3 +92,25 @@ def shelf_patterns(spark, sf_dir):
     """Ordered patterns over what each user did to the items of a shelf."""
     rows = events_as_telemetry(spark, sf_dir).select("session_id", (F.col("id") % 5).alias("entity"), "t", "seq", F.col("k").alias("symbol"))
     return P.match_patterns(rows, SHELF_PATTERNS).drop("first_t")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS s, o_orderkey AS k, o_orderkey % 3 = 0 AS sets, floor(o_totalprice::DOUBLE / 1000)::BIGINT % 5 AS v, (epoch_us(o_orderdate) // 1000)::BIGINT + o_orderkey AS t FROM orders)
+SELECT a.s AS session_id, b.t + 1 AS t, b.k::VARCHAR AS request_id, a.v AS was_set, b.v AS was_read FROM o a JOIN o b ON a.s = b.s AND a.sets AND NOT b.sets AND a.t < b.t AND a.v <> b.v
+WHERE NOT EXISTS (SELECT 1 FROM o c WHERE c.s = a.s AND c.t > a.t AND c.t < b.t)""")
+def contradicted_limits(spark, sf_dir):
+    """Reads of a credit limit that tell another value than was set just before."""
+    found = W.acknowledged_state_contradicted_by_read(limits_as_exchanges(spark, sf_dir))
+    said = lambda pattern: F.regexp_extract("message", pattern, 1).cast("long")
+    return found.select("session_id", "t", "request_id", said("was set to ([0-9]+)").alias("was_set"), said("read as ([0-9]+)").alias("was_read"))
+
+
+@query(f"""
+WITH {ORDERS_SQL}
+, w AS (SELECT s, 'orders' AS "table", unnest(['id', 'user_id', 'total', 'total_cents', 'status']) AS col FROM o UNION ALL SELECT s, 'order_items', unnest(['order_id', 'part_id', 'quantity', 'price']) FROM lineitem JOIN o ON l_orderkey = k)
+, r AS (SELECT s, 'orders' AS "table", unnest(['id', 'user_id']) AS col FROM o WHERE k % 3 = 0)
+, u AS (SELECT *, 1 AS w FROM w UNION ALL SELECT *, 0 FROM r)
+SELECT s AS session_id, "table", col, sum(w)::BIGINT AS written, 0::BIGINT AS written_empty, (count(*) - sum(w))::BIGINT AS read, 0::BIGINT AS read_empty FROM u GROUP BY ALL""")
+def column_usage(spark, sf_dir):
+    """How often each session wrote and read each column of its orders."""
+    return W.column_ledger(orders_as_telemetry(spark, sf_dir)).where("table IN ('orders', 'order_items')")

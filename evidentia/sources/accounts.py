@@ -34,3 +34,15 @@ def accounts_as_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACCOUNTS_SQL = f"""o AS (SELECT o_orderkey AS k, o_custkey AS s, o_totalprice::DOUBLE AS price, (epoch_us(o_orderdate) // 1000)::BIGINT + o_orderkey AS t, c_acctbal::DOUBLE AS acctbal FROM orders JOIN customer ON c_custkey = o_custkey)
 , b AS (SELECT *, row_number() OVER w AS n, lag(price) OVER w AS before, {_CREDIT} AS credit FROM o WINDOW w AS (PARTITION BY s ORDER BY t))
 , acc AS (SELECT s AS session_id, t, 'C' || s AS code, CAST(round(price * 100) AS BIGINT) AS balance, credit, n, {_SHOWN} AS shown FROM b)"""
+
+
+def limits_as_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order of a customer as an exchange about the customer's credit limit: every third sets it, the others read it. The limit is the order's price by thousands, of five."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("s"), (F.floor(F.col("o_totalprice").cast("double") / 1000) % 5).cast("long").alias("v"), (millis("o_orderdate") + F.col("o_orderkey")).alias("t"))
+    sets = F.col("k") % 3 == 0
+    state = F.to_json(F.struct(F.col("s").alias("accountId"), F.col("v").alias("creditLimit")))
+    ask = F.to_json(F.struct(F.col("k").cast("string").alias("id"), F.when(sets, "PUT").otherwise("GET").alias("method"), F.concat(F.lit("https://bank.example/api/limits/"), F.col("s").cast("string")).alias("url"), F.when(sets, state).alias("body")))
+    answer = F.to_json(F.struct(F.col("k").cast("string").alias("id"), F.lit(200).alias("st"), F.when(sets, F.lit('{"ok":true}')).otherwise(F.concat(F.lit('{"limits":['), state, F.lit("]}"))).alias("body")))
+    both = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("j"), F.lit("net.req").alias("k"), ask.alias("d")), F.struct(F.lit(1).cast("long").alias("j"), F.lit("net.res").alias("k"), answer.alias("d"))))
+    rows = o.select("s", F.col("k").alias("order"), "t", both.alias("e"))
+    return promote(rows.select(F.col("s").alias("session_id"), (F.col("order") * 2 + F.col("e.j")).alias("seq"), (F.col("t") + F.col("e.j")).alias("t"), F.col("e.k").alias("k"), F.expr("parse_json(e.d)").alias("d")))
