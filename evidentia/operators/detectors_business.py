@@ -551,6 +551,8 @@ for _m in (("media_degradation", "media.degraded", "low", 40), ("tab_boundary_ga
 #: Hosts of trackers; what a demoted finding may score; boost of a finding for each severe symptom, and the most it may gain.
 TRACKER_HOSTS = r"(?i)://([a-z0-9-]+\.)*(google-analytics\.com|googletagmanager\.com|doubleclick\.net|segment\.(io|com)|mixpanel\.com|hotjar\.com|sentry\.io|facebook\.net)(/|$|:)"
 HANDLED_SCORE, TRACKER_SCORE, BOOST_EACH, MOST_BOOST = 30, 15, 3, 12
+#: Ranking points that a thread loses if all of its evidence is older than the user's last action, and those it gains for being caused by it, halved with each hop.
+STALE_THREAD, CAUSED_BY_ACTION = 15, 8
 
 
 def demote(candidates: DataFrame, events: DataFrame) -> DataFrame:
@@ -565,16 +567,44 @@ def demote(candidates: DataFrame, events: DataFrame) -> DataFrame:
     return rows.withColumn("score", score.cast("int")).withColumn("severity", F.when(sinks_h | sinks_t, "low").otherwise(F.col("severity"))).drop("handled", "tracker")
 
 
-def rank_candidates(candidates: DataFrame, links: DataFrame) -> DataFrame:
+def last_actions(events: DataFrame) -> DataFrame:
+    """session_id, action_t, action_seq: the last thing that the user did. A session without one has no row."""
+    trusted = F.coalesce(field("trusted", "boolean"), F.lit(True))
+    done = events.where(F.col("k").isin("clk", "key") | ((F.col("k") == "inp") & trusted))
+    return done.groupBy("session_id").agg(F.max(F.struct(F.col("t").cast("long").alias("t"), F.col("seq").cast("long").alias("seq"))).alias("a")).select("session_id", F.col("a.t").alias("action_t"), F.col("a.seq").alias("action_seq"))
+
+
+def reached_by(nodes: DataFrame, edges: DataFrame, action: DataFrame, owned: DataFrame) -> DataFrame:
+    """session_id, id, hops: owned nodes whose causes lead back to the session's action node, and over how many hops.
+
+    action(session_id, id) and owned(session_id, id) are nodes of the causal graph; the walk back ends at another finding, which carries the thread on.
+    """
+    from evidentia.operators.graph import roots
+
+    ends = owned.select("session_id", "id").unionByName(action.select("session_id", "id")).distinct()
+    hit = roots(nodes, edges, ends).join(action.select("session_id", F.col("id").alias("root")), ["session_id", "root"], "left_semi")
+    return hit.groupBy("session_id", "id").agg(F.min("hops").alias("hops"))
+
+
+def rank_candidates(candidates: DataFrame, links: DataFrame, actions: DataFrame | None = None, reach: DataFrame | None = None) -> DataFrame:
     """Order of the findings; the stored score stays. links(session_id, id, root, sure): symptoms with their roots.
 
     A root gains a little for every severe symptom. A symptom that is surely its root's joins its chain, which stands together where its
-    strongest member would; an unsure link binds nothing.
+    strongest member would; an unsure link binds nothing. A chain whose last evidence is older than the user's last action (of `last_actions`) sinks, as it
+    is more likely the application's ordinary state; one that the action caused (of `reached_by`) rises. Without an action neither happens.
     """
     c = candidates.withColumnRenamed("candidate_id", "id")
     bound = links.where("sure >= 2").select("session_id", "id", "root")
     boost = bound.join(c.where("severity IN ('high', 'critical')").select("session_id", "id"), ["session_id", "id"]).groupBy("session_id", F.col("root").alias("id")).agg(F.least(F.lit(MOST_BOOST), F.count("*") * BOOST_EACH).alias("boost"))
     w = c.join(boost, ["session_id", "id"], "left").join(bound, ["session_id", "id"], "left").withColumn("weight", F.col("score") + F.coalesce("boost", F.lit(0))).withColumn("chain", F.coalesce("root", "id"))
-    chained = w.withColumn("lead", F.max("weight").over(Window.partitionBy("session_id", "chain"))).withColumn("chain_t", F.min("t").over(Window.partitionBy("session_id", "chain")))
+    thread = Window.partitionBy("session_id", "chain")
+    gain = F.lit(0.0)
+    if actions is not None:
+        w = w.join(actions.select("session_id", "action_t"), "session_id", "left").withColumn("fresh", F.coalesce(F.max("t").over(thread) >= F.col("action_t"), F.lit(True)))
+        gain -= F.when(F.col("fresh"), 0.0).otherwise(float(STALE_THREAD))
+    if reach is not None:
+        w = w.join(reach.select("session_id", "id", "hops"), ["session_id", "id"], "left").withColumn("caused", F.coalesce(F.max(CAUSED_BY_ACTION / F.pow(F.lit(2.0), F.col("hops") - 1)).over(thread), F.lit(0.0)))
+        gain += F.col("caused")
+    chained = w.withColumn("lead", F.max("weight").over(thread) + gain).withColumn("chain_t", F.min("t").over(thread))
     order = Window.partitionBy("session_id").orderBy(F.desc("lead"), "chain_t", "chain", F.col("root").isNotNull(), F.desc("weight"), "t", "id")
-    return chained.withColumn("rank", F.row_number().over(order)).drop("lead", "chain_t", "root", "boost")
+    return chained.withColumn("rank", F.row_number().over(order)).drop("lead", "chain_t", "root", "boost", "action_t", "fresh", "hops", "caused")

@@ -5,13 +5,17 @@ What is found follows from the tables' own values (prices that move, dates in an
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from evidentia.functions import source_maps as M
 from evidentia.operators import detectors as D
 from evidentia.operators import detectors_values as W
 from evidentia.operators import patterns as P
 from evidentia.operators import row_versions as V
-from evidentia.plans.queries import HOUR, _tel_sql, query
+from evidentia.plans.queries import HOUR, _read, _tel_sql, query
 from evidentia.sources.accounts import ACCOUNTS_SQL, accounts_as_telemetry, limits_as_exchanges
 from evidentia.sources.commerce import ORDERS_SQL, orders_as_telemetry
 from evidentia.sources.ledger import LEDGER_SQL, STOCK_BEFORE, ledger_as_telemetry
@@ -114,3 +118,25 @@ SELECT s AS session_id, "table", col, sum(w)::BIGINT AS written, 0::BIGINT AS wr
 def column_usage(spark, sf_dir):
     """How often each session wrote and read each column of its orders."""
     return W.column_ledger(orders_as_telemetry(spark, sf_dir)).where("table IN ('orders', 'order_items')")
+
+
+def _map_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One file's segments as a source map."""
+    rows = sorted(pdf[["line", "column", "source", "source_line", "source_column"]].itertuples(index=False, name=None))
+    text = json.dumps({"version": 3, "sources": ["webpack://shop/./src/a.ts", "src/b.ts", "./c.ts"], "names": [], "mappings": M.encode([tuple(map(int, r)) for r in rows])})
+    return pd.DataFrame({"file": [f"f{pdf['file'].iloc[0]}.js"], "map": [text]})
+
+
+@query("""
+WITH s AS (SELECT l_suppkey AS f, l_linenumber AS line, l_partkey % 900 + 1 AS col, min(l_orderkey) AS o FROM lineitem GROUP BY ALL)
+, fr AS (SELECT o_orderkey AS k, o_custkey % 120 AS f, (o_orderkey % 8 + 1)::INT AS line, (o_orderkey % 1000 + 1)::INT AS col FROM orders)
+SELECT fr.k AS frame, 'f' || fr.f || '.js' AS file, ['src/a.ts', 'src/b.ts', 'c.ts'][(s.o % 3 + 1)::INT] AS source, (s.o % 500 + 1)::INT AS source_line, (s.o % 70 + 1)::INT AS source_column
+FROM fr ASOF LEFT JOIN s ON fr.f = s.f AND fr.line = s.line AND fr.col >= s.col""")
+def placed_frames(spark, sf_dir):
+    """Frames made of the orders, placed in source maps made of the line items, one map a supplier."""
+    lines = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("file"), (F.col("l_linenumber") - 1).alias("line"), (F.col("l_partkey") % 900).alias("column")).agg(F.min("l_orderkey").alias("o"))
+    lines = lines.select("file", "line", "column", (F.col("o") % 3).alias("source"), (F.col("o") % 500).alias("source_line"), (F.col("o") % 70).alias("source_column"))
+    mapped = M.segments(lines.groupBy("file").applyInPandas(_map_of, "file string, map string"))
+    k = F.col("o_orderkey")
+    frames = _read(spark, sf_dir, "orders").select(k.alias("frame"), F.concat(F.lit("f"), (F.col("o_custkey") % 120).cast("string"), F.lit(".js")).alias("file"), (k % 8 + 1).alias("line"), (k % 1000 + 1).alias("column"))
+    return M.place_frames(frames, mapped).select("frame", "file", "source", "source_line", "source_column")
