@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators import aggregates as A
+from evidentia.operators import context as X
 from evidentia.operators import joins as J
 from evidentia.operators import locate as L
 from evidentia.operators import projections as P
@@ -33,11 +35,7 @@ def list_sessions(sessions: DataFrame, limit: int | None = None, **scope) -> Dat
 
 def get_events(events: DataFrame, session_id, kind: str | None = None, after: int | None = None, before: int | None = None, limit: int | None = None) -> DataFrame:
     """Events of a session in file order; both bounds are inclusive."""
-    e = events.where(F.col("session_id") == session_id)
-    for condition, given in ((F.col("k") == kind, kind), (F.col("t") >= after, after), (F.col("t") <= before, before)):
-        if given is not None:
-            e = e.where(condition)
-    return _first(e, "seq", limit=limit)
+    return _first(P.filter_events(events.where(F.col("session_id") == session_id), kind, after, before), "seq", limit=limit)
 
 
 def get_window(events: DataFrame, session_id, start: int, end: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -95,3 +93,21 @@ def resolve_signature(dictionary: DataFrame, ref: int) -> DataFrame:
 
 def get_storage_changes(events: DataFrame, session_id, limit: int | None = None) -> DataFrame:
     return _first(P.storage_changes(events.where(F.col("session_id") == session_id)), "t", "seq", limit=limit)
+
+
+def get_regression_context(events: DataFrame, baseline, session_id) -> dict[str, DataFrame]:
+    """What a session did otherwise than its baseline: steps, calls, writes, environment, and the window around it; at most so many rows of each."""
+    pair = events.sparkSession.createDataFrame([(baseline, session_id)]).toDF("left", "right").withColumn("pair", F.lit("pair"))
+    return {name: df.drop("pair").limit(MOST_ROWS) for name, df in X.regression_context(events, pair).items()}
+
+
+def get_linked_request_context(events: DataFrame, session_id, request_id: str, limit: int | None = None) -> dict[str, DataFrame]:
+    """A request's link or gap, and what every plane knows of it."""
+    asked = events.sparkSession.createDataFrame([(session_id, request_id)]).toDF("session_id", "request_id")
+    found = X.linked_request_context(events.where(F.col("session_id") == session_id), asked, rows(limit))
+    return {"status": found["status"], "rows": found["rows"].orderBy("plane", "place")}
+
+
+def get_recurrence(bugs: DataFrame, sessions: DataFrame, signature: str) -> DataFrame:
+    """Where and how often a bug was seen: one row, or none."""
+    return A.recurrence(bugs.where(F.col("signature") == signature), sessions)

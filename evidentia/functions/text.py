@@ -195,8 +195,9 @@ def error_signature(kind: Column, msg: Column, stack: Column) -> Column:
 
 
 def stable_route(url: Column) -> Column:
-    """Path of a URL with UUIDs, numbers and hexadecimal segments that hold a digit or are as long as a hash as :id."""
-    segment = r"(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9]+|(?=[0-9a-f]*[0-9])[0-9a-f]{6,}|deadbeef|[0-9a-f]{16,})$"
+    """Path of a URL with UUIDs, numbers and hexadecimal segments as :id: from six digits on if one is 0 to 9, from eight on in any case, as words
+    of the letters a to f alone are shorter."""
+    segment = r"(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9]+|(?=[0-9a-f]*[0-9])[0-9a-f]{6,}|[0-9a-f]{8,})$"
     return F.array_join(F.transform(F.split(url_path(url), "/"), lambda s: F.when(s.rlike(segment), ":id").otherwise(s)), "/")
 
 

@@ -13,6 +13,17 @@ def counts_by_kind(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id", "k").agg(F.count("*").alias("n"))
 
 
+def exact_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median, n: the exact median of each group (the mean of the middle two of an even number); nulls are not counted in it."""
+    return rows.groupBy(*keys).agg(F.median(value).alias("median"), F.count("*").alias("n"))
+
+
+def sliding_counts(events: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
+    """Every row with `n`: the rows of its key in the window that ends at it, the far end excluded."""
+    w = Window.partitionBy(*keys).orderBy("t").rangeBetween(-(window_ms - 1), 0)
+    return events.withColumn("n", F.count("*").over(w))
+
+
 def kind_report(events: DataFrame) -> DataFrame:
     """For each session: events of indexed kinds, and how many distinct others, with the first of them."""
     known = F.col("k").isin(*X.INDEXED_KINDS)

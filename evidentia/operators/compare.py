@@ -55,10 +55,14 @@ def anchor(calls: DataFrame, marks: DataFrame) -> DataFrame:
     return both.withColumn("anchor", F.last("idx", ignorenulls=True).over(order)).where("__call = 1").drop("__call", "idx")
 
 
-def network_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+def _kept(keep: tuple[str, ...]) -> list[Column]:
+    return [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("a", "b") for c in keep]
+
+
+def network_diff(left: DataFrame, right: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Calls of two runs matched in order of (pair, anchor, method, route): missing, added, a changed status class, or slower.
 
-    left, right(pair, anchor, method, url, st, dur, t).
+    left, right(pair, anchor, method, url, st, dur, t); `keep` names more columns to tell of both sides.
     """
     keys = ["pair", "anchor", "method", "route"]
     shaped = [d.withColumn("route", X.route(F.col("url"))).withColumn("anchor", F.coalesce("anchor", F.lit(-1))) for d in (left, right)]
@@ -66,14 +70,14 @@ def network_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     status = F.floor(F.col("a.st") / 100) != F.floor(F.col("b.st") / 100)
     slower = F.coalesce(latency_verdict(F.col("a.dur"), F.col("b.dur")), F.lit(False))
     verdict = F.when(F.col("change") != "paired", F.col("change")).when(F.coalesce(status, F.lit(False)), "status").when(slower, "slower")
-    return m.select(*keys, F.col("a.st").alias("a_st"), F.col("b.st").alias("b_st"), F.col("a.dur").alias("a_dur"), F.col("b.dur").alias("b_dur"), verdict.alias("divergence"))
+    return m.select(*keys, F.col("a.st").alias("a_st"), F.col("b.st").alias("b_st"), F.col("a.dur").alias("a_dur"), F.col("b.dur").alias("b_dur"), verdict.alias("divergence"), *_kept(keep))
 
 
-def write_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+def write_diff(left: DataFrame, right: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Row writes of two runs matched in order of (pair, anchor, engine, table, op). left, right(pair, anchor, engine, table, op, t)."""
     keys = ["pair", "anchor", "engine", "table", "op"]
     shaped = [d.withColumns({"engine": F.coalesce("engine", F.lit("postgres")), "op": F.coalesce("op", F.lit("insert")), "anchor": F.coalesce("anchor", F.lit(-1))}) for d in (left, right)]
-    return fifo_match(shaped[0], shaped[1], keys, "t").select(*keys, "change")
+    return fifo_match(shaped[0], shaped[1], keys, "t").select(*keys, "change", *_kept(keep))
 
 
 #: Noise in compared values and what stands for it, most specific first.

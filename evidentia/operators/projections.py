@@ -339,6 +339,34 @@ def capped_reads(events: DataFrame, per_statement: int = READS_PER_STATEMENT, pe
 # ---- scopes and guards
 
 
+def filter_events(events: DataFrame, kind: str | None = None, after: int | None = None, before: int | None = None) -> DataFrame:
+    """Events of a kind within bounds, both inclusive; what is not asked is not filtered."""
+    for condition, given in ((F.col("k") == kind, kind), (F.col("t") >= after, after), (F.col("t") <= before, before)):
+        if given is not None:
+            events = events.where(condition)
+    return events
+
+
+def error_class() -> Column:
+    """An event of an error or of an answer that failed."""
+    return (F.col("k") == "err") | ((F.col("k") == "net.res") & (F.coalesce("st", F.lit(0)) >= 400))
+
+
+def error_class_sessions(events: DataFrame) -> DataFrame:
+    """session_id of every session with such an event."""
+    return events.where(error_class()).select("session_id").distinct()
+
+
+def session_summaries(events: DataFrame) -> DataFrame:
+    """session_id, severity, title (the first error, or else the first failed answer), start, end, n."""
+    err = F.col("k") == "err"
+    failed = error_class() & ~err
+    first = lambda value, where: F.min_by(F.when(where, value), F.when(where, F.col("seq")))
+    severity = F.when(F.count_if(err) > 0, "high").when(F.count_if(failed) > 0, "medium").otherwise("low")
+    title = F.coalesce(first(F.col("msg"), err), first(F.col("url"), failed), F.lit("session"))
+    return events.groupBy("session_id").agg(severity.alias("severity"), title.alias("title"), F.min_by("t", "seq").alias("start"), F.max_by("t", "seq").alias("end"), F.count("*").alias("n"))
+
+
 def session_filter(sessions: DataFrame, app: str | None = None, after: int | None = None, before: int | None = None, release: str | None = None, build: str | None = None) -> DataFrame:
     """Sessions of an app that overlap a time range, of a release and build; a filter that is not given lets all pass."""
     for condition, given in ((F.col("app") == app, app), (F.col("end") >= after, after), (F.col("start") <= before, before), (F.col("release") == release, release), (F.col("build") == build, build)):

@@ -18,6 +18,7 @@ from evidentia.operators import detectors as D
 from evidentia.operators import graph as G
 from evidentia.operators import joins as J
 from evidentia.operators import locate as L
+from evidentia.operators import projections as P
 from evidentia.operators import window_correlation as WC
 from evidentia.sources.telemetry import TELEMETRY_SQL, events_as_telemetry, millis
 from evidentia.streaming import signals
@@ -121,7 +122,7 @@ def kind_report(spark, sf_dir):
 
 @query(_tel_sql(f"SELECT session_id, seq, t, k FROM tel WHERE k = 'err' AND t >= {T0} AND t <= {T1}"))
 def events_filtered(spark, sf_dir):
-    return events_as_telemetry(spark, sf_dir).where((F.col("k") == "err") & F.col("t").between(T0, T1)).select("session_id", "seq", "t", "k")
+    return P.filter_events(events_as_telemetry(spark, sf_dir), "err", T0, T1).select("session_id", "seq", "t", "k")
 
 
 @query(_tel_sql("SELECT session_id, seq, t, id, st, url FROM tel WHERE k = 'net.res' AND st >= 400"))
@@ -132,18 +133,12 @@ def failed_requests(spark, sf_dir):
 @query(_tel_sql("""SELECT session_id, CASE WHEN count(*) FILTER (k = 'err') > 0 THEN 'high' WHEN count(*) FILTER (k = 'net.res' AND st >= 400) > 0 THEN 'medium' ELSE 'low' END AS severity,
  coalesce(arg_min(msg, seq) FILTER (k = 'err'), arg_min(url, seq) FILTER (k = 'net.res' AND st >= 400), 'session') AS title, arg_min(t, seq) AS start, arg_max(t, seq) AS "end", count(*)::BIGINT AS n FROM tel GROUP BY session_id"""))
 def session_summary(spark, sf_dir):
-    failed = (F.col("k") == "net.res") & (F.coalesce("st", F.lit(0)) >= 400)
-    err = F.col("k") == "err"
-    severity = F.when(F.count_if(err) > 0, "high").when(F.count_if(failed) > 0, "medium").otherwise("low")
-    title = F.coalesce(F.min_by(F.when(err, F.col("msg")), F.when(err, F.col("seq"))), F.min_by(F.when(failed, F.col("url")), F.when(failed, F.col("seq"))), F.lit("session"))
-    return events_as_telemetry(spark, sf_dir).groupBy("session_id").agg(severity.alias("severity"), title.alias("title"), F.min_by("t", "seq").alias("start"), F.max_by("t", "seq").alias("end"), F.count("*").alias("n"))
+    return P.session_summaries(events_as_telemetry(spark, sf_dir))
 
 
 @query(_tel_sql("""SELECT a.session_id FROM tel a GROUP BY a.session_id HAVING count(*) FILTER (k = 'err' OR (k = 'net.res' AND st >= 400)) > 0"""))
 def error_class_sessions(spark, sf_dir):
-    e = events_as_telemetry(spark, sf_dir)
-    bad = e.where("k = 'err' OR (k = 'net.res' AND st >= 400)").select("session_id")
-    return e.select("session_id").distinct().join(bad, "session_id", "left_semi")
+    return P.error_class_sessions(events_as_telemetry(spark, sf_dir))
 
 
 @query(_tel_sql("SELECT session_id, t, id FROM tel WHERE k = 'err' ORDER BY t DESC, session_id DESC, seq DESC LIMIT 1"))
@@ -243,7 +238,7 @@ def environment_diff(spark, sf_dir):
 
 @query(_tel_sql(f"SELECT k, median(dur) AS median_dur, count(*)::BIGINT AS n FROM tel WHERE t >= {T0} GROUP BY k"))
 def exact_median(spark, sf_dir):
-    return events_as_telemetry(spark, sf_dir).where(F.col("t") >= T0).groupBy("k").agg(F.median("dur").alias("median_dur"), F.count("*").alias("n"))
+    return A.exact_medians(events_as_telemetry(spark, sf_dir).where(F.col("t") >= T0), ["k"], "dur").withColumnRenamed("median", "median_dur")
 
 
 @query(_tel_sql("""SELECT session_id, trim(regexp_replace(regexp_replace(lower(msg), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) AS signature, min(seq) AS seq, arg_min(msg, seq) AS msg, CASE WHEN count(*) > 1 THEN count(*) END AS count,
@@ -376,8 +371,7 @@ def idle_sessions(spark, sf_dir):
 
 @query(_tel_sql(f"""SELECT session_id, seq, t, count(*) OVER (PARTITION BY session_id, k ORDER BY t RANGE BETWEEN {24 * HOUR - 1} PRECEDING AND CURRENT ROW)::BIGINT AS n FROM tel"""))
 def sliding_counts(spark, sf_dir):
-    w = Window.partitionBy("session_id", "k").orderBy("t").rangeBetween(-(24 * HOUR - 1), 0)
-    return events_as_telemetry(spark, sf_dir).select("session_id", "seq", "t", F.count("*").over(w).alias("n"))
+    return A.sliding_counts(events_as_telemetry(spark, sf_dir), ["session_id", "k"], 24 * HOUR).select("session_id", "seq", "t", "n")
 
 
 # ---- graph
