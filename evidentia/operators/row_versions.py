@@ -32,10 +32,13 @@ def row_changes(events: DataFrame) -> DataFrame:
 
 
 def _row_changes(events: DataFrame) -> DataFrame:
-    keys = F.map_values(F.from_json(F.to_json(field("pk", "variant")), "map<string,string>"))
-    after, before = row_image("after"), row_image("before")
-    pk = F.coalesce(F.when(F.size(keys) > 0, F.array_join(keys, " ")), field("pk", "string"), after["id"], before["id"])
-    return events.where("k = 'db.diff'").select("session_id", "seq", F.col("t").cast("long").alias("t"), "request_id", F.lower("op").alias("op"), F.lower("table").alias("table"), pk.alias("pk"), before.alias("before"), after.alias("after"))
+    # each payload is taken apart once: without the array, a reader's filters would take it apart again for each use of a part
+    parts = F.struct(F.try_variant_get("d", "$.pk", "map<string,string>").alias("keys"), field("pk", "string").alias("key"), row_image("before").alias("before"), row_image("after").alias("after"))
+    own = [F.col(c) for c in ("session_id", "seq")] + [F.col("t").cast("long").alias("t"), F.col("request_id"), F.lower("op").alias("op"), F.lower("table").alias("table")]
+    rows = events.where("k = 'db.diff'").select(*own, F.explode(F.array(parts)).alias("x"))
+    keys = F.map_values("x.keys")
+    pk = F.coalesce(F.when(F.size(keys) > 0, F.array_join(keys, " ")), F.col("x.key"), F.col("x.after")["id"], F.col("x.before")["id"])
+    return rows.select("session_id", "seq", "t", "request_id", "op", "table", pk.alias("pk"), "x.before", "x.after")
 
 
 def column_versions(events: DataFrame) -> DataFrame:
@@ -43,11 +46,9 @@ def column_versions(events: DataFrame) -> DataFrame:
 
     `was` is what the change replaced, and `op` is null for a value from before the log. A delete ends a row's values with nulls.
     A change that leaves a column as it was makes no version of it.
-    """
-    return shared(events, "column_versions", _column_versions)
-
 
-def _column_versions(events: DataFrame) -> DataFrame:
+    It is made in one pass and one shuffle, and is not stored: a reader's filter on tables and columns reaches the changes.
+    """
     rows = row_changes(events).where("pk IS NOT NULL")
     none = F.create_map().cast("map<string,string>")
     old, new = F.coalesce("before", none), F.when(F.col("op") == "delete", none).otherwise(F.coalesce("after", none))
@@ -58,10 +59,12 @@ def _column_versions(events: DataFrame) -> DataFrame:
     order = Window.partitionBy(*key).orderBy("seq")
     cells = cells.select(*key, "seq", "t", "request_id", "op", F.map_contains_key("old", F.col("col")).alias("told"), F.col("old")[F.col("col")].alias("told_was"), F.col("new")[F.col("col")].alias("value"))
     cells = cells.withColumn("n", F.row_number().over(order)).withColumn("was", F.when(F.col("told"), F.col("told_was")).otherwise(F.lag("value").over(order)))
-    first = cells.where("n = 1 AND told").select(*key, F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("string").alias("request_id"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("was"), F.col("told_was").alias("value"))
+    before = F.struct(F.lit(None).cast("long").alias("begins"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("string").alias("request_id"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("was"), F.col("told_was").alias("value"))
+    change = F.struct(F.col("seq").alias("begins"), "t", "request_id", "op", "was", "value")
     # an insert has no value before it; a null that stays null is no version
-    moved = cells.where((F.col("op") == "insert") | ~F.col("was").eqNullSafe(F.col("value"))).select(*key, "seq", "t", "request_id", "op", "was", "value")
-    both = first.unionByName(moved).withColumnRenamed("seq", "begins")
+    moved = (F.col("op") == "insert") | ~F.col("was").eqNullSafe(F.col("value"))
+    made = F.filter(F.array(F.when((F.col("n") == 1) & F.col("told"), before), F.when(moved, change)), lambda v: v.isNotNull())
+    both = cells.select(*key, F.explode(made).alias("v")).select(*key, "v.*")
     return both.withColumn("ends", F.lead("begins").over(Window.partitionBy(*key).orderBy(F.col("begins").asc_nulls_first())))
 
 

@@ -16,28 +16,39 @@ _STOCK, _TOTAL, _MOVED = "CAST(l_quantity AS BIGINT) % 3", "CAST(l_quantity AS B
 _AUDITED = "CASE WHEN l_orderkey % 2 = 0 THEN 'products' ELSE 'batches' END"
 #: Values of a product before its first change.
 STOCK_BEFORE, TOTAL_BEFORE = 9, 900
-_EVENTS = (
-    (0, "insert", "orders", "l_orderkey", "named_struct('id', l_orderkey)", "named_struct()", "first"),
-    (1, "insert", "ops_reports", "concat('r', l_orderkey, '-', l_linenumber)", "named_struct('total_cents', total, 'note', concat('product=', l_partkey))", "named_struct()", "true"),
-    (2, "update", "products", "l_partkey", "named_struct('inventory', stock, 'total_cents', total)", "named_struct('inventory', stock_before, 'total_cents', total_before)", "true"),
-    (3, "update", "order_items", "concat(l_orderkey, '-', l_linenumber)", "named_struct('order_id', moved)", "named_struct('order_id', l_partkey + 1)", "true"),
-    (4, "insert", "audit_log", "l_orderkey", "named_struct('entity', audited)", "named_struct()", "first"),
+#: Place of an event in its line -> op, table, key, after image, before image. Those of a supplier's order come once, with its first line.
+_OF_ORDER = (
+    (0, "insert", "orders", "l_orderkey", "named_struct('id', l_orderkey)", None),
+    (4, "insert", "audit_log", "l_orderkey", "named_struct('entity', audited)", None),
 )
+_OF_LINE = (
+    (1, "insert", "ops_reports", "concat('r', l_orderkey, '-', l_linenumber)", "named_struct('total_cents', total, 'note', concat('product=', l_partkey))", None),
+    (2, "update", "products", "l_partkey", "named_struct('inventory', stock, 'total_cents', total)", "named_struct('inventory', stock_before, 'total_cents', total_before)"),
+    (3, "update", "order_items", "concat(l_orderkey, '-', l_linenumber)", "named_struct('order_id', moved)", "named_struct('order_id', l_partkey + 1)"),
+)
+
+
+def _changes(lines: DataFrame, events: tuple) -> DataFrame:
+    """Each line's events. The payload is made last, so that a filter on table or op comes before it."""
+    request = "concat('q', l_orderkey)"
+    body = {j: f"to_json(named_struct('requestId', {request}, 'op', '{op}', 'table', '{table}', 'pk', named_struct('id', {pk}), 'after', {after}" + (f", 'before', {before}" if before else "") + "))" for j, op, table, pk, after, before in events}
+    by = lambda of: F.expr("CASE j " + " ".join(f"WHEN {e[0]} THEN {of(e)}" for e in events) + " END")
+    rows = lines.withColumn("j", F.explode(F.array(*[F.lit(e[0]).cast("long") for e in events])))
+    seq = F.col("place") * 8 + F.col("j")
+    rows = rows.select("*", F.col("l_suppkey").alias("session_id"), seq.alias("seq"), seq.alias("t"), F.lit("db.diff").alias("k"), F.parse_json(by(lambda e: body[e[0]])).alias("d"))
+    known = {"request_id": F.expr(request), "op": by(lambda e: f"'{e[1]}'"), "table": by(lambda e: f"'{e[2]}'")}
+    return promote(rows, known).drop(*lines.columns, "j")
 
 
 def ledger_as_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, seq, t, k, d (VARIANT) and the hot fields."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    lines = lines.select("*", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), F.expr(_STOCK).alias("stock"), F.expr(_TOTAL).alias("total"), F.expr(_MOVED).alias("moved"), F.expr(_AUDITED).alias("audited"))
+    lines = lines.withColumn("place", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    orders = lines.groupBy("l_suppkey", "l_orderkey").agg(F.min("place").alias("place")).withColumn("audited", F.expr(_AUDITED))
+    lines = lines.select("*", F.expr(_STOCK).alias("stock"), F.expr(_TOTAL).alias("total"), F.expr(_MOVED).alias("moved"))
     row = Window.partitionBy("l_suppkey", "l_partkey").orderBy("place")
     lines = lines.withColumn("stock_before", F.coalesce(F.lag("stock").over(row), F.lit(STOCK_BEFORE))).withColumn("total_before", F.coalesce(F.lag("total").over(row), F.lit(TOTAL_BEFORE)))
-    lines = lines.withColumn("first", F.row_number().over(Window.partitionBy("l_suppkey", "l_orderkey").orderBy("place")) == 1)
-    made = ", ".join(
-        f"CASE WHEN {where} THEN named_struct('j', {j}L, 'd', to_json(named_struct('requestId', concat('q', l_orderkey), 'op', '{op}', 'table', '{table}', 'pk', named_struct('id', {pk}), 'after', {after}" + (f", 'before', {before}" if op == "update" else "") + "))) END"
-        for j, op, table, pk, after, before, where in _EVENTS)
-    rows = lines.withColumn("e", F.explode(F.expr(f"filter(array({made}), e -> e IS NOT NULL)")))
-    seq = F.col("place") * 8 + F.col("e.j")
-    return promote(rows.select(F.col("l_suppkey").alias("session_id"), seq.alias("seq"), seq.alias("t"), F.lit("db.diff").alias("k"), F.expr("parse_json(e.d)").alias("d")))
+    return _changes(lines, _OF_LINE).unionByName(_changes(orders, _OF_ORDER))
 
 
 #: For DuckDB: the lines with what they write.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
@@ -25,14 +25,28 @@ def read_sessions_ndjson(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("t IS NOT NULL AND k <> ''")
 
 
-def promote(events: DataFrame) -> DataFrame:
-    """Hot payload fields as columns beside the open payload."""
-    get = lambda path, kind: F.try_variant_get("d", path, kind)
-    return events.select(
-        "*", F.coalesce(get("$.id", "string")).alias("id"), get("$.requestId", "string").alias("request_id"), get("$.st", "int").alias("st"),
-        get("$.dur", "double").alias("dur"), get("$.url", "string").alias("url"), F.coalesce(get("$.m", "string"), get("$.method", "string")).alias("method"),
-        get("$.msg", "string").alias("msg"), get("$.table", "string").alias("table"), get("$.op", "string").alias("op"), get("$.sessionId", "string").alias("wire_session_id"),
-    )
+#: Hot payload fields: name -> type, and where a payload has it.
+_HOT = {"id": ("string", ("id",)), "request_id": ("string", ("requestId",)), "st": ("int", ("st",)), "dur": ("double", ("dur",)), "url": ("string", ("url",)), "method": ("string", ("m", "method")),
+        "msg": ("string", ("msg",)), "table": ("string", ("table",)), "op": ("string", ("op",)), "wire_session_id": ("string", ("sessionId",))}
+
+
+def promote(events: DataFrame, known: dict[str, Column] | None = None) -> DataFrame:
+    """Hot payload fields as columns beside the open payload.
+
+    A source that makes the payloads passes the ones it sets as `known` (the others are null): a filter on them then comes before payloads are made.
+    """
+    if known is None:
+        hot = {name: F.coalesce(*[F.try_variant_get("d", f"$.{path}", kind) for path in paths]) for name, (kind, paths) in _HOT.items()}
+    else:
+        hot = {name: known.get(name, F.lit(None)).cast(kind) for name, (kind, _) in _HOT.items()}
+    return events.select("*", *[c.alias(name) for name, c in hot.items()])
+
+
+def hot_expression(name: str, fields: dict[str, str]) -> str:
+    """A hot field of a payload that is made of these fields (name -> SQL), as SQL."""
+    kind, paths = _HOT[name]
+    own = [fields[path] for path in paths if path in fields]
+    return f"CAST({own[0]} AS {kind})" if own else "NULL"
 
 
 #: An OTLP attribute value as JSON: one field of a union is set.
