@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.detectors import CLOCK_COLUMNS, detector, found, shared
+from evidentia.operators.detectors import CLOCK_COLUMNS, detector, found, row_fed, shared
 from evidentia.operators.detectors_business import MONEY, _map, exchanges
 from evidentia.operators.joins import as_of
 from evidentia.operators.row_versions import column_versions, references, row_changes, singular, snake
@@ -21,21 +21,25 @@ def _references(events: DataFrame) -> DataFrame:
     return shared(events, "references", references)
 
 
-@detector
+@row_fed
 def existing_children_reparented_to_new_row(events: DataFrame) -> DataFrame:
     """Rows that a request moved from another parent to one that it inserted itself."""
     moved = column_versions(events).where("op = 'update' AND was IS NOT NULL AND value IS NOT NULL AND request_id IS NOT NULL").where(F.col("col").rlike("(?i)_id$|[a-z]Id$"))
-    made = row_changes(events).where("op = 'insert' AND request_id IS NOT NULL AND pk IS NOT NULL").select("session_id", "request_id", F.col("table").alias("parent"), F.col("pk").alias("value")).distinct()
-    hit = moved.join(_references(events), ["table", "col"]).join(made, ["session_id", "request_id", "parent", "value"])
+    refs = _references(events)
+    made = row_changes(events).where("op = 'insert' AND request_id IS NOT NULL AND pk IS NOT NULL").select("session_id", "request_id", F.col("table").alias("parent"), F.col("pk").alias("value"))
+    made = made.join(F.broadcast(refs.select("parent").distinct()), "parent", "left_semi").distinct()  # one row a table
+    hit = moved.join(refs, ["table", "col"]).join(made, ["session_id", "request_id", "parent", "value"])
     g = hit.groupBy("session_id", "request_id", "table", "col", "parent", "value").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.min("was").alias("was"))
     return found(g, "existing_children_reparented_to_new_row", "high", 86, F.concat_ws(" ", "request_id", "table", "col", "value"), F.format_string("%d %s rows moved from %s %s to the new %s", "n", "table", "col", "was", "value"))
 
 
-@detector
+@row_fed
 def stale_value_writeback(events: DataFrame) -> DataFrame:
     """A request that writes back the very value that another request had just replaced. States, clocks and switches go back and forth by nature."""
     line = Window.partitionBy("session_id", "table", "pk", "col").orderBy(F.col("begins").asc_nulls_first())
-    v = column_versions(events).where(~F.col("col").rlike(CLOCK_COLUMNS) & ~F.col("col").rlike(STATE_COLUMNS))
+    rows = row_changes(events)
+    updated = rows.where("op = 'update'").select("table").distinct()  # one row a table
+    v = column_versions(events, rows.join(F.broadcast(updated), "table", "left_semi")).where(~F.col("col").rlike(CLOCK_COLUMNS) & ~F.col("col").rlike(STATE_COLUMNS))
     v = v.withColumn("maker", F.lag("request_id").over(line)).withColumn("replaced", F.lag("was").over(line)).withColumn("by", F.lag("op").over(line))
     hit = v.where("op = 'update' AND by = 'update' AND value = replaced AND value IS NOT NULL AND request_id <> maker").where(~F.lower("value").isin("true", "false"))
     return found(hit, "stale_value_writeback", "high", 80, F.concat_ws(" ", "table", "pk", "col"), F.format_string("%s.%s went back to %s, which request %s had replaced by %s", "table", "col", "value", "maker", "was"))
@@ -53,7 +57,7 @@ def request_target_row_mismatch(events: DataFrame) -> DataFrame:
     return found(hit, "request_target_row_mismatch", "high", 86, F.concat_ws(" ", "request_id", "table", "wanted"), F.format_string("asked for %s %s, wrote %s %s", "name", "wanted", "table", F.array_join(F.array_sort("pks"), ", ")))
 
 
-@detector
+@row_fed
 def mutations_missing_entity_audit(events: DataFrame) -> DataFrame:
     """A request that changed several rows of a table and wrote audit rows, none of them about that table."""
     rows = row_changes(events).where("request_id IS NOT NULL")
@@ -70,7 +74,7 @@ def _number(c: Column) -> Column:
     return F.when(c.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), c.try_cast("double"))
 
 
-@detector
+@row_fed
 def batch_applied_count_exceeds_staged_rows(events: DataFrame) -> DataFrame:
     """A batch that says it applied more rows than were staged for it by then."""
     staged = row_changes(events).where("op = 'insert' AND table RLIKE '(^|_)(stage|staged|staging|stagings)($|_)'").select("session_id", "seq", "table", F.explode(F.map_filter("after", lambda k, v: k.rlike("_id$") & v.isNotNull())).alias("col", "pk"))
@@ -83,13 +87,15 @@ def batch_applied_count_exceeds_staged_rows(events: DataFrame) -> DataFrame:
     return found(hit, "batch_applied_count_exceeds_staged_rows", "high", 84, F.concat_ws(" ", "table", "pk", "col"), F.format_string("%.0f applied, %d staged", "n", "match.staged"))
 
 
-@detector
+@row_fed
 def report_total_contradicts_source_row(events: DataFrame) -> DataFrame:
     """A report's money that is not what the row it names held when the report was written."""
     reports = row_changes(events).where("op = 'insert' AND table RLIKE '(^|_)(report|summary|summarie|statement|export)s?$'")
     note = F.coalesce(F.col("after")["note"], F.col("after")["source"], F.col("after")["ref"], F.col("after")["reference"])
     sums = reports.withColumn("stem", snake(F.regexp_extract(note, _NOTED, 1))).withColumn("pk", F.regexp_extract(note, _NOTED, 2)).where("stem <> ''")
     sums = sums.select("session_id", "seq", "t", "request_id", F.col("table").alias("report"), "stem", "pk", F.explode("after").alias("col", "v")).where(F.col("col").rlike(MONEY)).withColumn("said", _number(F.col("v"))).where("said IS NOT NULL")
-    held = column_versions(events).where(F.col("col").rlike(MONEY)).select("session_id", singular(F.col("table")).alias("stem"), "pk", "col", F.coalesce("begins", F.lit(-1)).alias("seq"), _number(F.col("value")).alias("held"))
+    named = sums.select("stem").distinct().join(row_changes(events).select("table", singular(F.col("table")).alias("stem")).distinct(), "stem").select("table")  # one row a table
+    told = row_changes(events).join(F.broadcast(named), "table", "left_semi")
+    held = column_versions(events, told).where(F.col("col").rlike(MONEY)).select("session_id", singular(F.col("table")).alias("stem"), "pk", "col", F.coalesce("begins", F.lit(-1)).alias("seq"), _number(F.col("value")).alias("held"))
     hit = as_of(sums, held, ["session_id", "stem", "pk", "col"], "seq").where("match.held <> said")
     return found(hit, "report_total_contradicts_source_row", "high", 82, F.concat_ws(" ", "report", "stem", "pk", "col"), F.format_string("%s reports %.2f for %s %s, which held %.2f", "report", "said", "stem", "pk", "match.held"))

@@ -53,11 +53,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, strict: b
     Both sides are ordered together once by key and time, so a key with many rows on both sides makes no pairs.
     """
     own = [F.col(k).alias(k) for k in keys]
-    a = left.select(*own, F.col(at).alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__left"))
+    a = left.select(*own, F.col(at).alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.struct(F.lit(True).alias("__is"), *[c for c in left.columns if c not in keys]).alias("__left"))
     b = right.select(*own, F.col(at).alias("__at"), F.lit(1 if strict else 0).alias("__side"), F.struct(*right.columns).alias("__right"))
     rows = a.withColumn("__right", F.lit(None).cast(b.schema["__right"].dataType)).unionByName(b.withColumn("__left", F.lit(None).cast(a.schema["__left"].dataType)))
     w = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("match", F.last("__right", ignorenulls=True).over(w)).where("__left IS NOT NULL").select("__left.*", "match")
+    return rows.withColumn("match", F.last("__right", ignorenulls=True).over(w)).where("__left IS NOT NULL").select(*[F.col(c).cast(left.schema[c].dataType).alias(c) if c in keys else F.col(f"__left.`{c}`") for c in left.columns], "match")
 
 
 def near_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, other: str, tolerance: float) -> DataFrame:

@@ -41,15 +41,16 @@ def _row_changes(events: DataFrame) -> DataFrame:
     return rows.select("session_id", "seq", "t", "request_id", "op", "table", pk.alias("pk"), "x.before", "x.after")
 
 
-def column_versions(events: DataFrame) -> DataFrame:
+def column_versions(events: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """session_id, table, pk, col, value, was, op, request_id, t, begins, ends: `value` held from change `begins` (null: before the log) to `ends` (null: still).
 
     `was` is what the change replaced, and `op` is null for a value from before the log. A delete ends a row's values with nulls.
     A change that leaves a column as it was makes no version of it.
 
-    It is made in one pass and one shuffle, and is not stored: a reader's filter on tables and columns reaches the changes.
+    It is made in one pass and one shuffle, and is not stored: a reader's filter on tables and columns reaches the changes. A reader of some tables only
+    may pass all `changes` of those.
     """
-    rows = row_changes(events).where("pk IS NOT NULL")
+    rows = (row_changes(events) if changes is None else changes).where("pk IS NOT NULL")
     none = F.create_map().cast("map<string,string>")
     old, new = F.coalesce("before", none), F.when(F.col("op") == "delete", none).otherwise(F.coalesce("after", none))
     # a delete ends every column that its image names; any other change the columns of its after image
@@ -75,16 +76,18 @@ def references(events: DataFrame) -> DataFrame:
     of one and the same table in the session where it is written, for `INCLUSION_VALUES` distinct ones or more, and no other table has them all.
     """
     rows = row_changes(events)
-    written = rows.select("session_id", "table", F.explode(F.map_filter(F.coalesce("after", "before"), lambda k, v: k.rlike("(?i)_id$|[a-z]Id$") & v.isNotNull())).alias("col", "value")).distinct()
+    pointing = rows.select("session_id", "table", F.explode(F.map_filter(F.coalesce("after", "before"), lambda k, v: k.rlike("(?i)_id$|[a-z]Id$") & v.isNotNull())).alias("col", "value"))
     tables = rows.select(F.col("table").alias("parent")).distinct()
     stem = F.regexp_replace(snake(F.col("col")), "_id$", "")
     of = singular(F.col("parent"))
-    columns = written.select("table", "col").distinct().withColumn("stem", stem)
+    columns = pointing.select("table", "col").distinct().withColumn("stem", stem)
     # a table is known by its whole name and by its last word; the whole name is the better match
     names = tables.select("parent", F.explode(F.array_distinct(F.array(of, F.substring_index(of, "_", -1)))).alias("stem")).withColumn("whole", F.col("stem") == of)
     best = Window.partitionBy("table", "col").orderBy(F.desc("whole"), "parent")
     named = columns.join(names, "stem").where("parent <> table").withColumn("n", F.row_number().over(best)).where("n = 1").select("table", "col", "parent")
-    open_ = written.join(named.select("table", "col"), ["table", "col"], "left_anti")
+    if columns.join(named, ["table", "col"], "left_anti").isEmpty():
+        return named  # names tell all columns: no value is looked up
+    open_ = pointing.distinct().join(named.select("table", "col"), ["table", "col"], "left_anti")
     keys = rows.where("pk IS NOT NULL").select("session_id", F.col("table").alias("parent"), F.col("pk").alias("value")).distinct()
     total = open_.groupBy("table", "col").agg(F.count("*").alias("all"), F.countDistinct("value").alias("values")).where(F.col("values") >= INCLUSION_VALUES)
     held = open_.join(keys, ["session_id", "value"]).where("parent <> table").groupBy("table", "col", "parent").agg(F.count("*").alias("n"))
