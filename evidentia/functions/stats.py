@@ -64,11 +64,22 @@ def benjamini_hochberg(tests: DataFrame, p: str, order: list[str], q: float = 0.
 
 
 def mcnemar_exact(b: Column, c: Column) -> Column:
-    """Exact two-sided p of b against c discordant pairs: twice the lower binomial tail, from successive ratios of terms."""
+    """Exact two-sided p of b against c discordant pairs: twice the lower binomial tail.
+
+    Terms follow from the largest one, that of the smaller count, downwards by their ratios; that one is taken by logarithms, as 2^-n is no double from n = 1075 on.
+    """
     n, low = b + c, F.least(b, c).cast("int")
-    first = F.struct(F.lit(0.0).alias("sum"), F.pow(F.lit(0.5), n).alias("term"))
+    first = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
     tail = F.aggregate(
         F.sequence(F.lit(0), low), first,
-        lambda s, k: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * (n - k) / (k + F.lit(1))).alias("term")), lambda s: s["sum"],
+        lambda s, k: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * (low - k) / (n - low + k + F.lit(1))).alias("term")), lambda s: s["sum"],
     )
-    return F.when(n == 0, F.lit(None).cast("double")).otherwise(F.least(F.lit(1.0), F.lit(2.0) * tail))
+    largest = F.exp(_log_factorial(n) - _log_factorial(low) - _log_factorial(n - low) + n * F.log(F.lit(0.5)))
+    return F.when(n == 0, F.lit(None).cast("double")).otherwise(F.least(F.lit(1.0), F.lit(2.0) * tail * largest))
+
+
+def _log_factorial(n: Column) -> Column:
+    """ln n!: by the product up to 20, by Stirling's series beyond (an error below 1e-13)."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + F.lit(0.5) * F.log(F.lit(2.0) * F.pi() * x) + F.lit(1.0) / (12 * x) - F.lit(1.0) / (360 * x * x * x) + F.lit(1.0) / (1260 * x * x * x * x * x)
+    return F.when(n <= 20, F.log(F.factorial(n.cast("int")).cast("double"))).otherwise(series)
