@@ -108,7 +108,8 @@ def duplicate_restock(events: DataFrame) -> DataFrame:
 
 
 def _calls(events: DataFrame, service: str) -> DataFrame:
-    return events.where("k = 'backend.http'").where(F.lower(field("service")).rlike(service)).select("session_id", "seq", "t", "request_id", field("status", "int").alias("status"), F.coalesce(field("errorKind"), F.lit("")).alias("error"), field("totalCents", "double").alias("total"), F.lower(F.coalesce(field("chargeStatus"), F.lit(""))).alias("charge"))
+    """Calls to a service, told by the back end that made them or by the gateway that they went through."""
+    return events.where("k IN ('backend.http', 'gateway.http')").where(F.lower(field("service")).rlike(service)).select("session_id", "seq", "t", "request_id", field("status", "int").alias("status"), F.coalesce(field("errorKind"), F.lit("")).alias("error"), field("totalCents", "double").alias("total"), F.lower(F.coalesce(field("chargeStatus"), F.lit(""))).alias("charge"), F.coalesce(field("orderId"), field("order_id")).alias("of"))
 
 
 def _orders(events: DataFrame) -> DataFrame:
@@ -117,10 +118,13 @@ def _orders(events: DataFrame) -> DataFrame:
 
 @detector
 def declined_payment_ordered(events: DataFrame) -> DataFrame:
+    """An order written soon after its charge was declined: the last charge that names the order, or else the session's last that names none."""
     order = Window.partitionBy("session_id").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    calls = _calls(events, "payment|charge|gateway").select("session_id", "seq", "t", F.col("charge").isin("declined", "failed", "rejected").alias("declined"), F.lit(None).cast("string").alias("request_id"), F.lit(None).cast("string").alias("order_id"))
+    own = Window.partitionBy("session_id", "order_id").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    calls = _calls(events, "payment|charge|gateway").select("session_id", "seq", "t", F.col("charge").isin("declined", "failed", "rejected").alias("declined"), F.lit(None).cast("string").alias("request_id"), F.coalesce("of", F.lit("")).alias("order_id"))
     both = calls.unionByName(_orders(events).select("session_id", F.col("order_seq").alias("seq"), F.col("order_t").alias("t"), F.lit(None).cast("boolean").alias("declined"), "request_id", "order_id"))
-    last = both.withColumn("last", F.last(F.when(F.col("declined").isNotNull(), F.struct("declined", "t")), ignorenulls=True).over(order))
+    charge = F.when(F.col("declined").isNotNull(), F.struct("declined", "t"))
+    last = both.withColumn("own", F.last(charge, ignorenulls=True).over(own)).withColumn("any", F.last(F.when(F.col("order_id") == "", charge), ignorenulls=True).over(order)).withColumn("last", F.coalesce("own", "any"))
     bad = last.where(F.col("declined").isNull() & F.col("last.declined") & (F.col("t") - F.col("last.t") <= DECLINE_MS))
     return found(bad, "declined_payment_ordered", "high", 88, F.concat(F.lit("order "), F.col("order_id")), F.lit("an order was written after its charge was declined"))
 
