@@ -86,14 +86,15 @@ def apportion_within(rows: DataFrame, seats: str, weight: str, ceiling: str, tie
 
 
 def plan(docs: DataFrame, seed: int = 7, block: int = 64, shard_words: int = 1 << 20, share: float = 1.5,
-         weights: tuple[int, ...] = (3, 1, 2), most: float = 2.0) -> DataFrame:
+         weights: tuple[int, ...] = (3, 1, 2), most: float = 2.0, key: str | None = None) -> DataFrame:
     """For each document: its size, source_size, target and place (offset on its shard's line, m blocks, shard words, quota).
 
-    Sources by code point, nulls last, weigh `weights`, repeating.
+    Sources by code point, nulls last, weigh `weights`, repeating. Of wide ids only a hash is kept: a `key` column then names the rows in their place.
     """
     tables = Tables(docs.sparkSession, "mixing")
+    named = [F.col("doc_id")] if key is None else [F.col(key).alias("doc_id"), F.xxhash64("doc_id").alias("__d")]
     sizes = docs.select(
-        F.col("doc_id"), F.col("source"),
+        *named, F.col("source"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), "text")).alias("__h"),  # the text parts the documents of one id, or of none
     )
@@ -118,7 +119,7 @@ def plan(docs: DataFrame, seed: int = 7, block: int = 64, shard_words: int = 1 <
     shard_rows = shard_rows.withColumn("m", F.greatest(F.lit(1), "quota").cast("long")).drop("quota")
     shard_rows = apportion(shard_rows.withColumn("__w", F.col("m").cast("double")), ["source"], "source_quota", "__w", ["shard"])
     shard_rows = shard_rows.select(F.col("source").alias("__src"), F.col("shard").alias("__shard"), "shard_size", "m", "quota")
-    line = Window.partitionBy("source", "shard").orderBy("__h", F.col("doc_id"), F.col("size"))
+    line = Window.partitionBy("source", "shard").orderBy("__h", *([] if key is None else ["__d"]), F.col("doc_id"), F.col("size"))
     placed = placed.withColumn("offset", (F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).cast("long"))
     out = placed.join(shard_rows, F.col("source").eqNullSafe(F.col("__src")) & (F.col("shard") == F.col("__shard")), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", "shard", "offset", "shard_size", "m", "quota")

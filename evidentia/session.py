@@ -106,6 +106,19 @@ def job(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, folder)
 
 
+@contextmanager
+def made() -> Iterator[list[str]]:
+    """The folders of the tables made inside; they belong to the open job as they would without this."""
+    own: list[str] = []
+    token = _owner.set(own)
+    try:
+        yield own
+    finally:
+        _owner.reset(token)
+        owner = _owner.get()
+        (_unowned if owner is None else owner).extend(own)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete the tables that no job owns: for a caller who has read all results of this process."""
     while _unowned:
@@ -117,6 +130,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last written, in epoch milliseconds; 0 if it is not there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() if path_exists(spark, path) else 0
+
+
 def delete_path(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
