@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +25,57 @@ def fnv1a(s: Column) -> Column:
     return F.aggregate(chars, F.lit(2166136261).cast("long"), step)
 
 
-def fnv1a_base36(s: Column) -> Column:
-    return F.lower(F.conv(fnv1a(s).cast("string"), 10, 36))
+#: Texts and bytes that are hashed side by side; below so many texts still open, each is finished on its own.
+_SIDE_BY_SIDE, _AT_ONCE, _FEW = 4096, 32 << 20, 32
+
+
+def hash_side_by_side(texts: list[bytes]) -> list[int]:
+    """FNV-1a of the 16-bit units of each text: unit by unit, all texts that are so long at once."""
+    units, sizes = np.frombuffer(b"".join(texts), "<u2"), np.array([len(t) // 2 for t in texts], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    at, left = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    longer = len(texts) - np.cumsum(np.bincount(sizes)) if texts else sizes  # texts of more than i units
+    h, i = np.full(len(texts), 2166136261, np.uint32), 0
+    for n in longer[: np.searchsorted(-longer, 1 - _FEW)].tolist():
+        h[:n] = (h[:n] ^ units[at[:n] + i]) * np.uint32(16777619)
+        i += 1
+    for k in range(int((left > i).sum())):
+        one = int(h[k])
+        for u in units[at[k] + i : at[k] + left[k]].tolist():
+            one = ((one ^ u) * 16777619) & 4294967295
+        h[k] = one
+    out = np.empty(len(texts), np.int64)
+    out[order] = h
+    return out.tolist()
+
+
+def _hash_array(column: pa.Array) -> pa.Array:
+    out, held, size = [], [], 0
+    for text in column.cast(pa.binary()).to_pylist():
+        held.append(None if text is None else text.decode("utf-8", "replace").encode("utf-16-le"))
+        size += len(held[-1] or b"")
+        if len(held) == _SIDE_BY_SIDE or size >= _AT_ONCE:
+            out, held, size = out + _hash_all(held), [], 0
+    return pa.array(out + _hash_all(held), pa.int64())
+
+
+def _hash_all(held: list[bytes | None]) -> list[int | None]:
+    hashes = iter(hash_side_by_side([t for t in held if t is not None]))
+    return [None if t is None else next(hashes) for t in held]
+
+
+def fnv1a_texts(s: Column) -> Column:
+    """fnv1a() of whole texts: the same numbers, for columns whose values are long."""
+
+    @F.arrow_udf("long")
+    def hashed(v: pa.Array) -> pa.Array:
+        return _hash_array(v)
+
+    return hashed(s)
+
+
+def fnv1a_base36(s: Column, of: Callable[[Column], Column] = fnv1a) -> Column:
+    return F.lower(F.conv(of(s).cast("string"), 10, 36))
 
 
 def fnv1a_hex(s: Column, salt: str = "") -> Column:

@@ -409,7 +409,7 @@ def causal_edges(spark, sf_dir):
 @query(None)
 def text_signatures(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d.select("doc_id", X.fnv1a_base36(F.col("text")).alias("hash"), F.size(X.issue_tokens(F.col("text"))).alias("n_tokens"), X.summary_signature(F.col("text")).alias("signature"), X.redact(F.col("text")).alias("redacted"))
+    return d.select("doc_id", X.fnv1a_base36(F.col("text"), X.fnv1a_texts).alias("hash"), F.size(X.issue_tokens(F.col("text"))).alias("n_tokens"), X.summary_signature(F.col("text")).alias("signature"), X.redact(F.col("text")).alias("redacted"))
 
 
 @query("""SELECT page_id, CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS path, array_to_string(list_transform(string_split(CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]{2,}') THEN '<id>' ELSE s END), '/') AS route,
