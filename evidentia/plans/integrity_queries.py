@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidentia.functions import source_maps as M
@@ -120,11 +121,11 @@ def column_usage(spark, sf_dir):
     return W.column_ledger(orders_as_telemetry(spark, sf_dir)).where("table IN ('orders', 'order_items')")
 
 
-def _map_of(pdf: pd.DataFrame) -> pd.DataFrame:
+def _map_of(table: pa.Table) -> pa.Table:
     """One file's segments as a source map."""
-    rows = sorted(pdf[["line", "column", "source", "source_line", "source_column"]].itertuples(index=False, name=None))
-    text = json.dumps({"version": 3, "sources": ["webpack://shop/./src/a.ts", "src/b.ts", "./c.ts"], "names": [], "mappings": M.encode([tuple(map(int, r)) for r in rows])})
-    return pd.DataFrame({"file": [f"f{pdf['file'].iloc[0]}.js"], "map": [text]})
+    rows = np.column_stack([table[c].to_numpy().astype(np.int64, casting="safe") for c in ("line", "column", "source", "source_line", "source_column")])
+    text = json.dumps({"version": 3, "sources": ["webpack://shop/./src/a.ts", "src/b.ts", "./c.ts"], "names": [], "mappings": M.encode_array(rows[np.lexsort(rows.T[::-1])])})
+    return pa.table({"file": [f"f{table['file'][0].as_py()}.js"], "map": [text]})
 
 
 @query("""
@@ -136,7 +137,7 @@ def placed_frames(spark, sf_dir):
     """Frames made of the orders, placed in source maps made of the line items, one map a supplier."""
     lines = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("file"), (F.col("l_linenumber") - 1).alias("line"), (F.col("l_partkey") % 900).alias("column")).agg(F.min("l_orderkey").alias("o"))
     lines = lines.select("file", "line", "column", (F.col("o") % 3).alias("source"), (F.col("o") % 500).alias("source_line"), (F.col("o") % 70).alias("source_column"))
-    mapped = M.segments(lines.groupBy("file").applyInPandas(_map_of, "file string, map string"))
+    mapped = M.segments(lines.groupBy("file").applyInArrow(_map_of, "file string, map string"))
     k = F.col("o_orderkey")
     frames = _read(spark, sf_dir, "orders").select(k.alias("frame"), F.concat(F.lit("f"), (F.col("o_custkey") % 120).cast("string"), F.lit(".js")).alias("file"), (k % 8 + 1).alias("line"), (k % 1000 + 1).alias("column"))
     return M.place_frames(frames, mapped).select("frame", "file", "source", "source_line", "source_column")
