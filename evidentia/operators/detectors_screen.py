@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
-from evidentia.operators.detectors import answered, detector, found, shared
+from evidentia.operators.detectors import answered, detector, found, shared, spread
 from evidentia.operators.detectors_business import SCREEN_CAP, _json, _numbers
 from evidentia.operators.joins import near_join
 
@@ -121,51 +121,46 @@ def _plain_number(c: Column) -> Column:
     return F.regexp_replace(c.cast("decimal(28,4)").cast("string"), r"\.?0+$", "")
 
 
-_KEYED = ("session_id", "key", "t", "order", "seq", "i", "label", "shown", "field", "exact")
+def _states(fields: DataFrame, labels: DataFrame, told: tuple[str, ...]) -> DataFrame:
+    """Fields (order 0), with what is `told` of them in `field`, and labels (order 1) as rows of one table."""
+    f = fields.select("session_id", "words", "t", F.lit(0).alias("order"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("label"),
+                      F.lit(None).cast("double").alias("shown"), F.struct(*told).alias("field"))
+    lab = labels.select("session_id", "words", "t", F.lit(1).alias("order"), F.col("seq").cast("long").alias("seq"), "i", "label", "shown", F.lit(None).cast(f.schema["field"].dataType).alias("field"))
+    return f.unionByName(lab)
 
 
-def _as_of(fields: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
-    """Labels with what the fields of their words held when they were shown: `last`, `low` and `high` of exact names, and the same of longer names."""
-    f = fields.select(*by, "key", "t", F.lit(0).alias("order"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("label"),
-                      F.lit(None).cast("double").alias("shown"), F.struct("t", "request_id", "place", "path", "record", "name", "value", "amount").alias("field"), "exact")
-    lab = labels.select(*by, F.col("words").alias("key"), "t", F.lit(1).alias("order"), F.col("seq").cast("long").alias("seq"), "i", "label", "shown", F.lit(None).cast(f.schema["field"].dataType).alias("field"), F.lit(None).cast("boolean").alias("exact"))
-    w = Window.partitionBy(*by, "key").orderBy("t", "order", "field.request_id", "field.place", "seq", "i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = f.unionByName(lab)
+def _as_of(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Labels with what the fields of their key held when they were shown: `last`, `low` and `high` of exact names, and the same of longer names."""
+    # ordered by plain columns and made at once: a field of a struct is another expression in each window, and every window then sorts the rows again
+    rows = rows.withColumns({"__id": F.col("field.request_id"), "__place": F.col("field.place")})
+    w = Window.partitionBy(*by, "key").orderBy("t", "order", "__id", "__place", "seq", "i").rowsBetween(Window.unboundedPreceding, 0)
+    made = {}
     for prefix, of in (("", F.col("exact")), ("longer_", ~F.col("exact"))):
         amount = F.when(of, F.col("field.amount"))
-        rows = rows.withColumn(f"{prefix}low", F.min(amount).over(w)).withColumn(f"{prefix}high", F.max(amount).over(w)).withColumn(f"{prefix}last", F.last(F.when(of, F.col("field")), ignorenulls=True).over(w))
-    return rows.where("order = 1").drop("order", "field", "exact")
+        made |= {f"{prefix}low": F.min(amount).over(w), f"{prefix}high": F.max(amount).over(w), f"{prefix}last": F.last(F.when(of, F.col("field")), ignorenulls=True).over(w)}
+    return rows.withColumns(made).where("order = 1").drop("order", "field", "exact", "__id", "__place")
 
 
-def _named(fields: DataFrame) -> DataFrame:
-    return fields.withColumn("key", F.col("words")).withColumn("exact", F.lit(True)).where("key <> ''")
-
-
-def _since_navigation(events: DataFrame, fields: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both with the page they belong to: what arrives at the instant of a navigation belongs to the page before."""
+def _since_navigation(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows with the page they belong to: what arrives at the instant of a navigation belongs to the page before."""
     navs = events.where("k = 'nav'").select("session_id", F.col("t").cast("long").alias("t")).distinct()
-    ends = navs.withColumn("end", F.lead("t").over(Window.partitionBy("session_id").orderBy("t"))).withColumn("page", F.row_number().over(Window.partitionBy("session_id").orderBy("t")))
-    pages = ends.select("session_id", F.col("t").alias("begin"), "page")
-
-    def placed(rows: DataFrame) -> DataFrame:
-        marked = rows.select("session_id", "t", F.struct(*rows.columns).alias("row"), F.lit(0).alias("order"), F.lit(None).cast("int").alias("page"))
-        turns = pages.select("session_id", F.col("begin").alias("t"), F.lit(None).cast(marked.schema["row"].dataType).alias("row"), F.lit(1).alias("order"), "page")
-        before = Window.partitionBy("session_id").orderBy("t", "order").rowsBetween(Window.unboundedPreceding, 0)
-        both = marked.unionByName(turns).withColumn("page", F.coalesce(F.last("page", ignorenulls=True).over(before), F.lit(0)))
-        return both.where("order = 0").select("row.*", "page")
-
-    return placed(fields), placed(labels)
+    turns = navs.select("session_id", "t", *[F.lit(2 if c == "order" else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("session_id", "t")])
+    before = Window.partitionBy("session_id").orderBy("t", "order").rowsBetween(Window.unboundedPreceding, 0)
+    return spread(events, rows.unionByName(turns), response_numbers(events), "session_id").withColumn("page", F.count_if(F.col("order") == 2).over(before)).where("order < 2")
 
 
 @detector
 def ui_api_divergence(events: DataFrame) -> DataFrame:
     """A labelled number that is not what the page's own responses said: fields of exactly the label's words decide, else those that begin with
     them and are no counts; where they disagree nothing is said. The first label of each name, and the first few of a session."""
-    fields, labels = _since_navigation(events, response_numbers(events), screen_labels(events))
+    told = ("request_id", "place", "name", "value", "amount")
+    rows = _since_navigation(events, _states(response_numbers(events), screen_labels(events), told))
     parts = F.split("words", " ")
-    shorter = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), " "))
-    longer = fields.where(F.col("words").contains(" ") & ~_last_word(F.col("words")).isin(*COUNT_WORDS)).withColumn("key", F.explode(shorter)).withColumn("exact", F.lit(False))
-    m = _as_of(_named(fields).unionByName(longer), labels, ["session_id", "page"])
+    shorter = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), " ").alias("key"), F.lit(False).alias("exact")))
+    own = F.array(F.struct(F.col("words").alias("key"), F.lit(True).alias("exact")))
+    longer = (F.col("order") == 0) & F.col("words").contains(" ") & ~_last_word(F.col("words")).isin(*COUNT_WORDS)
+    keyed = rows.withColumn("x", F.explode(F.when(longer, F.concat(own, shorter)).otherwise(own))).where("x.key <> ''")
+    m = _as_of(keyed.select(*[c for c in rows.columns if c != "words"], "x.*"), ["session_id", "page"])
     exact = F.col("last").isNotNull()
     m = m.select("session_id", "key", "t", "seq", "i", "label", "shown", F.when(exact, F.col("last")).otherwise(F.col("longer_last")).alias("f"), F.when(exact, F.col("high") - F.col("low")).otherwise(F.col("longer_high") - F.col("longer_low")).alias("spread"))
     apart = m.where((F.col("spread") <= CENT + 1e-9) & ~same_amount(F.col("shown"), F.col("f.amount")) & ~same_amount(F.col("shown"), F.col("f.value")))
@@ -175,11 +170,16 @@ def ui_api_divergence(events: DataFrame) -> DataFrame:
     return found(few, "ui_api_divergence", "medium", 55, F.col("key"), F.format_string("%s shows %s, but %s of the response is %s", "label", _plain_number(F.col("shown")), F.col("f.name"), _plain_number(F.col("f.value"))))
 
 
-def _shown_otherwise(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All response numbers, and labels that differ from the latest field of their name, with that field as `f`."""
+def _shown_otherwise(events: DataFrame) -> DataFrame:
+    """Labels that differ from the latest field of their name, with that field as `f`."""
+    return shared(events, "shown_otherwise", _labels_apart)
+
+
+def _labels_apart(events: DataFrame) -> DataFrame:
     fields = response_numbers(events)
-    m = _as_of(_named(fields), screen_labels(events), ["session_id"]).where("last IS NOT NULL").withColumn("f", F.col("last"))
-    return fields, m.where(~same_amount(F.col("shown"), F.col("f.amount")) & ~same_amount(F.col("shown"), F.col("f.value"))).select("session_id", "key", "t", "seq", "i", "label", "shown", "f")
+    rows = _states(fields, screen_labels(events), ("t", "request_id", "place", "path", "record", "name", "value", "amount")).withColumnRenamed("words", "key").where("key <> ''")
+    m = _as_of(spread(events, rows, fields, "session_id", "key").withColumn("exact", F.lit(True)), ["session_id"]).where("last IS NOT NULL").withColumn("f", F.col("last"))
+    return m.where(~same_amount(F.col("shown"), F.col("f.amount")) & ~same_amount(F.col("shown"), F.col("f.value"))).select("session_id", "key", "t", "seq", "i", "label", "shown", "f")
 
 
 def _units(rows: DataFrame) -> DataFrame:
@@ -191,10 +191,10 @@ def _units(rows: DataFrame) -> DataFrame:
 @detector
 def stale_value_rendered(events: DataFrame) -> DataFrame:
     """A label that shows what its field held before the value changed. A field is a name in one record of one URL; one that never changed can't be stale."""
-    fields, m = _shown_otherwise(events)
+    fields, m = response_numbers(events), _shown_otherwise(events)
     line = ["session_id", "path", "record", "name"]
     order = Window.partitionBy(*line).orderBy("t", "request_id", "place")
-    moves = fields.withColumn("to", F.lead("amount").over(order)).withColumn("until", F.lead("t").over(order)).where(F.abs(F.col("to") - F.col("amount")) > CENT + 1e-9)
+    moves = spread(events, fields, fields, *line).withColumn("to", F.lead("amount").over(order)).withColumn("until", F.lead("t").over(order)).where(F.abs(F.col("to") - F.col("amount")) > CENT + 1e-9)
     gone = _units(moves).groupBy(*line, "cash").agg(F.min("until").alias("until"))
     keyed = m.select("*", *[F.col(f"f.{c}").alias(c) for c in line[1:]])
     hit = near_join(keyed, gone, line, "shown", "cash", CENT).where(F.col("until") <= F.col("t"))
@@ -206,7 +206,7 @@ def stale_value_rendered(events: DataFrame) -> DataFrame:
 @detector
 def displayed_field_mismatch(events: DataFrame) -> DataFrame:
     """A label that shows another field of the very record that holds the field it names."""
-    fields, m = _shown_otherwise(events)
+    fields, m = response_numbers(events), _shown_otherwise(events)
     keyed = m.select("*", F.col("f.request_id").alias("request_id"), F.col("f.place").alias("place"), F.col("f.t").alias("at"))
     siblings = _units(fields).groupBy("session_id", "request_id", F.col("t").alias("at"), "place", "cash").agg(F.min(F.struct("words", "name")).alias("other"))
     hit = near_join(keyed, siblings, ["session_id", "request_id", "at", "place"], "shown", "cash", CENT).where(F.col("other.words") != F.col("key"))

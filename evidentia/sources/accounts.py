@@ -26,8 +26,8 @@ def accounts_as_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = rows.withColumn("e", F.explode(F.expr(
         f"array(named_struct('j', 0L, 'dt', 0L, 'k', 'net.res', 'd', to_json(named_struct('id', concat('a', k), 'st', 200, 'body', {body}))), "
         "named_struct('j', 1L, 'dt', 500L, 'k', 'ui.num', 'd', to_json(named_struct('region', 'account', 'items', array(named_struct('label', 'Balance', 'value', shown))))))")))
-    rows = events.select(F.col("s").alias("session_id"), (F.col("n") * 2 + F.col("e.j")).cast("long").alias("seq"), (F.col("t") + F.col("e.dt")).alias("t"), F.col("e.k").alias("k"), F.expr("parse_json(e.d)").alias("d"))
-    return promote(rows)
+    rows = events.select(F.col("s").alias("session_id"), (F.col("n") * 2 + F.col("e.j")).cast("long").alias("seq"), (F.col("t") + F.col("e.dt")).alias("t"), F.col("e.k").alias("k"), F.expr("parse_json(e.d)").alias("d"), F.when(F.col("e.j") == 0, F.concat(F.lit("a"), F.col("k").cast("string"))).alias("own"), F.when(F.col("e.j") == 0, 200).alias("status"))
+    return promote(rows, {"id": F.col("own"), "st": F.col("status")}).drop("own", "status")
 
 
 #: For DuckDB: one row an order, session_id, t, code, balance, credit (cents), n and shown.
