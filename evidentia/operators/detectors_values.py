@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as X
 from evidentia.operators.detectors import detector, field, found, row_image, shared
 from evidentia.operators.detectors_business import SCREEN_CAP, _json, _map, exchanges
-from evidentia.operators.row_versions import row_changes, snake
+from evidentia.operators.row_versions import after_images, row_changes, snake
 
 #: Reads of a table from which on a column that none of them has is one that nothing reads.
 LEAST_READS = 3
@@ -37,8 +37,8 @@ def _empty(v: Column) -> Column:
 
 def column_ledger(events: DataFrame) -> DataFrame:
     """session_id, table, col, written, written_empty, read, read_empty: how often each column was written and read, and how often with nothing in it."""
-    w = row_changes(events).where("op <> 'delete'").select("session_id", "table", F.explode("after").alias("col", "v"))
-    r = events.where("k = 'db.read'").select("session_id", F.lower("table").alias("table"), F.explode(row_image("row")).alias("col", "v"))
+    w = after_images(events).select("session_id", "table", F.explode("after").alias("col", "v"))
+    r = events.where("k = 'db.read'").select("session_id", F.lower("table").alias("table"), F.explode(F.array(row_image("row"))).alias("row")).select("session_id", "table", F.explode("row").alias("col", "v"))
     both = w.withColumn("reads", F.lit(False)).unionByName(r.withColumn("reads", F.lit(True)))
     own = F.col("reads")
     return both.groupBy("session_id", "table", "col").agg(F.count_if(~own).alias("written"), F.count_if(~own & _empty(F.col("v"))).alias("written_empty"), F.count_if(own).alias("read"), F.count_if(own & _empty(F.col("v"))).alias("read_empty"))

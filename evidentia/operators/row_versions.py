@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.detectors import field, row_image, shared
+from evidentia.operators.detectors import field, held, row_image, shared
 
 #: Distinct values from which on a column whose name says nothing is taken to point to the one table that has all of them as keys.
 INCLUSION_VALUES = 3
@@ -41,6 +41,14 @@ def _row_changes(events: DataFrame) -> DataFrame:
     return rows.select("session_id", "seq", "t", "request_id", "op", "table", pk.alias("pk"), "x.before", "x.after")
 
 
+def after_images(events: DataFrame) -> DataFrame:
+    """session_id, table, after: what the changes that are no deletes left. Of a stored scan from its row changes; else nothing but this image is read of a payload."""
+    if held(events) is not None:
+        return row_changes(events).where("op <> 'delete'").select("session_id", "table", "after")
+    # an array of one, as in _row_changes
+    return events.where("k = 'db.diff' AND lower(op) <> 'delete'").select("session_id", F.lower("table").alias("table"), F.explode(F.array(row_image("after"))).alias("after"))
+
+
 def column_versions(events: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """session_id, table, pk, col, value, was, op, request_id, t, begins, ends: `value` held from change `begins` (null: before the log) to `ends` (null: still).
 
