@@ -24,8 +24,9 @@ def _references(events: DataFrame) -> DataFrame:
 @row_fed
 def existing_children_reparented_to_new_row(events: DataFrame) -> DataFrame:
     """Rows that a request moved from another parent to one that it inserted itself."""
-    moved = column_versions(events).where("op = 'update' AND was IS NOT NULL AND value IS NOT NULL AND request_id IS NOT NULL").where(F.col("col").rlike("(?i)_id$|[a-z]Id$"))
     refs = _references(events)
+    pointing = row_changes(events).join(F.broadcast(refs.select("table").distinct()), "table", "left_semi")  # one row a table
+    moved = column_versions(events, pointing).where("op = 'update' AND was IS NOT NULL AND value IS NOT NULL AND request_id IS NOT NULL").where(F.col("col").rlike("(?i)_id$|[a-z]Id$"))
     made = row_changes(events).where("op = 'insert' AND request_id IS NOT NULL AND pk IS NOT NULL").select("session_id", "request_id", F.col("table").alias("parent"), F.col("pk").alias("value"))
     made = made.join(F.broadcast(refs.select("parent").distinct()), "parent", "left_semi").distinct()  # one row a table
     hit = moved.join(refs, ["table", "col"]).join(made, ["session_id", "request_id", "parent", "value"])
@@ -63,7 +64,9 @@ def mutations_missing_entity_audit(events: DataFrame) -> DataFrame:
     rows = row_changes(events).where("request_id IS NOT NULL")
     is_audit = F.col("table").rlike(r"(^|_)(audits?|audit_(log|trail|events?)s?|activity_logs?|history)$")
     entity = F.lower(F.coalesce(F.col("after")["entity"], F.col("after")["entity_type"], F.col("after")["table_name"], F.col("after")["resource"]))
-    audits = rows.where(is_audit & (F.col("op") == "insert")).select("session_id", "request_id", singular(F.regexp_replace(entity, "^.*[.]", "")).alias("about")).where("about IS NOT NULL")
+    # an array of one, as in row_versions._row_changes: singular() names its argument many times
+    audits = rows.where(is_audit & (F.col("op") == "insert")).select("session_id", "request_id", F.explode(F.array(F.regexp_replace(entity, "^.*[.]", ""))).alias("about"))
+    audits = audits.where("about IS NOT NULL").withColumn("about", singular(F.col("about")))
     told = audits.groupBy("session_id", "request_id").agg(F.collect_set("about").alias("about"))
     changed = rows.where(~is_audit & (F.col("op") == "update")).groupBy("session_id", "request_id", "table").agg(F.countDistinct("pk").alias("n"), F.min("t").alias("t")).where(F.col("n") >= AUDITED_ROWS)
     hit = changed.join(told, ["session_id", "request_id"]).where(~F.array_contains("about", singular(F.col("table"))))
@@ -87,15 +90,22 @@ def batch_applied_count_exceeds_staged_rows(events: DataFrame) -> DataFrame:
     return found(hit, "batch_applied_count_exceeds_staged_rows", "high", 84, F.concat_ws(" ", "table", "pk", "col"), F.format_string("%.0f applied, %d staged", "n", "match.staged"))
 
 
-@row_fed
-def report_total_contradicts_source_row(events: DataFrame) -> DataFrame:
-    """A report's money that is not what the row it names held when the report was written."""
+def _report_sums(events: DataFrame) -> DataFrame:
+    """session_id, seq, t, request_id, report (its table), stem and pk (of the row that it names), col, said: the money that reports tell."""
     reports = row_changes(events).where("op = 'insert' AND table RLIKE '(^|_)(report|summary|summarie|statement|export)s?$'")
     note = F.coalesce(F.col("after")["note"], F.col("after")["source"], F.col("after")["ref"], F.col("after")["reference"])
     sums = reports.withColumn("stem", snake(F.regexp_extract(note, _NOTED, 1))).withColumn("pk", F.regexp_extract(note, _NOTED, 2)).where("stem <> ''")
-    sums = sums.select("session_id", "seq", "t", "request_id", F.col("table").alias("report"), "stem", "pk", F.explode("after").alias("col", "v")).where(F.col("col").rlike(MONEY)).withColumn("said", _number(F.col("v"))).where("said IS NOT NULL")
-    named = sums.select("stem").distinct().join(row_changes(events).select("table", singular(F.col("table")).alias("stem")).distinct(), "stem").select("table")  # one row a table
-    told = row_changes(events).join(F.broadcast(named), "table", "left_semi")
-    held = column_versions(events, told).where(F.col("col").rlike(MONEY)).select("session_id", singular(F.col("table")).alias("stem"), "pk", "col", F.coalesce("begins", F.lit(-1)).alias("seq"), _number(F.col("value")).alias("held"))
+    sums = sums.select("session_id", "seq", "t", "request_id", F.col("table").alias("report"), "stem", "pk", F.explode("after").alias("col", "v"))
+    return sums.where(F.col("col").rlike(MONEY)).withColumn("said", _number(F.col("v"))).where("said IS NOT NULL").drop("v")
+
+
+@row_fed
+def report_total_contradicts_source_row(events: DataFrame) -> DataFrame:
+    """A report's money that is not what the row it names held when the report was written."""
+    sums = shared(events, "report_sums", _report_sums)
+    tables = row_changes(events).select("table").distinct().withColumn("stem", singular(F.col("table")))
+    named = F.broadcast(sums.select("stem").distinct().join(tables, "stem"))  # one row a table
+    told = row_changes(events).join(named, "table", "left_semi")
+    held = column_versions(events, told).where(F.col("col").rlike(MONEY)).join(named, "table").select("session_id", "stem", "pk", "col", F.coalesce("begins", F.lit(-1)).alias("seq"), _number(F.col("value")).alias("held"))
     hit = as_of(sums, held, ["session_id", "stem", "pk", "col"], "seq").where("match.held <> said")
     return found(hit, "report_total_contradicts_source_row", "high", 82, F.concat_ws(" ", "report", "stem", "pk", "col"), F.format_string("%s reports %.2f for %s %s, which held %.2f", "report", "said", "stem", "pk", "match.held"))

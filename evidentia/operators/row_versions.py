@@ -27,18 +27,25 @@ def snake(name: Column) -> Column:
 
 
 def row_changes(events: DataFrame) -> DataFrame:
-    """session_id, seq, t, request_id, op, table, pk (the key's value, or all of its values), before, after: every row change."""
-    return shared(events, "row_changes", _row_changes)
+    """session_id, seq, t, request_id, op, table, pk (the key's value, or all of its values), before, after: every row change.
+
+    Of a stored scan they are written by table: a reader's filter on tables is held against folders, not against rows.
+    """
+    if held(events) is None:
+        return _row_changes(events)
+    # the letter keeps a table without a name apart from changes that name none: a folder can't
+    rows = shared(events, "row_changes", lambda e: _row_changes(e).withColumn("folder", F.concat(F.lit("t"), F.col("table"))).drop("table"), "folder")
+    return rows.select("session_id", "seq", "t", "request_id", "op", F.expr("substring(folder, 2)").alias("table"), "pk", "before", "after")
 
 
 def _row_changes(events: DataFrame) -> DataFrame:
     # each payload is taken apart once: without the array, a reader's filters would take it apart again for each use of a part
-    parts = F.struct(F.try_variant_get("d", "$.pk", "map<string,string>").alias("keys"), field("pk", "string").alias("key"), row_image("before").alias("before"), row_image("after").alias("after"))
+    parts = F.struct(F.try_variant_get("d", "$", "struct<pk:map<string,string>,before:map<string,string>,after:map<string,string>>").alias("of"), field("pk", "string").alias("key"))
     own = [F.col(c) for c in ("session_id", "seq")] + [F.col("t").cast("long").alias("t"), F.col("request_id"), F.lower("op").alias("op"), F.lower("table").alias("table")]
     rows = events.where("k = 'db.diff'").select(*own, F.explode(F.array(parts)).alias("x"))
-    keys = F.map_values("x.keys")
-    pk = F.coalesce(F.when(F.size(keys) > 0, F.array_join(keys, " ")), F.col("x.key"), F.col("x.after")["id"], F.col("x.before")["id"])
-    return rows.select("session_id", "seq", "t", "request_id", "op", "table", pk.alias("pk"), "x.before", "x.after")
+    keys = F.map_values("x.of.pk")
+    pk = F.coalesce(F.when(F.size(keys) > 0, F.array_join(keys, " ")), F.col("x.key"), F.col("x.of.after")["id"], F.col("x.of.before")["id"])
+    return rows.select("session_id", "seq", "t", "request_id", "op", "table", pk.alias("pk"), "x.of.before", "x.of.after")
 
 
 def after_images(events: DataFrame) -> DataFrame:
@@ -77,6 +84,13 @@ def column_versions(events: DataFrame, changes: DataFrame | None = None) -> Data
     return both.withColumn("ends", F.lead("begins").over(Window.partitionBy(*key).orderBy(F.col("begins").asc_nulls_first())))
 
 
+def _pointing_columns(events: DataFrame) -> DataFrame:
+    """table, col: the columns that are named as keys and hold a value. Rows are brought down to the few sets of names that they have before a name is looked at."""
+    names = F.map_keys(F.map_filter(F.coalesce("after", "before"), lambda k, v: v.isNotNull()))
+    sets = row_changes(events).select("table", names.alias("names")).distinct()
+    return sets.select("table", F.explode("names").alias("col")).where(F.col("col").rlike("(?i)_id$|[a-z]Id$")).distinct()
+
+
 def references(events: DataFrame) -> DataFrame:
     """table, col, parent: which table a column of keys points to.
 
@@ -84,11 +98,12 @@ def references(events: DataFrame) -> DataFrame:
     of one and the same table in the session where it is written, for `INCLUSION_VALUES` distinct ones or more, and no other table has them all.
     """
     rows = row_changes(events)
+    columns = shared(events, "pointing_columns", _pointing_columns)
     pointing = rows.select("session_id", "table", F.explode(F.map_filter(F.coalesce("after", "before"), lambda k, v: k.rlike("(?i)_id$|[a-z]Id$") & v.isNotNull())).alias("col", "value"))
     tables = rows.select(F.col("table").alias("parent")).distinct()
     stem = F.regexp_replace(snake(F.col("col")), "_id$", "")
     of = singular(F.col("parent"))
-    columns = pointing.select("table", "col").distinct().withColumn("stem", stem)
+    columns = columns.withColumn("stem", stem)
     # a table is known by its whole name and by its last word; the whole name is the better match
     names = tables.select("parent", F.explode(F.array_distinct(F.array(of, F.substring_index(of, "_", -1)))).alias("stem")).withColumn("whole", F.col("stem") == of)
     best = Window.partitionBy("table", "col").orderBy(F.desc("whole"), "parent")

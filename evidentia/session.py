@@ -50,19 +50,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """What is written inside sends whole texts to Python so many rows at a time: a batch is held several times over, on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     held = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, held)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What is written inside sends whole texts to Python so many rows at a time: a batch is held several times over, on both sides."""
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        yield
+
+
 #: Rows that a task holds back while it writes a job's table: small, as its memory is for the work.
 ROW_GROUP_BYTES = 16 << 20
+#: Files that a task has open at once where a table is written by the values of a column: beyond them Spark sorts a task's other rows. Their row groups are smaller.
+OPEN_FILES, OPEN_GROUP_BYTES = 32, 8 << 20
 
 
 class Tables:
@@ -75,8 +82,13 @@ class Tables:
 
     def store(self, name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
         """Write the rows (by the values of a column, if named) and go on from the files: lost executors cost no recomputation."""
-        writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
-        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.folder}/{name}")
+        path = f"{self.folder}/{name}"
+        if partition is None:
+            df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        else:
+            # without files side by side, each task would sort all of its rows by the column
+            with _setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+                df.write.option("parquet.block.size", OPEN_GROUP_BYTES).partitionBy(partition).parquet(path)
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, name: str) -> None:
