@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +59,11 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, held)
 
 
+def small_methods(spark: SparkSession) -> AbstractContextManager[None]:
+    """What is written inside runs no stage as one method of over 8,000 bytes, which the JVM never compiles: it runs as many small ones."""
+    return _setting(spark, "spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """What is written inside sends whole texts to Python so many rows at a time: a batch is held several times over, on both sides."""
